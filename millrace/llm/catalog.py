@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import simhash
+from millrace.llm import langid, mixing, simhash
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,9 +18,45 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    taught = docs.where(~langid.held_out()).select(F.col("doc_id").alias("id"), "text", "lang")
+    scored = langid.predict(docs.select("doc_id", "text"), langid.train(taught))
+    return scored.select("doc_id", langid.held_out().alias("held_out"), "language.*")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP4_SQL = """
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0)::BIGINT AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS k
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight,
+             sum(source_size) OVER () AS total FROM s),
+r AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, source NULLS LAST) AS place FROM w),
+l AS (SELECT *, coalesce(sum(3 * source_size) OVER (ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
+             sum(weight) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS heavy FROM r),
+lam AS (SELECT arg_min(total - capped, place)::DOUBLE AS rest, arg_min(heavy, place)::DOUBLE AS heavy FROM l
+        WHERE 3.0 * source_size * heavy >= (total - capped) * weight),
+t AS (SELECT r.source, r.source_size, least(lam.rest * r.weight / lam.heavy, (3 * r.source_size)::DOUBLE) AS target FROM r, lam),
+b AS (SELECT *, floor(target + 0.5)::BIGINT AS budget FROM t),
+c AS (SELECT d.doc_id, d.size, b.source_size, b.target,
+             CASE WHEN b.source_size > 0 THEN b.budget // b.source_size ELSE 0 END AS epochs, b.budget,
+             sum(d.size) OVER (PARTITION BY d.source ORDER BY d.k) - d.size AS before
+      FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::BIGINT AS taken
+FROM c
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash}
+    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op4_mixing": op4_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mixing": OP4_SQL}
