@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import langid, mixing, simhash
+from millrace.llm import decontaminate, langid, mixing, simhash
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +54,13 @@ FROM c
 """
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return held.select("doc_id", "item_id", "item_words", "edits", "end_word")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op4_mixing": op4_mixing}
+    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op4_mixing": op4_mixing, "op7_decontaminate": op7_decontaminate}
 
 
 def oracle_sql() -> dict[str, str]:
