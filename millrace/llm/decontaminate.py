@@ -233,12 +233,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     are ignored.
     """
     small_batches(docs.sparkSession)
-    rows = docs.where(F.length(text_col) > 0).select(F.col(id_col).cast("long").alias("id"), content_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    schema = "id long, text_key long, item_id long, item_words int, edits int, end_word int"
+    rows = docs.where(F.length(text_col) > 0).select(F.col(id_col).cast("string").alias("id"), content_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    schema = "id string, text_key long, item_id long, item_words int, edits int, end_word int"
     found = docs.sparkSession.createDataFrame([], schema)
     for index in blocks(benchmark, item_col, item_text):
         found = found.unionByName(rows.mapInPandas(partial(_matches, index), schema))
-    return found.withColumnRenamed("id", id_col)
+    return found.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "text_key", "item_id", "item_words", "edits", "end_word")
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
