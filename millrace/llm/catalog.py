@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, linededup, mixing, sharding, simhash
+from millrace.llm import decontaminate, langid, linededup, mixing, sharding, simhash, urlfilter
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,13 +78,17 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return held.select("doc_id", "item_id", "item_words", "edits", "end_word")
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op4_mixing": op4_mixing, "op5_linededup": op5_linededup, "op7_decontaminate": op7_decontaminate, "op9_sharding": op9_sharding}
+    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op4_mixing": op4_mixing, "op5_linededup": op5_linededup, "op6_urlfilter": op6_urlfilter, "op7_decontaminate": op7_decontaminate, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
