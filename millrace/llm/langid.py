@@ -62,8 +62,9 @@ def sample(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
     rows = labelled.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS))).withColumn("bytes", F.octet_length("text"))
     sums = rows.groupBy("lang", "bucket").agg(F.sum("bytes").alias("bytes"))
     before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    chosen = sums.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < train_bytes).select("lang", "bucket")
-    return rows.join(chosen, ["lang", "bucket"], "left_semi").select("lang", "text")
+    chosen = sums.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < train_bytes)
+    cuts = chosen.groupBy("lang").agg(F.max("bucket").alias("cut"))  # as many rows as the trees have languages
+    return rows.join(F.broadcast(cuts), "lang").where("bucket <= cut").select("lang", "text")
 
 
 class Trees:
