@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, linededup, mixing, sharding, simhash, urlfilter, vectors
+from millrace.llm import decontaminate, langid, linededup, mixing, sharding, simhash, surrogates, urlfilter, vectors
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out().alias("held_out"), "language.*")
 
 
+SURROGATE_KEY = b"a deployment brings its own key"
+
+
+def op3_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = surrogates.replace(table(spark, sf_dir, "documents"), SURROGATE_KEY)
+    return rows.select("doc_id", "n_replaced", "text")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -108,7 +116,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op4_mixing": op4_mixing, "op5_linededup": op5_linededup, "op6_urlfilter": op6_urlfilter, "op7_decontaminate": op7_decontaminate, "op8_vectors": op8_vectors, "op9_sharding": op9_sharding}
+    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_surrogates": op3_surrogates, "op4_mixing": op4_mixing, "op5_linededup": op5_linededup, "op6_urlfilter": op6_urlfilter, "op7_decontaminate": op7_decontaminate, "op8_vectors": op8_vectors, "op9_sharding": op9_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
