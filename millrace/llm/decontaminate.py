@@ -136,6 +136,8 @@ class Index:
     def _windows(self, length: int, at: np.ndarray) -> np.ndarray:
         """Starts of the windows with enough shared runs, which start at the positions ``at``."""
         g, t = self.need(length)
+        if len(at) < t:
+            return at[:0]
         reach = length + allowed(length) - g  # a run of words within k edits has up to length + k words
         a, b = at[: len(at) - t + 1], at[t - 1 :]
         near = b - a <= reach
