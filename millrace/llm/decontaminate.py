@@ -3,9 +3,9 @@
 A document holds a benchmark item if some run of its words is within ``floor(0.2 * L)`` word edits of the item's
 L words (similarity 0.8 or more). Words are compared without case and ASCII punctuation.
 
-* Windows. Every window of an item's size is looked at. One that has too few word trigrams of the benchmark cannot
-  be within the allowed edits of any item of that size (each edit breaks three of them at most), whichever item it
-  is, and is passed over; so nothing is lost here.
+* Windows. Every window of an item's size is looked at. One that has too few word trigrams of the items of that size
+  cannot be within the allowed edits of any of them (each edit breaks three trigrams at most), whichever it is, and
+  is passed over; so nothing is lost here.
 * Embedding. The CGK walk reads a window's words through ``3 L`` steps and goes on to the next word, or stays,
   by a random bit for the step and the word. Windows within few edits come out within few differing steps, as the
   walks of both sides fall into step again after an edit.
@@ -67,13 +67,12 @@ class Index:
             if found := fold(text):
                 self.items.append((item_id, np.array([self.words.setdefault(w, len(self.words) + 1) for w in found], dtype=np.int64)))
         self.by_length: dict[int, list[int]] = defaultdict(list)
-        grams = {g: set() for g in range(1, GRAM + 1)}
         for at, (_, ids) in enumerate(self.items):
             self.by_length[len(ids)].append(at)
-            for g in grams:
-                grams[g].update(self._packed(ids, g).tolist())
-        self.grams = {g: np.array(sorted(found), dtype=np.int64) for g, found in grams.items()}
-        self.marks = {g: np.zeros(1 << MARK_BITS, dtype=bool) for g in grams}
+        of_length = {n: np.unique(np.concatenate([self._packed(self.items[m][1], self.need(n)[0]) for m in members])) for n, members in self.by_length.items()}
+        self.grams = {g: np.unique(np.concatenate([x for n, x in of_length.items() if self.need(n)[0] == g])) for g in {self.need(n)[0] for n in of_length}}
+        self.held = {n: np.isin(self.grams[self.need(n)[0]], x) for n, x in of_length.items()}
+        self.marks = {g: np.zeros(1 << MARK_BITS, dtype=bool) for g in self.grams}
         for g, found in self.grams.items():
             self.marks[g][((found.astype(np.uint64) * _MIX) >> np.uint64(64 - MARK_BITS)).astype(np.int64)] = True
         self.tables = {n: self._hashed(n, members) for n, members in self.by_length.items()}
@@ -126,12 +125,13 @@ class Index:
         order = np.argsort(keys, kind="stable")
         return keys[order], np.repeat(np.array(members), WALKS * TABLES)[order]
 
-    def _shared(self, ids: np.ndarray, g: int) -> np.ndarray:
-        """Positions where a run of g words of the benchmark starts."""
+    def _shared(self, ids: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions where a run of g words of the benchmark starts, and which run it is."""
         packed = self._packed(ids, g)
         maybe = np.flatnonzero(self.marks[g][((packed.astype(np.uint64) * _MIX) >> np.uint64(64 - MARK_BITS)).astype(np.int64)])
-        grams = self.grams[g]
-        return maybe[grams[np.minimum(np.searchsorted(grams, packed[maybe]), len(grams) - 1)] == packed[maybe]] if len(grams) else maybe[:0]
+        which = np.minimum(np.searchsorted(self.grams[g], packed[maybe]), len(self.grams[g]) - 1)
+        true = self.grams[g][which] == packed[maybe]
+        return maybe[true], which[true]
 
     def _windows(self, length: int, at: np.ndarray) -> np.ndarray:
         """Starts of the windows with enough shared runs, which start at the positions ``at``."""
@@ -147,10 +147,11 @@ class Index:
 
     def find(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
         """(window start, item) pairs that meet in a table; ``ids`` holds the words of several documents, ``first`` where each starts."""
-        shared = {g: self._shared(ids, g) for g in {self.need(n)[0] for n in self.by_length}}
+        shared = {g: self._shared(ids, g) for g in self.grams}
         ends = np.r_[first[1:], len(ids)]
         for length, (keys, owners) in self.tables.items():
-            starts = self._windows(length, shared[self.need(length)[0]])
+            at, which = shared[self.need(length)[0]]
+            starts = self._windows(length, at[self.held[length][which]])
             sizes = np.minimum(length, ends[np.searchsorted(first, starts, side="right") - 1] - starts)
             wide = sizes >= length - allowed(length)
             starts, sizes = starts[wide], sizes[wide]
@@ -203,7 +204,7 @@ def _matches(index: Index, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataF
         found = sorted(rows.items())
         yield pd.DataFrame(
             {
-                "id": [batch["id"].iloc[d] for (d, _), _ in found],
+                "id": pd.Series([batch["id"].iloc[d] for (d, _), _ in found], dtype=object),
                 "text_key": [batch["text_key"].iloc[d] for (d, _), _ in found],
                 "item_id": [index.items[o][0] for (_, o), _ in found],
                 "item_words": [len(index.items[o][1]) for (_, o), _ in found],

@@ -54,7 +54,7 @@ def _distinct(min_length: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.D
         sets = [{h for h in _hashed(t, min_length) if h} for t in batch["text"]]
         a, b = _halves([h for s in sets for h in s])
         at = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        yield pd.DataFrame({"id": batch["id"].array[at], "text_key": batch["text_key"].array[at], "a": a, "b": b})
+        yield pd.DataFrame({"id": np.asarray(batch["id"], dtype=object)[at], "text_key": batch["text_key"].to_numpy()[at], "a": a, "b": b})
 
 
 def _slots(a: np.ndarray, b: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -125,7 +125,7 @@ def _answers(min_documents: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd
             at = places(levels, a, b)
             drop = (at >= 0) & (prints[at] == (b & np.uint64(0xFFFFFFFF))) & (counts[at] >= min_documents)
             lines = [x.tobytes() for x in np.stack([a[drop], b[drop]], axis=1)]
-            yield pd.DataFrame({"id": probes["id"][drop], "text_key": probes["text_key"][drop], "line": lines})
+            yield pd.DataFrame({"id": np.asarray(probes["id"], dtype=object)[drop], "text_key": probes["text_key"].to_numpy()[drop], "line": pd.Series(lines, dtype=object)})
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_documents: int = MIN_DOCUMENTS, min_length: int = MIN_LENGTH) -> DataFrame:

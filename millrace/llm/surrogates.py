@@ -180,13 +180,13 @@ def rewrite(key: bytes, text: str | None, again: dict[tuple[str, str], int]) ->
 def _entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         found = {(kind, value) for text in batch["text"] for _, _, kind, value in mentions(text)}
-        yield pd.DataFrame(sorted(found), columns=["kind", "value"])
+        yield pd.DataFrame(sorted(found), columns=["kind", "value"], dtype=object)
 
 
 def _mentioned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = [(i, k, *e) for i, k, text in zip(batch["id"], batch["text_key"], batch["text"]) for e in sorted({m[2:] for m in mentions(text)})]
-        yield pd.DataFrame(rows, columns=["id", "text_key", "kind", "value"])
+        yield pd.DataFrame(rows, columns=["id", "text_key", "kind", "value"]).astype({"id": object, "kind": object, "value": object})
 
 
 def draw_all(entities: DataFrame, key: bytes) -> DataFrame:
