@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, linededup, mixing, sharding, simhash, surrogates, urlfilter, vectors
+from millrace.llm import decontaminate, langid, linededup, mixing, sharding, simhash, substrings, surrogates, urlfilter, vectors
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,8 +115,13 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "item_id", "item_words", "edits", "end_word")
 
 
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_surrogates": op3_surrogates, "op4_mixing": op4_mixing, "op5_linededup": op5_linededup, "op6_urlfilter": op6_urlfilter, "op7_decontaminate": op7_decontaminate, "op8_vectors": op8_vectors, "op9_sharding": op9_sharding}
+    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_surrogates": op3_surrogates, "op4_mixing": op4_mixing, "op5_linededup": op5_linededup, "op6_urlfilter": op6_urlfilter, "op7_decontaminate": op7_decontaminate, "op8_vectors": op8_vectors, "op9_sharding": op9_sharding, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
