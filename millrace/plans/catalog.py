@@ -1,21 +1,23 @@
-"""Queries over the given tables, one or more per operator, and the SQL that each must agree with."""
+"""All queries over the given tables, and the SQL that each must agree with."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from millrace.plans import architecture
+from millrace.plans.registry import Query
+
+PARTS = (architecture.catalog,)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["package_risk"](spark, sf_dir)
+    """Risk of packages: graph metrics, percentile ranks over the whole table, weighted score and its bin."""
+    return architecture.package_risk(spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: query for part in PARTS for name, query in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in PARTS for name, sql in part.sql.items()}
