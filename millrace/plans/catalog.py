@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import architecture
+from millrace.plans import architecture, evolution
 from millrace.plans.registry import Query
 
-PARTS = (architecture.catalog,)
+PARTS = (architecture.catalog, evolution.catalog)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
