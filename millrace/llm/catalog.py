@@ -120,9 +120,27 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, x, substr(h, 2 * x - 1, 100) AS s
+      FROM (SELECT doc_id, h, unnest(range(1, length(h) // 2 - 48)) AS x FROM d)),
+f AS (SELECT s, min(doc_id) AS low FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+g AS (SELECT w.doc_id, w.x FROM w JOIN f ON w.s = f.s WHERE w.doc_id > f.low),
+i AS (SELECT doc_id, x, CASE WHEN x - lag(x) OVER (PARTITION BY doc_id ORDER BY x) <= 50 THEN 0 ELSE 1 END AS new FROM g),
+j AS (SELECT doc_id, x, sum(new) OVER (PARTITION BY doc_id ORDER BY x) AS k FROM i),
+r AS (SELECT doc_id, k, min(x) AS a, max(x) + 50 AS b FROM j GROUP BY doc_id, k),
+p AS (SELECT d.doc_id, h, a, b, lag(b, 1, 1) OVER (PARTITION BY d.doc_id ORDER BY a) AS since FROM d JOIN r ON d.doc_id = r.doc_id),
+q AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*)::BIGINT AS n_spans,
+             string_agg(substr(h, 2 * since - 1, 2 * (a - since)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) - 1) AS kept FROM p GROUP BY doc_id)
+SELECT d.doc_id, (length(d.h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(q.kept, d.h))) AS kept_sha256
+FROM d LEFT JOIN q ON d.doc_id = q.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_surrogates": op3_surrogates, "op4_mixing": op4_mixing, "op5_linededup": op5_linededup, "op6_urlfilter": op6_urlfilter, "op7_decontaminate": op7_decontaminate, "op8_vectors": op8_vectors, "op9_sharding": op9_sharding, "op10_substrings": op10_substrings}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_linededup": OP5_SQL, "op8_vectors": OP8_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_linededup": OP5_SQL, "op8_vectors": OP8_SQL, "op10_substrings": OP10_SQL}

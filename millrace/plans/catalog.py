@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import architecture, corpus, evolution, text
+from millrace.plans import architecture, corpus, evolution, metrics, similarity, text
 from millrace.plans.registry import Query
 
-PARTS = (architecture.catalog, evolution.catalog, text.catalog, corpus.catalog)
+PARTS = (architecture.catalog, evolution.catalog, text.catalog, corpus.catalog, similarity.catalog, metrics.catalog)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
