@@ -1,16 +1,19 @@
 """Near-duplicate vectors through coarse lists with product-quantised residuals and an exact rerank.
 
 * Equal vectors are one entry with a count, so copies cost nothing below.
-* A coarse quantiser (k-means on a bounded sample) puts each unit vector into the list of its nearest centroid. A
-  partner within the distance ``r`` that the cosine threshold means lies in another list only if the border of both
-  lists is within r; a vector probes exactly those lists, which is sufficient: no link is lost there.
+* A coarse quantiser (k-means on a bounded sample) puts each unit vector x into the list of its nearest centroid. A
+  partner at the threshold's angle is ``cos x + sin u`` with a unit vector u across x, and lies in another list if
+  the border of both lists is crossed. A vector probes all lists that u reaches with a component of at most ``Z``
+  standard deviations of a random direction towards them (capped at 1, where it becomes a certainty). A pair is found
+  if either of both probes the other's list, so a link at the very threshold is missed with a probability below
+  1e-4 over random directions, and closer ones practically never; ``tests/llm/test_vectors.py`` measures recall.
 * In a list, vectors are stored as residuals to the centroid, coded by one byte in each of ``PARTS`` subspaces
   (codebooks from the same sample), with the length of what the code leaves out. A table of the distances from the
   probing residual to all codewords gives the distance to each coded vector by look-ups. The true distance differs
   by at most the left-out length, so what lies farther than r plus that length is no link; what is left is reranked
   by the exact cosine in double precision.
-* Lists are cut into blocks of at most ``BLOCK`` vectors. A task compares one block with one block of probes; a list
-  of any size spreads over its pairs of blocks. A task sends on the number of links of each vector and a spanning
+* Lists are cut into blocks of at most ``BLOCK`` vectors, and blocks of probes meet blocks of members in a join that
+  Spark splits where a list is large. A task sends on the number of links of each vector and a spanning
   forest of the links, never the links of a dense group.
 """
 
@@ -31,8 +34,9 @@ THRESHOLD = 0.9
 SAMPLE = 20_000
 PARTS = 8
 CODES = 64
-BLOCK = 512
+BLOCK = 1024
 BLOCKS_AT_ONCE = 16
+Z = 2.5
 MAX_LISTS = 4096
 ROUNDS = 8
 SLACK = 1e-5
@@ -64,12 +68,23 @@ class Quantiser:
         squares = np.maximum(0, 1 + (self.centroids**2).sum(axis=1) - 2 * units @ self.centroids.T)
         return squares.argmin(axis=1), squares
 
-    def probes(self, units: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest list of each vector, and (row, list) of all lists whose border is within ``reach``."""
-        own, squares = self.nearest(units)
-        border = (squares - squares[np.arange(len(units)), own][:, None]) / (2 * self.gaps[own])
-        rows, lists = np.nonzero(border <= reach)
-        return own, rows, lists
+    def reaches(self, units: np.ndarray, own: np.ndarray, dots: np.ndarray, lists: np.ndarray, threshold: float) -> np.ndarray:
+        """Whether vectors of the lists ``own`` probe ``lists``; ``dots`` are their products with both centroids."""
+        sizes = (self.centroids**2).sum(axis=1)
+        along = dots[..., 1] - dots[..., 0]
+        across = np.sqrt(np.maximum(0, self.gaps[own, lists] ** 2 - along**2))
+        part = min(1.0, Z / np.sqrt(max(1, units.shape[1] - 1)))
+        return threshold * along + np.sqrt(max(0.0, 1 - threshold**2)) * part * across + SLACK >= (sizes[lists] - sizes[own]) / 2
+
+    def probes(self, units: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nearest list of each vector, and (row, list) of the other lists that it probes."""
+        own = self.nearest(units)[0]
+        every = units @ self.centroids.T
+        lists = np.broadcast_to(np.arange(len(self.centroids)), every.shape)
+        mine = np.broadcast_to(own[:, None], every.shape)
+        dots = np.stack([np.broadcast_to(every[np.arange(len(units)), own][:, None], every.shape), every], axis=-1)
+        rows, found = np.nonzero(self.reaches(units, mine, dots, lists, threshold) & (lists != mine))
+        return own, rows, found
 
     def encode(self, residuals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes, and the length that they leave out."""
@@ -90,29 +105,38 @@ class Quantiser:
         return out
 
 
-def _unit(column: pd.Series) -> np.ndarray:
-    both = np.stack([np.frombuffer(x, dtype="<f8") for x in column])
+def _vectors(column: pd.Series, kind: str) -> np.ndarray:
+    return np.stack([np.frombuffer(x, dtype=kind) for x in column])
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    both = vectors.astype(np.float64)
     return both / np.linalg.norm(both, axis=1, keepdims=True)
 
 
-def _dealt(quantiser: Quantiser, reach: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each entry in its own list, and one for each other list that it probes."""
+def _dealt(quantiser: Quantiser, threshold: float, kind: str, members: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each entry in its own list (``members``), or for each other list that it probes."""
     for batch in batches:
         if not len(batch):
             continue
-        own, rows, lists = quantiser.probes(_unit(batch["vector"]), reach)
-        yield pd.DataFrame({"list": lists, "member": lists == own[rows], "entry": batch["entry"].to_numpy()[rows], "copies": batch["copies"].to_numpy()[rows], "vector": batch["vector"].to_numpy()[rows]})
+        units = _unit(_vectors(batch["vector"], kind))
+        if members:
+            yield batch.assign(list=quantiser.nearest(units)[0])[["list", "entry", "copies", "vector"]]
+            continue
+        _, rows, lists = quantiser.probes(units, threshold)
+        yield pd.DataFrame({"list": lists, "entry": batch["entry"].to_numpy()[rows], "copies": batch["copies"].to_numpy()[rows], "vector": batch["vector"].to_numpy()[rows]})
 
 
-def _compared(quantiser: Quantiser, threshold: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _compared(quantiser: Quantiser, threshold: float, kind: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs of blocks of one list: links of each entry, and a forest of them.
 
-    A probing entry counts its own links only: its partner, probing from its own list, counts the other side.
+    A link between two lists can be found from both sides. Then each side counts its own; if only one side probes
+    the other's list, it counts for both.
     """
     reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
     for batch in batches:
-        for of, left, right, member, same in zip(batch["list"], batch["left"], batch["right"], batch["m"], batch["same"]):
-            a, b = _block(left), _block(right)
+        for of, left, right, members, same in zip(batch["list"], batch["left"], batch["right"], batch["members"], batch["same"]):
+            a, b = _block(left, kind), _block(right, kind)
             center = quantiser.centroids[of]
             codes, left_out = quantiser.encode(b[2] - center)
             tables = quantiser.tables(a[2] - center)
@@ -130,36 +154,39 @@ def _compared(quantiser: Quantiser, threshold: float, batches: Iterator[pd.DataF
             i, j = np.nonzero(near)
             if not len(i):
                 continue
+            once = np.ones(len(i), dtype=bool)
+            if not members:
+                home = quantiser.nearest(a[2])[0][i]
+                dots = np.stack([b[2][j] @ center, np.einsum("ij,ij->i", b[2][j], quantiser.centroids[home])], axis=-1)
+                once = ~quantiser.reaches(b[2][j], np.full(len(j), of), dots, home, threshold)
             entries = np.concatenate([a[0], b[0]])
-            links = np.concatenate([near @ b[1], near.T @ a[1] if member else np.zeros(len(b[0]), dtype=np.int64)])
+            links = np.concatenate([near @ b[1], np.bincount(j[once], weights=a[1][i[once]], minlength=len(b[0])).astype(np.int64)])
             root = forest(len(entries), i, j + len(a[0]))
             some = np.flatnonzero((links > 0) | (root != np.arange(len(entries))))
             yield pd.DataFrame({"entry": entries[some], "links": links[some].astype(np.int64), "root": entries[root[some]]})
 
 
-def _block(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _block(packed: bytes, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int(np.frombuffer(packed, dtype="<i8", count=1)[0])
     heads = np.frombuffer(packed, dtype="<i8", count=2 * n, offset=8)
-    vectors = np.frombuffer(packed, dtype="<f8", offset=8 + 16 * n).reshape(n, -1)
-    return heads[:n], heads[n:], vectors
+    return heads[:n], heads[n:], _unit(np.frombuffer(packed, dtype=kind, offset=8 + 16 * n).reshape(n, -1))
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by (list, member) as blocks; a block never mixes lists, or members with probes."""
+    """Rows sorted by list as blocks; a block never mixes lists."""
     held: list[pd.DataFrame] = []
-    key, size, number = None, 0, 0
+    key, size = None, 0
 
     def flush() -> Iterator[pd.DataFrame]:
-        nonlocal held, size, number
+        nonlocal held, size
         if size:
             rows = pd.concat(held)
-            units = _unit(rows["vector"])
-            data = np.int64(size).tobytes() + rows["entry"].to_numpy("<i8").tobytes() + rows["copies"].to_numpy("<i8").tobytes() + units.tobytes()
-            yield pd.DataFrame({"list": [key[0]], "member": [key[1]], "least": [int(rows["entry"].min())], "number": [number], "block": [data]})
-            held, size, number = [], 0, number + 1
+            data = np.int64(size).tobytes() + rows["entry"].to_numpy("<i8").tobytes() + rows["copies"].to_numpy("<i8").tobytes() + b"".join(rows["vector"])
+            yield pd.DataFrame({"list": [key], "least": [int(rows["entry"].min())], "block": [data]})
+            held, size = [], 0
 
     for batch in batches:
-        for now, rows in batch.groupby(["list", "member"], sort=False):
+        for now, rows in batch.groupby("list", sort=False):
             at = 0
             while at < len(rows):
                 if now != key or size == BLOCK:
@@ -182,6 +209,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     """
     spark = table.sparkSession
     small_batches(spark)
+    single = table.schema[vector_col].dataType.simpleString() == "array<float>"
     vector = F.col("vector")
     fine = F.coalesce(F.size(vector) > 0, F.lit(False)) & F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) != float("inf")), F.lit(False))) & F.exists(vector, lambda x: x != 0)
     rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).withColumn("fine", F.coalesce(fine, F.lit(False)))
@@ -191,7 +219,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     singles = settle(rows.select("id", "key"))
     found = None
     for width, n in sorted((r.width, r.n) for r in entries.groupBy("width").agg(F.count("*").alias("n")).collect()):
-        part = _linked(entries.where(F.col("width") == width), n, threshold)
+        part = _linked(entries.where(F.col("width") == width), n, threshold, single)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = spark.createDataFrame([], "entry long, links long, root long")
@@ -209,7 +237,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 
 
-def _linked(entries: DataFrame, n: int, threshold: float) -> DataFrame:
+def _linked(entries: DataFrame, n: int, threshold: float, single: bool) -> DataFrame:
     """Links and forest (entry, links, root) among distinct vectors of one dimension."""
     spark = entries.sparkSession
     chosen = entries.where(F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(max(1, n // SAMPLE))) == 0).select("vector").limit(2 * SAMPLE).toPandas()
@@ -217,19 +245,23 @@ def _linked(entries: DataFrame, n: int, threshold: float) -> DataFrame:
         chosen = entries.select("vector").limit(SAMPLE).toPandas()
     sample = np.stack(chosen["vector"].to_numpy())
     quantiser = Quantiser(sample / np.linalg.norm(sample, axis=1, keepdims=True), n)
-    reach = float(np.sqrt(max(0.0, 2 - 2 * threshold))) + SLACK
+    kind = "<f4" if single else "<f8"
 
     @F.pandas_udf("binary")
     def raw(vectors: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(v, dtype="<f8").tobytes() for v in vectors])
+        return pd.Series([np.asarray(v, dtype=kind).tobytes() for v in vectors])
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = entries.select("entry", "copies", raw("vector").alias("vector")).mapInPandas(partial(_dealt, quantiser, reach), "list int, member boolean, entry long, copies long, vector binary")
-    blocks = settle(
-        dealt.repartitionByRange(parts, "list", "member", "entry").sortWithinPartitions("list", "member", "entry").mapInPandas(_packed, "list int, member boolean, least long, number long, block binary")
-    )
-    left = blocks.select("list", F.col("member").alias("m"), F.col("least").alias("l"), F.col("block").alias("left"))
-    right = blocks.where("member").select("list", F.col("least").alias("r"), F.col("block").alias("right"))
-    pairs = left.join(right, "list").where("(m and l <= r) or not m").withColumn("same", F.col("m") & (F.col("l") == F.col("r")))
-    spread = pairs.select("list", "left", "right", "m", "same").repartition(parts)
-    return spread.mapInPandas(partial(_compared, quantiser, threshold), "entry long, links long, root long")
+    rows = entries.select("entry", "copies", raw("vector").alias("vector"))
+
+    def blocks(members: bool) -> DataFrame:
+        dealt = rows.mapInPandas(partial(_dealt, quantiser, threshold, kind, members), "list int, entry long, copies long, vector binary")
+        return dealt.repartitionByRange(parts, "list", "entry").sortWithinPartitions("list", "entry").mapInPandas(_packed, "list int, least long, block binary")
+
+    members = settle(blocks(True))
+    right = members.select("list", F.col("least").alias("r"), F.col("block").alias("right"))
+    within = members.select("list", F.col("least").alias("l"), F.col("block").alias("left")).join(right, "list").where("l <= r")
+    between = blocks(False).select("list", F.col("block").alias("left")).join(right.drop("r"), "list")
+    pairs = within.select("list", "left", "right", F.lit(True).alias("members"), (F.col("l") == F.col("r")).alias("same"))
+    pairs = pairs.unionByName(between.select("list", "left", "right", F.lit(False).alias("members"), F.lit(False).alias("same")))
+    return pairs.mapInPandas(partial(_compared, quantiser, threshold, kind), "entry long, links long, root long")

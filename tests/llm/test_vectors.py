@@ -40,3 +40,19 @@ def test_edge_cases(spark):
     got = sorted((r.vec_id or -1, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(table).collect())
     assert got == [(-1, 3, 1, False), (1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False)] + [(i, 0, i, True) for i in range(3, 11)]
     assert vectors.near_duplicates(table.limit(0)).count() == 0
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs at cosines from 0.9 on in random directions, among many unrelated vectors."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=x.shape)
+    y -= (y * x).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    cos = rng.uniform(0.901, 0.93, size=(1500, 1))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * y]))]
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    want = {i: n for i, (n, _) in brute_force(rows, 0.9).items()}
+    assert all(got[i] <= want[i] for i in want)
+    assert sum(got.values()) >= 0.99 * sum(want.values())
