@@ -60,3 +60,13 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
     if lacking := [c for c in columns if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(lacking)}")
     return df
+
+
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a temporary one where unset."""
+    sc = spark.sparkContext
+    if folder := sc.getConf().get("spark.checkpoint.dir"):
+        return folder
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc.getCheckpointDir()
