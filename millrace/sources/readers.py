@@ -25,7 +25,7 @@ def csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
 
 def text_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV in which every value is a string as written; empty stays empty and is not missing."""
-    frame = spark.read.option("header", True).option("inferSchema", False).option("emptyValue", "").option("nullValue", "\0").csv(path)
+    frame = spark.read.option("header", True).option("inferSchema", False).csv(path).na.fill("")
     return frame.toDF(*(c.lstrip("﻿") for c in frame.columns))
 
 
@@ -68,7 +68,8 @@ def json_records(spark: SparkSession, path: str, record: str, wrappers: Sequence
     """Records of JSON documents: a list, or an object that holds the list under one of ``wrappers``."""
     whole = spark.read.text(path, wholetext=True)
     wrapped = F.from_json("value", ", ".join(f"{w} array<{record}>" for w in wrappers))
-    found = F.coalesce(F.from_json("value", f"array<{record}>"), *(wrapped[w] for w in wrappers))
+    listed = F.col("value").rlike(r"^\s*\[")
+    found = F.when(listed, F.from_json("value", f"array<{record}>")).otherwise(F.coalesce(*(wrapped[w] for w in wrappers)))
     return whole.select(F.explode(found).alias("r")).select("r.*")
 
 

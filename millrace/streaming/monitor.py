@@ -13,22 +13,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _watermarked(events: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream with its watermark (times without a zone are read in the session's); a batch as it is."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, ts: str = "ts", width: str = "1 day", late: str = "1 hour", by: str = "event_type", value: str = "value") -> DataFrame:
     """Counts and sums of each window and key; in a stream, rows later than ``late`` behind the newest are dropped."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = _watermarked(events, ts, late)
     out = rows.groupBy(F.window(ts, width).alias("w"), by).agg(F.count("*").alias("events"), F.round(F.sum(value), 4).alias("total"))
     return out.select(F.col("w.start").alias("window_start"), by, "events", "total")
 
 
 def sliding(events: DataFrame, ts: str = "ts", width: str = "2 days", slide: str = "1 day", late: str = "1 hour", by: str = "event_type") -> DataFrame:
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = _watermarked(events, ts, late)
     out = rows.groupBy(F.window(ts, width, slide).alias("w"), by).agg(F.count("*").alias("events"))
     return out.select(F.col("w.start").alias("window_start"), by, "events")
 
 
 def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str = "12 hours", late: str = "1 day") -> DataFrame:
     """Sessions of each key: they end after ``gap`` without an event."""
-    rows = events.withWatermark(ts, late) if events.isStreaming else events
+    rows = _watermarked(events, ts, late)
     out = rows.groupBy(F.session_window(ts, gap).alias("w"), key).agg(F.count("*").alias("events"))
     return out.select(key, F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "events")
 
@@ -36,7 +41,7 @@ def sessions(events: DataFrame, key: str = "user_id", ts: str = "ts", gap: str =
 def first_within(events: DataFrame, key: list[str], ts: str = "ts", late: str = "1 day") -> DataFrame:
     """Events without repeats of ``key`` that arrive within the watermark."""
     if events.isStreaming:
-        return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
+        return _watermarked(events, ts, late).dropDuplicatesWithinWatermark(key)
     return events.dropDuplicates(key)
 
 
