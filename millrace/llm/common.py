@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,16 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps that nothing refers to any more.
+
+    They go when the driver collects its garbage, which a driver with room to spare may not do before the disks of
+    the executors are full.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def content_key(text: Column) -> Column:
     """Second half of a row's identity: rows that repeat an id with another text stay apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
