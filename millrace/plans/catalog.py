@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import architecture, corpus, evolution, metrics, qa, similarity, streaming, text, trace
+from millrace.plans import architecture, corpus, evolution, learning, metrics, qa, similarity, streaming, text, trace
 from millrace.plans.registry import Query
 
-PARTS = (architecture.catalog, evolution.catalog, text.catalog, corpus.catalog, similarity.catalog, metrics.catalog, qa.catalog, trace.catalog, streaming.catalog)
+PARTS = (architecture.catalog, evolution.catalog, text.catalog, corpus.catalog, similarity.catalog, metrics.catalog, qa.catalog, trace.catalog, streaming.catalog, learning.catalog)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
