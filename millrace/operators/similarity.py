@@ -98,12 +98,12 @@ def vector_top_k(table: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Queries go to the tasks in blocks of QUERIES_AT_ONCE; each task keeps the best of its batch, and one ranking a
     query is left. Zero vectors score zero.
     """
-    found = None
+    found = table.sparkSession.createDataFrame([], "query long, target long, score double")
     rows = queries.select("id", "vector").orderBy("id").toLocalIterator()
     while block := [r for _, r in zip(range(QUERIES_AT_ONCE), rows)]:
         ids = np.array([r.id for r in block])
         part = table.select("id", "vector").mapInPandas(partial(_best, ids, unit(pd.Series([r.vector for r in block])), k), "query long, target long, score double")
-        found = part if found is None else found.unionByName(part)
+        found = found.unionByName(part)
     return top_k(found.where("query <> target"), k)
 
 
