@@ -95,7 +95,7 @@ def test_text_functions(spark):
     assert one(spark, fn.package_of_path(F.lit("src/B.java"))) == "default"
     assert one(spark, fn.package_of_path(F.lit("lib/B.java"))) == "unresolved"
     assert one(spark, fn.behaviour(F.lit("It shall REJECT exactly five"))) == "NEGATIVE"
-    assert one(spark, fn.constraints(F.lit("within 2 seconds, p95, 2 seconds, 30 %x"))) == ["p95", "30 %", "2 seconds"] or True
+    assert one(spark, fn.constraints(F.lit("within 2 seconds, p95, 2 seconds, 30 %x"))) == ["p95", "30 %", "2 seconds"]
     assert one(spark, fn.grounded(F.lit("the quick brown ... jumps over it"), F.lit("The Quick-Brown fox jumps over it all")))
     assert not one(spark, fn.grounded(F.lit("the quick green"), F.lit("the quick brown")))
     assert one(spark, fn.weak_words(F.lit("As soon as possible"), ["as", "soon as"])[1]) == "as"
@@ -136,7 +136,7 @@ def test_adequacy_and_validation_ladder(spark):
     ]
     assessed = qa.assess(frame(spark, rows, EVIDENCE))
     status = {r.evidence_id: r.adequacy_status for r in assessed.collect()}
-    assert status == {1: "ADEQUATE", 2: "ADEQUATE", 3: "ADEQUATE", 4: "PARTIAL", 5: "INADEQUATE", 6: "PARTIAL", 7: "ADEQUATE", 8: "ADEQUATE"} | {6: status[6]}
+    assert status == {1: "ADEQUATE", 2: "ADEQUATE", 3: "ADEQUATE", 4: "PARTIAL", 5: "INADEQUATE", 6: "INADEQUATE", 7: "ADEQUATE", 8: "ADEQUATE"}
     support = {7: "UNSUPPORTED", 8: "REVIEW_REQUIRED"}
     units = frame(spark, [(i, 1 if i < 7 else 2, support.get(i, "SUPPORTED")) for i in range(1, 10)], "rvu_id int, requirement_id int, support_status string")
     checked = qa.validate(qa.summarize(units, assessed), qa.satisfied(assessed))
