@@ -1,0 +1,127 @@
+"""Near-duplicate texts by exact five-word similarity, with MinHash tables to find whom to compare.
+
+Two texts are linked if the Jaccard similarity of their sets of five-word shingles is 0.8 or more; words are in lower
+case, a shorter text is one shingle.
+
+* Texts of the same set are one entry.
+* Each of ``TABLES`` tables takes ``ROWS`` minima as its key. Two entries at similarity 0.8 share no key with a
+  probability of (1 - 0.8^4)^24, about 3e-6; above, it falls quickly.
+* Every pair that shares a key and is not connected yet is compared by the sets themselves. In ``STARS`` rounds each
+  key compares its entries with one of them, which connects a dense group without comparing all its pairs; then the
+  pairs that are still apart follow, all of them.
+"""
+
+from __future__ import annotations
+
+from functools import partial
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from millrace.llm.common import connected_components, content_key, settle, small_batches
+from millrace.llm.simhash import keep_least
+
+WIDTH = 5
+SIMILARITY = 0.8
+TABLES = 24
+ROWS = 4
+STARS = 2
+SHINGLES_AT_ONCE = 4096
+
+_hash = partial(xxhash.xxh64_intdigest, seed=42)
+_rng = np.random.default_rng(327)
+_FACTORS = _rng.integers(0, 1 << 63, size=(TABLES * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = _rng.integers(0, 1 << 63, size=(TABLES * ROWS, 1), dtype=np.uint64)
+
+
+def shingles(text: str | None) -> np.ndarray:
+    """The sorted distinct hashes of a text's shingles; none for null or wordless texts."""
+    words = (text or "").lower().encode().split()
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    runs = map(b" ".join, zip(*(words[k:] for k in range(WIDTH)))) if len(words) >= WIDTH else [b" ".join(words)]
+    return np.unique(np.fromiter(map(_hash, runs), dtype=np.uint64))
+
+
+def table_keys(found: np.ndarray) -> list[int]:
+    """One key for each table, which says the table too."""
+    least = np.full(TABLES * ROWS, ~np.uint64(0))
+    for at in range(0, len(found), SHINGLES_AT_ONCE):
+        mixed = found[None, at : at + SHINGLES_AT_ONCE] * _FACTORS + _SHIFTS
+        least = np.minimum(least, (mixed ^ (mixed >> np.uint64(32))).min(axis=1))
+    return [xxhash.xxh64_intdigest(row.tobytes(), seed=t) - (1 << 63) for t, row in enumerate(least.reshape(TABLES, ROWS))]
+
+
+@F.pandas_udf(T.StructType().add("entry", T.LongType()).add("keys", T.ArrayType(T.LongType())))
+def _sketched(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingles(t) for t in texts]
+    return pd.DataFrame({"entry": [_hash(x.tobytes()) - (1 << 63) for x in sets], "keys": [table_keys(x) for x in sets]})
+
+
+@F.pandas_udf(T.BinaryType())
+def _sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles(t).tobytes() for t in texts], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def _linked(left: pd.Series, right: pd.Series) -> pd.Series:
+    def one(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+        if min(len(x), len(y)) < SIMILARITY * max(len(x), len(y)) - 1e-9:
+            return False
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9
+
+    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype=bool)
+
+
+def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) among ``pairs``; the side that may be the same in many pairs comes last, when rows are wide."""
+    right = pairs.join(sets.select(F.col("entry").alias("b"), F.col("shingles").alias("y")), "b")
+    both = right.join(sets.select(F.col("entry").alias("a"), F.col("shingles").alias("x")), "a")
+    return settle(both.where(_linked("x", "y")).select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``id_col``, ``text_key`` and ``component_id``, the smallest id reachable over links.
+
+    Null ids never name a component unless it has no other. Null, empty and wordless texts are linked with each other.
+    Repeated rows keep their rows. Columns other than the two named ones are ignored. An empty table gives an
+    empty result.
+    """
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), content_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    prints = settle(rows.select("id", "text_key", _sketched("text").alias("s")).select("id", "text_key", "s.entry", "s.keys"))
+    entries = prints.groupBy("entry").agg(F.min("id").alias("least"), F.min("text_key").alias("of"), F.any_value("keys").alias("keys"))
+    met = entries.select("entry", F.explode("keys").alias("key"))
+    met = settle(met.join(met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key", "left_semi"))
+    wanted = entries.join(met.select("entry").distinct(), "entry", "left_semi").select("entry", F.col("of").alias("text_key"))
+    sets = settle(rows.join(wanted, "text_key").groupBy("entry").agg(F.any_value("text").alias("text")).select("entry", _sets("text").alias("shingles")))
+    edges = roots = None
+    for step in range(STARS + 1):
+        named = met.withColumn("root", F.col("entry"))
+        if roots is not None:
+            named = met.join(roots, met["entry"] == roots["node"], "left").select("key", "entry", F.coalesce("root", "entry").alias("root"))
+        mixed = named.groupBy("key").agg(F.min(F.struct(F.xxhash64("entry", F.lit(step)).alias("h"), "entry", "root")).alias("center"), F.min("root").alias("low"), F.max("root").alias("high")).where("low != high")
+        if step < STARS:
+            other = mixed.select("key", F.col("center.entry").alias("other"), F.col("center.root").alias("other_root"))
+        else:
+            other = named.join(mixed, "key", "left_semi").select("key", F.col("entry").alias("other"), F.col("root").alias("other_root"))
+        apart = named.join(other, "key").where("root != other_root")
+        pairs = apart.select(F.col("other").alias("a"), F.col("entry").alias("b")) if step < STARS else apart.where("other < entry").select(F.col("other").alias("a"), F.col("entry").alias("b"))
+        links = _compared(pairs.distinct(), sets)
+        edges = links if edges is None else edges.unionByName(links)
+        roots = connected_components(edges)
+    rooted = entries.join(roots, entries["entry"] == roots["node"], "left").select("entry", "least", F.coalesce("root", "entry").alias("root"))
+    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = settle(rooted.join(component, "root").select("entry", "component_id"))
+    return prints.join(of, "entry").select(F.col("id").alias(id_col), "text_key", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents of which one per component stays, as in ``simhash.keep_one``."""
+    return keep_least(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)

@@ -257,7 +257,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
 
     All columns of ``docs`` are kept. Of rows that repeat both id and text, one stays.
     """
-    rows = near_duplicates(docs, id_col, text_col, radius)
+    return keep_least(docs, near_duplicates(docs, id_col, text_col, radius), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of each component in ``rows``, the document with the smallest id (then the smallest text key)."""
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_key").alias("t"))
     chosen = settle(rows.groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k.i").alias("_id"), F.col("k.t").alias("_key")))
     keyed = docs.withColumn("_key", content_key(F.col(text_col)))
