@@ -10,9 +10,11 @@ L words (similarity 0.8 or more). Words are compared without case and ASCII punc
   by a random bit for the step and the word. Windows within few edits come out within few differing steps, as the
   walks of both sides fall into step again after an edit.
 * Hashing. Each table samples ``SAMPLED`` steps of one of ``WALKS`` walks; the words seen there are the key.
-  ``TABLES`` tables for each walk bring the recall to its target (``tests/llm/test_decontaminate.py`` measures it).
-* Check. Each pair of window and item that meets in a table is decided by the exact edit distance of the item to
-  the best run of words around the window.
+* Rest. Edits put the walks of long items out of step, so tables alone lose edited copies, the more the longer the
+  item is. Where an item's own trigrams lie close enough together for a run within the allowed edits, the pair is
+  checked as well, met in a table or not. So every such run is found, at any length.
+* Check. Each pair of window or stretch and item is decided by the exact edit distance of the item to the best run of
+  words there.
 
 The items are indexed in blocks of at most ``BLOCK_WORDS`` words, whose size bounds what tasks receive; a
 benchmark of more words takes more passes over the documents.
@@ -76,6 +78,7 @@ class Index:
         for g, found in self.grams.items():
             self.marks[g][((found.astype(np.uint64) * _MIX) >> np.uint64(64 - MARK_BITS)).astype(np.int64)] = True
         self.tables = {n: self._hashed(n, members) for n, members in self.by_length.items()}
+        self.postings = {n: self._posted(n, members) for n, members in self.by_length.items()}
 
     @staticmethod
     def _packed(ids: np.ndarray, g: int) -> np.ndarray:
@@ -125,6 +128,45 @@ class Index:
         order = np.argsort(keys, kind="stable")
         return keys[order], np.repeat(np.array(members), WALKS * TABLES)[order]
 
+    def _posted(self, length: int, members: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Where the items of each run of words begin among the owners, and the owners."""
+        g = self.need(length)[0]
+        runs = [np.unique(self._packed(self.items[m][1], g)) for m in members]
+        which = np.searchsorted(self.grams[g], np.concatenate(runs))
+        order = np.argsort(which, kind="stable")
+        owners = np.repeat(np.array(members), [len(r) for r in runs])[order]
+        return np.searchsorted(which[order], np.arange(len(self.grams[g]) + 1)), owners
+
+    def _stretches(self, length: int, at: np.ndarray, which: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, low, high, item): words that hold all runs within the allowed edits of an item, not clipped to the document.
+
+        ``at`` are the positions of the shared runs ``which``. A run of words within k edits has at most length + k
+        words and t of the item's own runs of g words.
+        """
+        g, t = self.need(length)
+        wide = length + allowed(length)
+        begins, owners = self.postings[length]
+        near = np.zeros(len(at) + 1, dtype=np.int64)
+        i = np.flatnonzero(at[t - 1 :] - at[: max(0, len(at) - t + 1)] <= wide - g)
+        np.add.at(near, i, 1)
+        np.add.at(near, i + t, -1)
+        some = np.cumsum(near)[:-1] > 0
+        at, which = at[some], which[some]
+        counts = begins[which + 1] - begins[which]
+        item = owners[np.repeat(begins[which] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        at = np.repeat(at, counts)
+        order = np.lexsort((at, item))
+        item, at = item[order], at[order]
+        doc = np.searchsorted(first, at, side="right")
+        a, b = slice(0, max(0, len(at) - t + 1)), slice(t - 1, None)
+        found = np.flatnonzero((item[a] == item[b]) & (doc[a] == doc[b]) & (at[b] - at[a] <= wide - g))
+        low, high, of, where = at[found + t - 1] + g - wide, at[found] + wide, item[found], doc[found]
+        if not len(found):
+            return
+        new = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (where[1:] != where[:-1]) | (low[1:] > high[:-1])])
+        for s, e in zip(new, np.r_[new[1:], len(of)] - 1):
+            yield int(where[s]) - 1, int(low[s]), int(high[e]), int(of[s])
+
     def _shared(self, ids: np.ndarray, g: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions where a run of g words of the benchmark starts, and which run it is."""
         packed = self._packed(ids, g)
@@ -145,13 +187,18 @@ class Index:
         sizes = high - low + 1
         return np.unique(np.repeat(low - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum()))
 
-    def find(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(window start, item) pairs that meet in a table; ``ids`` holds the words of several documents, ``first`` where each starts."""
+    def find(self, ids: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, low, high, item): words to check for an item, from tables and then from its own runs; ``ids`` holds the words of several documents, ``first`` where each starts."""
         shared = {g: self._shared(ids, g) for g in self.grams}
         ends = np.r_[first[1:], len(ids)]
         for length, (keys, owners) in self.tables.items():
             at, which = shared[self.need(length)[0]]
-            starts = self._windows(length, at[self.held[length][which]])
+            own = self.held[length][which]
+            at, which = at[own], which[own]
+            starts = self._windows(length, at)
+            if not len(starts):
+                continue
+            k, rest = allowed(length), (at, which)
             sizes = np.minimum(length, ends[np.searchsorted(first, starts, side="right") - 1] - starts)
             wide = sizes >= length - allowed(length)
             starts, sizes = starts[wide], sizes[wide]
@@ -161,7 +208,9 @@ class Index:
                 low, high = np.searchsorted(keys, found, "left"), np.searchsorted(keys, found, "right")
                 for r in np.flatnonzero(high > low):
                     for owner in owners[low[r] : high[r]]:
-                        yield int(some[r // (WALKS * TABLES)]), int(owner)
+                        start = int(some[r // (WALKS * TABLES)])
+                        yield int(np.searchsorted(first, start, side="right")) - 1, start - k, start + length + k, int(owner)
+            yield from self._stretches(length, *rest, first)
 
 
 def best_run(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -187,15 +236,15 @@ def _matches(index: Index, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataF
         full = np.flatnonzero(sizes)
         ids = np.array([w for x in lists for w in x], dtype=np.int64)
         rows: dict[tuple[int, int], tuple[int, int]] = {}
-        done: set[tuple[int, int]] = set()
-        for start, owner in index.find(ids, starts[full]) if len(ids) else ():
-            if (start, owner) in done:
+        done: set[tuple[int, int, int]] = set()
+        for place, low, high, owner in index.find(ids, starts[full]) if len(ids) else ():
+            if (low, high, owner) in done:
                 continue
-            done.add((start, owner))
-            doc = int(full[np.searchsorted(starts[full], start, side="right") - 1])
+            done.add((low, high, owner))
             item_id, item = index.items[owner]
             k = allowed(len(item))
-            low, high = max(int(starts[doc]), start - k), min(int(starts[doc] + sizes[doc]), start + len(item) + k)
+            doc = int(full[place])
+            low, high = max(int(starts[doc]), low), min(int(starts[doc] + sizes[doc]), high)
             if (doc, owner) in rows and rows[doc, owner][0] == 0:
                 continue
             edits, end = best_run(item, ids[low:high])

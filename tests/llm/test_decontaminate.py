@@ -81,3 +81,25 @@ def test_edge_cases(spark):
     assert sorted(r.doc_id for r in left.collect()) == [2, 3, 4]
     assert d.contaminated(docs, items.limit(0)).count() == 0
     assert d.contaminated(docs.limit(0), items).count() == 0
+
+
+def test_all_copies_at_the_limit_are_found_at_any_length(spark):
+    """Copies with as many edits as are allowed, by item length; distances equal those by brute force."""
+    rng = random.Random(23)
+    for length in (5, 10, 20, 40, 60, 100, 200, 400):
+        items = [(i, " ".join(rng.choices(VOCABULARY, k=length))) for i in range(12)]
+        docs = []
+        for i in range(48):
+            words = rng.choices(VOCABULARY, k=rng.randint(0, 120))
+            at = rng.randint(0, len(words))
+            docs.append((i, " ".join(words[:at] + edited(rng, items[i % 12][1].split(), d.allowed(length)) + words[at:])))
+        want = {}
+        for i, text in docs:
+            edits = edits_to_best_run(d.fold(items[i % 12][1]), d.fold(text))
+            assert edits <= d.allowed(length)
+            want[i, i % 12] = edits
+        got = {(r.doc_id, r.item_id): r.edits for r in d.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+        if length > 5:
+            assert got == want, length
+        else:
+            assert want.items() <= got.items()
