@@ -2,11 +2,10 @@
 
 * Equal vectors are one entry with a count, so copies cost nothing below.
 * A coarse quantiser (k-means on a bounded sample) puts each unit vector x into the list of its nearest centroid. A
-  partner at the threshold's angle is ``cos x + sin u`` with a unit vector u across x, and lies in another list if
-  the border of both lists is crossed. A vector probes all lists that u reaches with a component of at most ``Z``
-  standard deviations of a random direction towards them (capped at 1, where it becomes a certainty). A pair is found
-  if either of both probes the other's list, so a link at the very threshold is missed with a probability below
-  1e-4 over random directions, and closer ones practically never; ``tests/llm/test_vectors.py`` measures recall.
+  partner in another list lies across the border of both lists, and the middle of the two vectors lies on one side
+  of it. A vector probes all lists whose side the middle to some partner within the threshold's angle can reach,
+  in whatever direction the partner lies. So at least one of both probes the other's list, and no link is missed,
+  however the vectors are spread.
 * In a list, vectors are stored as residuals to the centroid, coded by one byte in each of ``PARTS`` subspaces
   (codebooks from the same sample), with the length of what the code leaves out. A table of the distances from the
   probing residual to all codewords gives the distance to each coded vector by look-ups. The true distance differs
@@ -36,7 +35,6 @@ PARTS = 8
 CODES = 64
 BLOCK = 1024
 BLOCKS_AT_ONCE = 16
-Z = 2.5
 MAX_LISTS = 4096
 ROUNDS = 8
 SLACK = 1e-5
@@ -69,12 +67,15 @@ class Quantiser:
         return squares.argmin(axis=1), squares
 
     def reaches(self, units: np.ndarray, own: np.ndarray, dots: np.ndarray, lists: np.ndarray, threshold: float) -> np.ndarray:
-        """Whether vectors of the lists ``own`` probe ``lists``; ``dots`` are their products with both centroids."""
+        """Whether vectors of the lists ``own`` probe ``lists``; ``dots`` are their products with both centroids.
+
+        The middle of x and a partner at the angle p is ``((1 + cos p) x + sin p u) / 2`` with a unit vector u across x.
+        """
         sizes = (self.centroids**2).sum(axis=1)
         along = dots[..., 1] - dots[..., 0]
         across = np.sqrt(np.maximum(0, self.gaps[own, lists] ** 2 - along**2))
-        part = min(1.0, Z / np.sqrt(max(1, units.shape[1] - 1)))
-        return threshold * along + np.sqrt(max(0.0, 1 - threshold**2)) * part * across + SLACK >= (sizes[lists] - sizes[own]) / 2
+        angle = np.minimum(np.arccos(np.clip(threshold, -1, 1)), np.arctan2(across, along))
+        return ((1 + np.cos(angle)) * along + np.sin(angle) * across) / 2 + SLACK >= (sizes[lists] - sizes[own]) / 2
 
     def probes(self, units: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Nearest list of each vector, and (row, list) of the other lists that it probes."""

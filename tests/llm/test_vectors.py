@@ -56,3 +56,24 @@ def test_recall_at_the_threshold(spark):
     want = {i: n for i, (n, _) in brute_force(rows, 0.9).items()}
     assert all(got[i] <= want[i] for i in want)
     assert sum(got.values()) >= 0.99 * sum(want.values())
+
+
+@pytest.mark.parametrize("kind", ["low rank", "clustered", "each cluster its own plane"])
+def test_no_link_is_missed_on_correlated_vectors(spark, kind):
+    """Vectors that vary in few directions, with partners near the threshold in these directions."""
+    rng = np.random.default_rng(17)
+    plane = rng.normal(size=(8, 64))
+    x = rng.normal(size=(1500, 8)) @ plane
+    step = rng.normal(size=(1500, 8)) @ plane
+    if kind != "low rank":
+        center = 2 * rng.normal(size=(30, 64))[np.arange(1500) % 30]
+        spread = plane if kind == "clustered" else rng.normal(size=(30, 8, 64))[np.arange(1500) % 30]
+        x = center + np.einsum("ij,...jk->ik" if kind == "clustered" else "ij,ijk->ik", rng.normal(size=(1500, 8)), spread) / 2
+        step = np.einsum("ij,...jk->ik" if kind == "clustered" else "ij,ijk->ik", rng.normal(size=(1500, 8)), spread)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    step -= (step * x).sum(axis=1, keepdims=True) * x
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    cos = rng.uniform(0.901, 0.93, size=(1500, 1))
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * step]))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_force(rows, 0.9)
