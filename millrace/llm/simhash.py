@@ -1,21 +1,27 @@
 """SimHash near-duplicates through a Gray-order hierarchical index.
 
-A fingerprint is the bitwise majority of the XXH64 hashes of a text's three-word shingles. Two fingerprints are
-linked if they differ in at most ``radius`` bits. The index has, from the top:
+A fingerprint is the bitwise majority of the hashes of a text's word shingles. The index has, from the top:
 
-* ``radius + 1`` families of upper nodes, each factoring out the pattern of one block of bits: fingerprints that
-  differ in at most ``radius`` bits share the pattern of at least one block, so every link lies below some node;
+* families of upper nodes, each factoring out a masked pattern of bits that all fingerprints below it share;
 * below each of them, the fingerprints in the order of their Gray rank, where neighbours share most of their bits;
-* groups of 16 neighbours, of 16 groups and so on, each with the mask and pattern of the bits all members share.
+* groups of FAN neighbours, of FAN groups and so on, each with the mask and pattern of the bits all members share.
 
 The search descends pairs of groups, adds up the differences of what their masks share, and drops a pair of
 whole groups once the sum exceeds the radius. Spark range-partitions and sorts the entries by (node, Gray rank);
-each task streams through its part, holding one run of at most ``CHUNK`` entries. Runs cut by a chunk or a
-partition border meet again as pairs of chunks, pruned by their masks before any entry is compared.
+each task streams through its part and grows the trees of all runs of a batch at once.
+
+Two operators stand on it:
+
+* ``near_duplicates`` links 64-bit fingerprints of three-word shingles within ``radius`` bits. Its nodes are
+  ``radius + 1`` blocks of bits, of which two linked fingerprints share one, so no link is missed.
+* ``similar`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At that
+  similarity 15 % of the bits differ, too many for blocks, so a node is a choice of bits out of ``WIDE`` words, in as
+  many families as the wanted ``MISS`` asks for. What the tree leaves is compared by the sets themselves.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -27,29 +33,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import connected_components, content_key, settle, small_batches
+from millrace.llm.common import connected_components, content_key, partitions, settle, small_batches, whole
 
 CHUNK = 2048
 FAN = 16
-SHORT_RUN = 64
-BLOCK_OF_SHINGLES = 8192
+BATCH = 20_000
+BLOCK_OF_SHINGLES = 255 * 32
 
 _hash = partial(xxhash.xxh64_intdigest, seed=42)
 
 
+def _hashes(words: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """Hashes of the shingles of ``words``, in blocks; fewer words than ``width`` are one shingle."""
+    n = max(1, len(words) - width + 1)
+    for start in range(0, n, BLOCK_OF_SHINGLES):
+        stop = min(n, start + BLOCK_OF_SHINGLES)
+        shingles = map(b" ".join, zip(*(words[start + k : stop + k] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
+        yield np.fromiter(map(_hash, shingles), dtype="<u8", count=stop - start)
+
+
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set in the rows of ``hashes`` (n, words)."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(len(hashes), -1), axis=1, bitorder="little")
+    full = len(bits) // 255 * 255
+    by_255 = bits[:full].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8)
+    return by_255.sum(axis=0, dtype=np.int64) + bits[full:].sum(axis=0, dtype=np.uint8)
+
+
 def fingerprint_of(text: bytes | None, width: int = 3) -> int:
     """Fingerprint as a signed 64-bit integer; zero for null or wordless texts."""
     words = (text or b"").lower().split()
     if not words:
         return 0
-    n = max(1, len(words) - width + 1)
-    ones = np.zeros(64, dtype=np.int64)
-    for start in range(0, n, BLOCK_OF_SHINGLES):
-        stop = min(n, start + BLOCK_OF_SHINGLES)
-        shingles = map(b" ".join, zip(*(words[start + k : stop + k] for k in range(width)))) if len(words) >= width else [b" ".join(words)]
-        hashes = np.fromiter(map(_hash, shingles), dtype="<u8", count=stop - start)
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
+    ones = sum(_ones(h[:, None]) for h in _hashes(words, width))
+    return int(np.packbits(2 * ones > max(1, len(words) - width + 1), bitorder="little").view("<i8")[0])
 
 
 @F.pandas_udf(T.LongType())
@@ -64,46 +81,64 @@ def gray_rank(bits: Column) -> Column:
     return bits.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _group(mask: np.ndarray, pattern: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.arange(0, len(mask), FAN)
-    every, some = np.bitwise_and.reduceat(pattern, at), np.bitwise_or.reduceat(pattern, at)
-    shared = np.bitwise_and.reduceat(mask, at) & ~(every ^ some)
-    return shared, every & shared
-
-
-def _tree(codes: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Levels from the entries up to at most FAN nodes: masks and patterns."""
-    levels = [(np.full(len(codes), ~np.uint64(0)), codes)]
-    while len(levels[-1][0]) > FAN:
-        levels.append(_group(*levels[-1]))
-    return levels
-
-
-def close_pairs(left: np.ndarray, right: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions (i, j) of entries within ``radius``; within ``left`` itself (i < j) if ``right`` is None."""
-    a = _tree(left)
-    b = a if right is None else _tree(right)
-    while len(a) < len(b):
-        a.append(_group(*a[-1]))
-    while len(b) < len(a):
-        b.append(_group(*b[-1]))
-    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(a[-1][0])), np.arange(len(b[-1][0])), indexing="ij"))
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.cumsum(sizes) - sizes
+
+
+class _Trees:
+    """The trees of several runs of codes in Gray order; level 0 has the codes, the last level one root a run."""
+
+    def __init__(self, codes: np.ndarray, starts: np.ndarray) -> None:
+        self.masks, self.patterns = [np.full(len(codes), ~np.uint64(0))], [codes]
+        self.first: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
+        self.ends: list[np.ndarray] = [np.zeros(0, dtype=np.int64)]
+        sizes = np.diff(np.r_[starts, len(codes)])
+        while sizes.max(initial=0) > 1:
+            groups = -(-sizes // FAN)
+            at = np.repeat(_offsets(sizes), groups) + FAN * (np.arange(groups.sum()) - np.repeat(_offsets(groups), groups))
+            every, some = np.bitwise_and.reduceat(self.patterns[-1], at), np.bitwise_or.reduceat(self.patterns[-1], at)
+            shared = np.bitwise_and.reduceat(self.masks[-1], at) & ~(every ^ some)
+            self.first.append(at)
+            self.ends.append(np.r_[at[1:], len(self.patterns[-1])])
+            self.masks.append(shared)
+            self.patterns.append(every & shared)
+            sizes = groups
+
+    def raised(self, height: int) -> _Trees:
+        """As high as ``height`` levels: nodes of one child on top."""
+        while len(self.masks) < height:
+            n = len(self.masks[-1])
+            self.first.append(np.arange(n))
+            self.ends.append(np.arange(n) + 1)
+            self.masks.append(self.masks[-1])
+            self.patterns.append(self.patterns[-1])
+        return self
+
+
+def close_pairs(left: np.ndarray, right: np.ndarray | None, radius: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (i, j) of codes within ``radius``: i < j in one run of ``left`` (runs begin at ``starts``), or in ``left`` and ``right``."""
+    a = _Trees(left, np.zeros(1, dtype=np.int64) if starts is None else starts)
+    b = a if right is None else _Trees(right, np.zeros(1, dtype=np.int64))
+    height = max(len(a.masks), len(b.masks))
+    a.raised(height), b.raised(height)
+    i = np.arange(len(a.masks[-1]))
+    j = i.copy()
     counted, known = np.zeros(len(i), dtype=np.int64), np.zeros(len(i), dtype=np.uint64)
-    for level in range(len(a) - 1, -1, -1):
-        (mask_a, pattern_a), (mask_b, pattern_b) = a[level], b[level]
+    for level in range(height - 1, -1, -1):
         if right is None:
             keep = i < j if level == 0 else i <= j
             i, j, counted, known = i[keep], j[keep], counted[keep], known[keep]
-        shared = mask_a[i] & mask_b[j]
-        counted = counted + np.bitwise_count((pattern_a[i] ^ pattern_b[j]) & shared & ~known)
+        shared = a.masks[level][i] & b.masks[level][j]
+        counted = counted + np.bitwise_count((a.patterns[level][i] ^ b.patterns[level][j]) & shared & ~known)
         keep = counted <= radius
         i, j, counted, known = i[keep], j[keep], counted[keep], shared[keep]
         if level:
-            di, dj = (x.ravel() for x in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
-            i, j = (FAN * i[:, None] + di).ravel(), (FAN * j[:, None] + dj).ravel()
-            counted, known = np.repeat(counted, FAN * FAN), np.repeat(known, FAN * FAN)
-            inside = (i < len(a[level - 1][0])) & (j < len(b[level - 1][0]))
-            i, j, counted, known = i[inside], j[inside], counted[inside], known[inside]
+            wide = b.ends[level][j] - b.first[level][j]
+            sizes = (a.ends[level][i] - a.first[level][i]) * wide
+            of = np.repeat(np.arange(len(i)), sizes)
+            at = np.arange(len(of)) - np.repeat(_offsets(sizes), sizes)
+            i, j = a.first[level][i][of] + at // wide[of], b.first[level][j][of] + at % wide[of]
+            counted, known = counted[of], known[of]
     return i, j
 
 
@@ -127,77 +162,67 @@ def _links(codes: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray,
     return codes[moved], codes[label[moved]]
 
 
-def _short_runs(keys: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within runs of equal keys, by growing distance between the positions."""
-    found, step = [(np.zeros(0, dtype=np.int64),) * 2], 1
-    alive = np.arange(len(keys) - 1)
-    while len(alive):
-        alive = alive[alive + step < len(keys)]
-        alive = alive[keys[alive] == keys[alive + step]]
-        near = alive[np.bitwise_count(codes[alive] ^ codes[alive + step]) <= radius]
-        found.append((near, near + step))
-        step += 1
-    return tuple(np.concatenate(x) for x in zip(*found))
+def _runs(batches: Iterator[pd.DataFrame], columns: list[str]) -> Iterator[tuple[bool, np.ndarray, list[np.ndarray]]]:
+    """Sorted rows (key, ...) as (open, starts of the runs of equal keys, columns).
 
+    Runs that may go on elsewhere (in the next piece, in another task) come alone and are ``open``; so does every piece
+    of a run that was cut. No piece of a run has more than CHUNK rows.
+    """
+    held = [np.zeros(0, dtype=np.int64) for _ in columns]
+    first: int | None = None
+    cut: int | None = None
 
-SEARCH_SCHEMA = "a long, b long, key long, chunk long, mask long, pattern long, codes binary"
-
-
-def _search(radius: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links inside each run; the runs that may go on elsewhere also leave as chunks."""
-    part, chunk = TaskContext.get().partitionId(), 0
-    held_keys, held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    first_key: int | None = None
-    split_key: int | None = None
-
-    def linked(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}).reindex(columns=COLUMNS)
-
-    def as_chunk(key: int, codes: np.ndarray) -> pd.DataFrame:
-        nonlocal chunk
-        chunk += 1
-        every, some = np.bitwise_and.reduce(codes), np.bitwise_or.reduce(codes)
-        mask = ~(every ^ some)
-        return pd.DataFrame({"key": [key], "chunk": [(part << 32) | chunk], "mask": [int(mask.view(np.int64))], "pattern": [int((every & mask).view(np.int64))], "codes": [codes.tobytes()]}).reindex(columns=COLUMNS)
-
-    def run(key: int, codes: np.ndarray, open_: bool) -> Iterator[pd.DataFrame]:
-        for at in range(0, len(codes), CHUNK):
-            piece = codes[at : at + CHUNK]
-            yield linked(*_links(piece, *close_pairs(piece, None, radius)))
-            if open_ or len(codes) > CHUNK:
-                yield as_chunk(key, piece)
+    def pieces(rows: list[np.ndarray]) -> Iterator[tuple[bool, np.ndarray, list[np.ndarray]]]:
+        for at in range(0, len(rows[0]), CHUNK):
+            yield True, np.zeros(1, dtype=np.int64), [c[at : at + CHUNK] for c in rows]
 
     for batch in batches:
-        keys = np.concatenate([held_keys, batch["key"].to_numpy(np.int64)])
-        codes = np.concatenate([held, batch["code"].to_numpy(np.int64).view(np.uint64)])
-        if not len(keys):
+        rows = [np.concatenate([h, batch[c].to_numpy(np.int64)]) for h, c in zip(held, columns)]
+        if not len(rows[0]):
             continue
-        if first_key is None:
-            first_key = int(keys[0])
+        keys = rows[0]
+        first = int(keys[0]) if first is None else first
         starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        last, ends = starts[-1], np.r_[starts[1:], len(keys)]
-        short = np.zeros(len(keys), dtype=bool)
-        for s, e in zip(starts[:-1], ends[:-1]):
-            key = int(keys[s])
-            if e - s > SHORT_RUN or key in (first_key, split_key):
-                yield from run(key, codes[s:e], key in (first_key, split_key))
-            else:
-                short[s:e] = True
-        if short.any():
-            some = codes[short]
-            yield linked(*_links(some, *_short_runs(keys[short], some, radius)))
-        whole = (len(keys) - last) // CHUNK * CHUNK
-        if whole:
-            split_key = int(keys[last])
-            yield from run(split_key, codes[last : last + whole], True)
-        held_keys, held = keys[last + whole :], codes[last + whole :]
-    if len(held):
-        yield from run(int(held_keys[0]), held, True)
+        sizes = np.diff(np.r_[starts, len(keys)])
+        alone = (sizes > CHUNK) | (keys[starts] == first)
+        if cut is not None:
+            alone |= keys[starts] == cut
+        alone[-1] = False
+        for s, n in zip(starts[alone], sizes[alone]):
+            yield from pieces([c[s : s + n] for c in rows])
+        rest = ~alone
+        rest[-1] = False
+        if rest.any():
+            some = np.repeat(rest, sizes)
+            yield False, _offsets(sizes[rest]), [c[some] for c in rows]
+        last, n = starts[-1], sizes[-1] // CHUNK * CHUNK
+        if n:
+            cut = int(keys[last])
+            yield from pieces([c[last : last + n] for c in rows])
+        held = [c[last + n :] for c in rows]
+    if len(held[0]):
+        yield from pieces(held)
 
 
+SEARCH_SCHEMA = "a long, b long, key long, chunk long, mask long, pattern long, codes binary"
 COLUMNS = [c.split()[0] for c in SEARCH_SCHEMA.split(", ")]
 
 
+def _search(radius: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links inside each run; the runs that may go on elsewhere also leave as chunks."""
+    part, chunk = TaskContext.get().partitionId(), 0
+    for open_, starts, (keys, signed) in _runs(batches, ["key", "code"]):
+        codes = signed.view(np.uint64)
+        a, b = _links(codes, *close_pairs(codes, None, radius, starts))
+        yield pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)}).reindex(columns=COLUMNS)
+        if open_:
+            chunk += 1
+            every, some = np.bitwise_and.reduce(codes), np.bitwise_or.reduce(codes)
+            mask = ~(every ^ some)
+            row = {"key": [int(keys[0])], "chunk": [(part << 32) | chunk], "mask": [int(mask.view(np.int64))], "pattern": [int((every & mask).view(np.int64))], "codes": [codes.tobytes()]}
+            yield pd.DataFrame(row).reindex(columns=COLUMNS)
+
+
 def _across(radius: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for left, right in zip(batch["left"], batch["right"]):
@@ -210,16 +235,18 @@ def _across(radius: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFra
 def links(codes: DataFrame, radius: int = 3) -> DataFrame:
     """Links (a, b) that connect exactly the distinct ``codes`` (code long) within ``radius`` bits of each other.
 
-    Only a spanning forest of every chunk's links leaves a task, never all pairs of a dense group.
+    Only a spanning forest of every chunk's links leaves a task, never all pairs of a dense group. Runs cut by a chunk
+    or a partition border meet again as pairs of chunks, pruned by their masks before any entry is compared.
     """
     blocks = radius + 1
     width = 64 // blocks
     nodes = F.array(*(F.shiftrightunsigned("code", k * width).bitwiseAND((1 << width) - 1) + F.lit(k << width) for k in range(blocks)))
     entries = codes.select("code", F.explode(nodes).alias("key"), gray_rank(F.col("code")).alias("rank"))
-    parts = int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    small_batches(codes.sparkSession, BATCH)
     found = settle(
-        entries.repartitionByRange(parts, "key", "rank").sortWithinPartitions("key", "rank").select("key", "code").mapInPandas(partial(_search, radius), SEARCH_SCHEMA)
+        entries.repartitionByRange(partitions(codes.sparkSession), "key", "rank").sortWithinPartitions("key", "rank").select("key", "code").mapInPandas(partial(_search, radius), SEARCH_SCHEMA)
     )
+    small_batches(codes.sparkSession)
     chunks = found.where("key is not null").select("key", "chunk", "mask", "pattern", "codes")
     left, right = (chunks.select("key", *(F.col(c).alias(f"{side}_{c}") for c in ("chunk", "mask", "pattern", "codes"))) for side in ("l", "r"))
     apart = F.bit_count(F.expr("(l_pattern ^ r_pattern) & l_mask & r_mask"))
@@ -245,25 +272,225 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         docs.select(F.col(id_col).alias("id"), content_key(F.col(text_col)).alias("text_key"), _fingerprints(F.col(text_col).cast("binary")).alias("code"))
     )
     codes = prints.groupBy("code").agg(F.min("id").alias("least"))
-    roots = connected_components(links(codes.select("code"), radius))
-    rooted = codes.join(roots, codes["code"] == roots["node"], "left").select("code", "least", F.coalesce("root", "code").alias("root"))
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = settle(rooted.join(named, "root").select("code", "component_id"))
+    of = _named(codes, "code", connected_components(links(codes.select("code"), radius)))
     return prints.join(of, "code").select(F.col("id").alias(id_col), "text_key", F.col("code").alias("fingerprint"), "component_id")
 
 
+def _named(entries: DataFrame, key: str, roots: DataFrame) -> DataFrame:
+    """(key, component_id): the smallest ``least`` of each component of ``entries``."""
+    rooted = entries.join(roots, entries[key] == roots["node"], "left").select(key, "least", F.coalesce("root", key).alias("root"))
+    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return settle(rooted.join(component, "root").select(key, "component_id"))
+
+
+WIDTH = 5
+SIMILARITY = 0.8
+WIDE = 8
+MISS = 0.01
+RUN = 128
+PAIRS_A_ENTRY = 8
+CENTRES = 3
+
+
+def differing(similarity: float) -> float:
+    """Share of fingerprint bits that differ, on average, between two sets of equal size at a Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def radius_for(similarity: float, miss: float, bits: int = 64) -> int:
+    """The fewest differing bits that all but ``miss`` of the pairs at ``similarity`` keep to."""
+    p, sure = differing(similarity), 0.0
+    for r in range(bits + 1):
+        sure += math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
+        if 1 - sure <= miss:
+            return r
+    return bits
+
+
+def unseen(share: float, taken: int, families: int) -> float:
+    """The probability that two fingerprints, of which a ``share`` of the bits differ, agree on no family of ``taken`` bits."""
+    bits, out = 64 * (WIDE - 1), 0.0
+    for d in range(bits + 1):
+        log = math.lgamma(bits + 1) - math.lgamma(d + 1) - math.lgamma(bits - d + 1) + d * math.log(share) + (bits - d) * math.log(1 - share)
+        agree = math.prod((bits - d - k) / (bits - k) for k in range(taken)) if bits - d >= taken else 0.0
+        out += math.exp(log) * (1 - agree) ** families
+    return out
+
+
+def families(entries: int, similarity: float, miss: float) -> list[list[int]]:
+    """The bits of each family of nodes: as many bits as leave about RUN unrelated entries in a node, and as many
+    families as find a pair at ``similarity`` in all but ``miss`` cases. Bits come from the words after the first."""
+    taken, n = max(4, math.ceil(math.log2(max(1, entries) / RUN))), 1
+    while unseen(differing(similarity), taken, n) > miss:
+        n += max(1, n // 16)
+    rng = np.random.default_rng(1031)
+    return [sorted(rng.choice(np.arange(64, 64 * WIDE), size=taken, replace=False).tolist()) for _ in range(n)]
+
+
+_FACTORS = np.random.default_rng(811).integers(0, 1 << 63, size=WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | bytes | None) -> np.ndarray:
+    """The sorted distinct hashes of a text's five-word shingles (words in lower case); none for null or wordless texts."""
+    words = (text.decode(errors="replace") if isinstance(text, bytes) else text or "").lower().encode().split()
+    return np.unique(np.concatenate(list(_hashes(words, WIDTH)))) if words else np.zeros(0, dtype=np.uint64)
+
+
+def wide_fingerprint(found: np.ndarray) -> np.ndarray:
+    """WIDE words of the bitwise majority over a shingle set."""
+    ones = np.zeros(64 * WIDE, dtype=np.int64)
+    for at in range(0, len(found), BLOCK_OF_SHINGLES):
+        mixed = found[at : at + BLOCK_OF_SHINGLES, None] * _FACTORS
+        mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        ones += _ones(np.ascontiguousarray(mixed ^ (mixed >> np.uint64(29))))
+    return np.packbits(2 * ones > len(found), bitorder="little").view("<i8")
+
+
+@F.pandas_udf(T.StructType().add("content", T.BinaryType()).add("code", T.ArrayType(T.LongType())))
+def _sketched(texts: pd.Series) -> pd.DataFrame:
+    sets = [shingle_set(t) for t in texts]
+    return pd.DataFrame({"content": [xxhash.xxh128_digest(x.tobytes()) for x in sets], "code": [wide_fingerprint(x).tolist() for x in sets]})
+
+
+@F.pandas_udf(T.BinaryType())
+def _sets(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
+
+
+@F.pandas_udf(T.BooleanType())
+def _alike(left: pd.Series, right: pd.Series) -> pd.Series:
+    def one(a: bytes, b: bytes) -> bool:
+        if min(len(a), len(b)) < SIMILARITY * max(len(a), len(b)) - 1e-6:
+            return False
+        x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        return both >= SIMILARITY * (len(x) + len(y) - both) - 1e-9
+
+    return pd.Series([one(a, b) for a, b in zip(left, right)], dtype=bool)
+
+
+NODE_SCHEMA = "a long, b long, key long, entry long, code long"
+
+
+def _nodes(bits: list[list[int]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each entry and family: the node's key, and the first word of the fingerprint."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        words = np.stack(batch["code"].to_numpy()).astype("<i8")
+        spread = np.unpackbits(words.view(np.uint8).reshape(len(words), -1), axis=1, bitorder="little")
+        for k, own in enumerate(bits):
+            pattern = np.zeros(len(words), dtype=np.int64)
+            for bit in own:
+                pattern = (pattern << 1) | spread[:, bit]
+            # 20 bits say the family; a pattern of more than 43 bits, beyond 10^14 entries, would share nodes, which only costs time
+            yield pd.DataFrame({"key": (pattern & ((1 << 43) - 1)) | (k << 43), "entry": batch["entry"].to_numpy(), "code": words[:, 0]})
+
+
+def _candidates(radius: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of entries to compare, from nodes with few of them; the entries of all other nodes as they are.
+
+    A node that is cut, or with more than PAIRS_A_ENTRY close pairs for each entry, is left to ``similar``.
+    """
+    columns = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
+    for open_, starts, (keys, entries, signed) in _runs(batches, ["key", "entry", "code"]):
+        sizes = np.diff(np.r_[starts, len(keys)])
+        dense = np.full(len(starts), open_)
+        if not open_:
+            i, j = close_pairs(signed.view(np.uint64), None, radius, starts)
+            run = np.searchsorted(starts, i, side="right") - 1
+            dense = np.bincount(run, minlength=len(starts)) > PAIRS_A_ENTRY * sizes
+            i, j = i[~dense[run]], j[~dense[run]]
+            yield pd.DataFrame({"a": np.minimum(entries[i], entries[j]), "b": np.maximum(entries[i], entries[j])}).reindex(columns=columns)
+        if dense.any():
+            some = np.repeat(dense, sizes)
+            yield pd.DataFrame({"key": keys[some], "entry": entries[some], "code": signed[some]}).reindex(columns=columns)
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    return rows.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) among ``pairs``, by the sets themselves."""
+    right = pairs.join(sets.select(F.col("entry").alias("b"), F.col("shingles").alias("y")), "b")
+    both = right.join(sets.select(F.col("entry").alias("a"), F.col("shingles").alias("x")), "a")
+    return settle(both.where(_alike("x", "y")).select("a", "b"))
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
+    """One row per document: ``id_col``, ``text_key`` and ``component_id``, the smallest id reachable over links.
+
+    Texts are linked if the Jaccard similarity of their five-word shingle sets is 0.8 or more; what is linked is exact, and
+    a pair at exactly 0.8 stays unseen with the probability ``miss`` at most, one above it less and less. Texts with
+    equal sets are one entry. Null ids never name a component unless it has no other. Null, empty and wordless texts
+    are linked with each other. Repeated rows keep their rows. Columns other than the two named ones are ignored. An
+    empty table gives an empty result.
+
+    Where very many entries of a node are close, all their pairs are not written out. They are compared with CENTRES
+    of their node first; later every pair follows whose entries are still in different components.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    rows = docs.select(F.col(id_col).alias("id"), content_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
+    prints = settle(rows.select("id", "text_key", _sketched("text").alias("s")).select("id", "text_key", "s.content", "s.code"))
+    entries = prints.groupBy("content").agg(F.min("id").alias("least"), F.min("text_key").alias("of"), F.first("code").alias("code"))
+    entries = settle(entries.withColumn("entry", F.monotonically_increasing_id()))
+    bits, radius = families(entries.count(), SIMILARITY, miss / 2), radius_for(SIMILARITY, miss / 2)
+    nodes = entries.select("entry", "code").mapInPandas(partial(_nodes, bits), "key long, entry long, code long").withColumn("rank", gray_rank(F.col("code")))
+    dealt = nodes.repartitionByRange(partitions(spark), "key", "rank").sortWithinPartitions("key", "rank").select("key", "entry", "code")
+    small_batches(spark, BATCH)
+    found = settle(dealt.mapInPandas(partial(_candidates, radius), NODE_SCHEMA))
+    small_batches(spark)
+    dense = found.where("key is not null").select("key", "entry", "code")
+    close = F.bit_count(F.col("code").bitwiseXOR(F.col("centre.code"))) <= radius
+    around = None
+    for k in range(CENTRES):
+        centre = dense.groupBy("key").agg(F.min(F.struct(F.xxhash64("entry", F.lit(k)).alias("h"), "entry", "code")).alias("centre"))
+        star = dense.join(centre, "key").where(close).select(F.col("centre.entry").alias("x"), F.col("entry").alias("y"))
+        around = star if around is None else around.unionByName(star)
+    first = settle(_pairs(found.where("a is not null").select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(around)))
+    met = first.select(F.col("a").alias("entry")).unionByName(first.select(F.col("b").alias("entry"))).unionByName(dense.select("entry")).distinct()
+    texts = rows.join(entries.join(met, "entry", "left_semi").select("entry", F.col("of").alias("text_key"), "content"), "text_key")
+    sets = settle(texts.groupBy("entry").agg(F.first("text").alias("text")).select("entry", _sets("text").alias("shingles")))
+    roots = connected_components(_checked(first, sets))
+
+    named = dense.join(roots, dense["entry"] == roots["node"], "left").select("key", "entry", "code", F.coalesce("root", "entry").alias("root"))
+    shares = named.groupBy("key", "root").agg(F.count("*").alias("n"))
+    main = shares.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("main.root").alias("main"))
+    named = settle(named.join(main, "key"))
+    other = named.where("root != main").select("key", F.col("entry").alias("x"), F.col("code").alias("of_x"), F.col("root").alias("root_x"))
+    apart = named.join(other, "key").where((F.col("root") != F.col("root_x")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("of_x"))) <= radius))
+    rest = settle(_pairs(apart.select("x", F.col("entry").alias("y"))).join(first, ["a", "b"], "left_anti"))
+    if not rest.isEmpty():
+        late = _checked(rest, sets)
+        for side in ("a", "b"):
+            late = late.join(roots, late[side] == roots["node"], "left").withColumn(side, F.coalesce("root", side)).drop("node", "root")
+        merged = connected_components(late).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        old = roots.join(merged, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+        roots = old.unionByName(merged.select(F.col("root").alias("node"), F.col("top").alias("root")))
+    of = _named(entries.select("content", "least", "entry"), "entry", roots)
+    of = entries.select("entry", "content").join(of, "entry").select("content", "component_id")
+    return prints.join(of, "content").select(F.col("id").alias(id_col), "text_key", "component_id")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 3) -> DataFrame:
     """The documents of which one per component stays: the one with the smallest id (then the smallest text key).
 
-    All columns of ``docs`` are kept. Of rows that repeat both id and text, one stays.
+    All columns of ``docs`` are kept, whatever their names. Of rows that repeat both id and text, one stays.
     """
     return keep_least(docs, near_duplicates(docs, id_col, text_col, radius), id_col, text_col)
 
 
+def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As ``keep_one``, for the components of ``similar``."""
+    return keep_least(docs, similar(docs, id_col, text_col), id_col, text_col)
+
+
 def keep_least(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Of each component in ``rows``, the document with the smallest id (then the smallest text key)."""
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("text_key").alias("t"))
-    chosen = settle(rows.groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k.i").alias("_id"), F.col("k.t").alias("_key")))
-    keyed = docs.withColumn("_key", content_key(F.col(text_col)))
-    kept = keyed.join(chosen, (keyed["_key"] == chosen["_key"]) & keyed[id_col].eqNullSafe(chosen["_id"]), "left_semi")
-    return kept.dropDuplicates([id_col, "_key"]).drop("_key")
+    chosen = settle(rows.groupBy("component_id").agg(F.min(order).alias("k")).select(F.col("k.i").alias("chosen_id"), F.col("k.t").alias("chosen_key")))
+    keyed = docs.select(whole(docs), F.col(id_col).alias("id"), content_key(F.col(text_col)).alias("text_key"))
+    kept = keyed.join(chosen, (F.col("text_key") == F.col("chosen_key")) & F.col("id").eqNullSafe(F.col("chosen_id")), "left_semi")
+    return kept.dropDuplicates(["id", "text_key"]).select("doc.*")

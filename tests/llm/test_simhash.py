@@ -1,6 +1,9 @@
+import random
+
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from millrace.llm import simhash
 from millrace.llm.catalog import op1_simhash
 
@@ -74,3 +77,74 @@ def test_edge_cases(spark):
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 6, 7]
     assert simhash.near_duplicates(docs.where(F.lit(False))).count() == 0
+
+
+def plain_shingles(text):
+    words = (text or "").lower().encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike_components(texts):
+    """texts: id -> text; id -> smallest id reachable over exact similarity."""
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    label = {i: i for i in texts}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j:
+                both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+                if not either or 10 * both >= 8 * either:
+                    a, b = root(i), root(j)
+                    label[max(a, b)] = min(a, b)
+    return {i: root(i) for i in texts}
+
+
+def edited_documents():
+    """Copies with a few words edited, about half of them above the limit, and a dense group."""
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = rng.choices(vocabulary, k=rng.randint(40, 200))
+        texts.append(base)
+        for _ in range(3):
+            copy, edits = list(base), rng.randint(1, 1 + len(base) // 25)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(copy)
+    base = rng.choices(vocabulary, k=120)
+    texts += [[w if i != at and i != at + 40 else "x" for i, w in enumerate(base)] for at in range(60)]
+    rng.shuffle(texts)
+    return {i: " ".join(t) for i, t in enumerate(texts)} | {1000: "", 1001: " ", 1002: "one two", 1003: "One  two"}
+
+
+def test_stage_equals_brute_force_similarity(spark):
+    texts = edited_documents()
+    want = alike_components(texts)
+    assert 30 < len(set(want.values())) < len(texts) - 100
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in simhash.similar(docs).collect()}
+    assert got == want
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_table_equals_brute_force_similarity(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    want = alike_components({r.doc_id: r.text for r in docs.collect()})
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == want
+
+
+def test_edge_cases_of_similar(spark):
+    rows = [(1, "a b c d", 9), (1, "a b c d", 9), (2, "A  b\tc d", 9), (None, "a b c d", 9), (3, None, 9), (4, "", 9), (6, "x", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, entry int")
+    got = simhash.similar(docs).collect()
+    assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(None, 1), (1, 1), (2, 1), (3, 3), (4, 3), (6, 6)}
+    assert sorted(r.doc_id for r in simhash.keep_one_similar(docs).collect()) == [1, 3, 6]
+    assert simhash.similar(docs.limit(0)).count() == 0
