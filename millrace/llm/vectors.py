@@ -5,15 +5,20 @@
   partner in another list lies across the border of both lists, and the middle of the two vectors lies on one side
   of it. A vector probes all lists whose side the middle to some partner within the threshold's angle can reach,
   in whatever direction the partner lies. So at least one of both probes the other's list, and no link is missed,
-  however the vectors are spread.
-* In a list, vectors are stored as residuals to the centroid, coded by one byte in each of ``PARTS`` subspaces
-  (codebooks from the same sample), with the length of what the code leaves out. A table of the distances from the
-  probing residual to all codewords gives the distance to each coded vector by look-ups. The true distance differs
-  by at most the left-out length, so what lies farther than r plus that length is no link; what is left is reranked
-  by the exact cosine in double precision.
-* Lists are cut into blocks of at most ``BLOCK`` vectors, and blocks of probes meet blocks of members in a join that
-  Spark splits where a list is large. A task sends on the number of links of each vector and a spanning
-  forest of the links, never the links of a dense group.
+  however the vectors are spread. Which lists a vector probes is settled once and travels with it.
+* In a list, vectors are stored as residuals to the centroid, coded by one of ``CODES`` codewords in each of ``PARTS``
+  subspaces (codebooks from the same sample), with the length of what the code leaves out. A table of the products of
+  the probing vector with all codewords gives the distance to each coded vector by look-ups; for a block of vectors, the
+  look-ups are one product of tables and code indicators. The true distance differs by at most the left-out length,
+  so what lies farther than r plus that length is no link; what is left is reranked by the exact cosine in double
+  precision.
+* Lists are dealt in groups of near centroids, so a vector is sent once to a group and not to every list there. Groups
+  are cut into blocks of at most ``BLOCK`` vectors, and blocks of probes meet blocks of members in a join whose
+  keys are salted. A task sends on the number of links of each vector and a spanning forest of the links, never the
+  links of a dense group.
+
+The number of lists is the square root of the number of vectors, up to an eighth of the sample; the work grows with
+vectors times the members of the probed lists. How many lists are probed depends on the spread of the vectors.
 """
 
 from __future__ import annotations
@@ -26,84 +31,78 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import connected_components, settle, small_batches
+from millrace.llm.common import connected_components, partitions, settle, small_batches
 from millrace.llm.simhash import forest
 
 THRESHOLD = 0.9
 SAMPLE = 20_000
-PARTS = 8
-CODES = 64
+PARTS = 16
+CODES = 16
 BLOCK = 1024
-BLOCKS_AT_ONCE = 16
-MAX_LISTS = 4096
+BLOCKS_AT_ONCE = 8
 ROUNDS = 8
-SLACK = 1e-5
+SLACK = 1e-4
+SPAN = 1e-12
 
 
 def _kmeans(points: np.ndarray, k: int) -> np.ndarray:
     """Centroids of a bounded sample, started from evenly spaced members of it."""
     centroids = points[np.linspace(0, len(points) - 1, min(k, len(points))).astype(int)].copy()
     for _ in range(ROUNDS):
-        nearest = (points @ centroids.T * 2 - (centroids**2).sum(axis=1)).argmax(axis=1)
+        nearest = _nearest(points, centroids)
         order = np.argsort(nearest, kind="stable")
         seen, start = np.unique(nearest[order], return_index=True)
         centroids[seen] = np.add.reduceat(points[order], start, axis=0) / np.diff(np.r_[start, len(points)])[:, None]
     return centroids
 
 
+def _nearest(points: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    return (points @ centroids.T * 2 - (centroids**2).sum(axis=1)).argmax(axis=1)
+
+
 class Quantiser:
-    """Coarse centroids and residual codebooks, trained on at most SAMPLE unit vectors of one dimension."""
+    """Coarse centroids in groups, and residual codebooks, trained on at most ``SAMPLE`` unit vectors of one dimension."""
 
     def __init__(self, sample: np.ndarray, rows: int) -> None:
-        lists = int(min(MAX_LISTS, max(1, np.sqrt(rows)), max(1, len(sample) // 8)))
+        lists = int(min(max(1, np.sqrt(rows)), max(1, len(sample) // 8)))
         self.centroids = _kmeans(sample, lists)
-        self.gaps = np.sqrt(np.maximum(1e-12, ((self.centroids[:, None] - self.centroids[None]) ** 2).sum(axis=2)))
-        residuals = sample - self.centroids[self.nearest(sample)[0]]
+        self.sizes = (self.centroids**2).sum(axis=1)
+        self.groups = _nearest(self.centroids, _kmeans(self.centroids, int(np.ceil(np.sqrt(len(self.centroids))))))
+        residuals = sample - self.centroids[_nearest(sample, self.centroids)]
         self.cuts = np.array_split(np.arange(sample.shape[1]), min(PARTS, sample.shape[1]))
         self.books = [_kmeans(residuals[:, c], CODES) for c in self.cuts]
 
-    def nearest(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        squares = np.maximum(0, 1 + (self.centroids**2).sum(axis=1) - 2 * units @ self.centroids.T)
-        return squares.argmin(axis=1), squares
-
-    def reaches(self, units: np.ndarray, own: np.ndarray, dots: np.ndarray, lists: np.ndarray, threshold: float) -> np.ndarray:
-        """Whether vectors of the lists ``own`` probe ``lists``; ``dots`` are their products with both centroids.
+    def probes(self, units: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Nearest list of each vector, and which other lists it probes (vector, list).
 
         The middle of x and a partner at the angle p is ``((1 + cos p) x + sin p u) / 2`` with a unit vector u across x.
         """
-        sizes = (self.centroids**2).sum(axis=1)
-        along = dots[..., 1] - dots[..., 0]
-        across = np.sqrt(np.maximum(0, self.gaps[own, lists] ** 2 - along**2))
+        own = _nearest(units, self.centroids)
+        dots = units @ self.centroids.T
+        mine = np.arange(len(units))
+        along = dots - dots[mine, own][:, None]
+        gaps = self.sizes[own][:, None] + self.sizes - 2 * self.centroids[own] @ self.centroids.T
+        across = np.sqrt(np.maximum(0, gaps - along**2))
         angle = np.minimum(np.arccos(np.clip(threshold, -1, 1)), np.arctan2(across, along))
-        return ((1 + np.cos(angle)) * along + np.sin(angle) * across) / 2 + SLACK >= (sizes[lists] - sizes[own]) / 2
-
-    def probes(self, units: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Nearest list of each vector, and (row, list) of the other lists that it probes."""
-        own = self.nearest(units)[0]
-        every = units @ self.centroids.T
-        lists = np.broadcast_to(np.arange(len(self.centroids)), every.shape)
-        mine = np.broadcast_to(own[:, None], every.shape)
-        dots = np.stack([np.broadcast_to(every[np.arange(len(units)), own][:, None], every.shape), every], axis=-1)
-        rows, found = np.nonzero(self.reaches(units, mine, dots, lists, threshold) & (lists != mine))
-        return own, rows, found
-
-    def encode(self, residuals: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes, and the length that they leave out."""
-        codes = np.empty((len(residuals), len(self.books)), dtype=np.uint8)
-        left = np.zeros(len(residuals))
-        for p, (cut, book) in enumerate(zip(self.cuts, self.books)):
-            part = residuals[:, cut]
-            codes[:, p] = (part @ book.T * 2 - (book**2).sum(axis=1)).argmax(axis=1)
-            left += ((part - book[codes[:, p]]) ** 2).sum(axis=1)
-        return codes, np.sqrt(left)
-
-    def tables(self, residuals: np.ndarray) -> np.ndarray:
-        """Squared distances (vector, part, codeword) from each residual's parts to all codewords."""
-        out = np.zeros((len(residuals), len(self.books), CODES), dtype=np.float32)
-        for p, (cut, book) in enumerate(zip(self.cuts, self.books)):
-            part = residuals[:, cut]
-            out[:, p, : len(book)] = (part**2).sum(axis=1)[:, None] + (book**2).sum(axis=1) - 2 * part @ book.T
-        return out
+        reached = ((1 + np.cos(angle)) * along + np.sin(angle) * across) / 2 + SLACK >= (self.sizes - self.sizes[own][:, None]) / 2
+        reached[mine, own] = False
+        return own, reached
+
+    def encode(self, residuals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Indicators (vector, codeword of each part), what the codes leave out, and the codes' squared lengths."""
+        wide = sum(len(b) for b in self.books)
+        shown, left, length, at = np.zeros((len(residuals), wide), dtype=np.float32), np.zeros(len(residuals)), np.zeros(len(residuals)), 0
+        for cut, book in zip(self.cuts, self.books):
+            code = _nearest(residuals[:, cut], book)
+            left += ((residuals[:, cut] - book[code]) ** 2).sum(axis=1)
+            length += (book**2).sum(axis=1)[code]
+            shown[np.arange(len(residuals)), at + code] = 1
+            at += len(book)
+        return shown, np.sqrt(left), length
+
+    def tables(self, units: np.ndarray) -> np.ndarray:
+        """Products of each vector's parts with all codewords."""
+        return np.concatenate([units[:, cut] @ book.T for cut, book in zip(self.cuts, self.books)], axis=1).astype(np.float32)
 
 
 def _vectors(column: pd.Series, kind: str) -> np.ndarray:
@@ -111,70 +110,32 @@ def _vectors(column: pd.Series, kind: str) -> np.ndarray:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision; components are scaled first, so that no square is lost or overflows."""
     both = vectors.astype(np.float64)
+    both = both / np.abs(both).max(axis=1, keepdims=True)
     return both / np.linalg.norm(both, axis=1, keepdims=True)
 
 
-def _dealt(quantiser: Quantiser, threshold: float, kind: str, members: bool, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each entry in its own list (``members``), or for each other list that it probes."""
-    for batch in batches:
-        if not len(batch):
-            continue
-        units = _unit(_vectors(batch["vector"], kind))
-        if members:
-            yield batch.assign(list=quantiser.nearest(units)[0])[["list", "entry", "copies", "vector"]]
-            continue
-        _, rows, lists = quantiser.probes(units, threshold)
-        yield pd.DataFrame({"list": lists, "entry": batch["entry"].to_numpy()[rows], "copies": batch["copies"].to_numpy()[rows], "vector": batch["vector"].to_numpy()[rows]})
-
+DEALT = "part int, role int, list int, entry long, copies long, vector binary, probed binary"
 
-def _compared(quantiser: Quantiser, threshold: float, kind: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of blocks of one list: links of each entry, and a forest of them.
 
-    A link between two lists can be found from both sides. Then each side counts its own; if only one side probes
-    the other's list, it counts for both.
-    """
-    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+def _dealt(quantiser: Quantiser, threshold: float, kind: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row for each entry as a member (role 0) of its own group, and one (role 1) for each group in which it probes a list."""
+    groups = np.unique(quantiser.groups)
+    of = np.equal.outer(quantiser.groups, groups)
     for batch in batches:
-        for of, left, right, members, same in zip(batch["list"], batch["left"], batch["right"], batch["members"], batch["same"]):
-            a, b = _block(left, kind), _block(right, kind)
-            center = quantiser.centroids[of]
-            codes, left_out = quantiser.encode(b[2] - center)
-            tables = quantiser.tables(a[2] - center)
-            squares = np.zeros((len(a[0]), len(b[0])), dtype=np.float32)
-            for p in range(codes.shape[1]):
-                squares += tables[:, p][:, codes[:, p]]
-            near = np.sqrt(np.maximum(0, squares)) <= reach + left_out
-            if same:
-                near &= np.triu(np.ones(near.shape, dtype=bool), 1)
-            i, j = np.nonzero(near)
-            for at in range(0, len(i), 1 << 16):
-                x, y = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
-                linked = np.einsum("ij,ij->i", a[2][x], b[2][y]) >= threshold
-                near[x[~linked], y[~linked]] = False
-            i, j = np.nonzero(near)
-            if not len(i):
-                continue
-            once = np.ones(len(i), dtype=bool)
-            if not members:
-                home = quantiser.nearest(a[2])[0][i]
-                dots = np.stack([b[2][j] @ center, np.einsum("ij,ij->i", b[2][j], quantiser.centroids[home])], axis=-1)
-                once = ~quantiser.reaches(b[2][j], np.full(len(j), of), dots, home, threshold)
-            entries = np.concatenate([a[0], b[0]])
-            links = np.concatenate([near @ b[1], np.bincount(j[once], weights=a[1][i[once]], minlength=len(b[0])).astype(np.int64)])
-            root = forest(len(entries), i, j + len(a[0]))
-            some = np.flatnonzero((links > 0) | (root != np.arange(len(entries))))
-            yield pd.DataFrame({"entry": entries[some], "links": links[some].astype(np.int64), "root": entries[root[some]]})
-
-
-def _block(packed: bytes, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(packed, dtype="<i8", count=1)[0])
-    heads = np.frombuffer(packed, dtype="<i8", count=2 * n, offset=8)
-    return heads[:n], heads[n:], _unit(np.frombuffer(packed, dtype=kind, offset=8 + 16 * n).reshape(n, -1))
+        if not len(batch):
+            continue
+        own, reached = quantiser.probes(_unit(_vectors(batch["vector"], kind)), threshold)
+        packed = np.packbits(reached, axis=1, bitorder="little")
+        rows = batch.assign(list=own, probed=[x.tobytes() for x in packed])
+        yield rows.assign(part=quantiser.groups[own], role=0)[[c.split()[0] for c in DEALT.split(", ")]]
+        row, group = np.nonzero(reached.astype(np.float32) @ of.astype(np.float32) > 0)
+        yield rows.iloc[row].assign(part=groups[group], role=1)[[c.split()[0] for c in DEALT.split(", ")]]
 
 
 def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by list as blocks; a block never mixes lists."""
+    """Rows sorted by group, role and list as blocks; a block mixes neither groups nor roles."""
     held: list[pd.DataFrame] = []
     key, size = None, 0
 
@@ -182,12 +143,13 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         nonlocal held, size
         if size:
             rows = pd.concat(held)
-            data = np.int64(size).tobytes() + rows["entry"].to_numpy("<i8").tobytes() + rows["copies"].to_numpy("<i8").tobytes() + b"".join(rows["vector"])
-            yield pd.DataFrame({"list": [key], "least": [int(rows["entry"].min())], "block": [data]})
+            heads = np.stack([rows[c].to_numpy("<i8") for c in ("entry", "copies", "list")])
+            data = np.array([size, len(rows["probed"].iloc[0])], dtype="<i8").tobytes() + heads.tobytes() + b"".join(rows["probed"]) + b"".join(rows["vector"])
+            yield pd.DataFrame({"part": [key[0]], "role": [key[1]], "low": [int(rows["list"].min())], "high": [int(rows["list"].max())], "least": [int(rows["entry"].iloc[0])], "block": [data]})
             held, size = [], 0
 
     for batch in batches:
-        for now, rows in batch.groupby("list", sort=False):
+        for now, rows in batch.groupby(["part", "role"], sort=False):
             at = 0
             while at < len(rows):
                 if now != key or size == BLOCK:
@@ -199,6 +161,75 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from flush()
 
 
+class _Block:
+    """Entries, copies, lists, probed lists and unit vectors of a block."""
+
+    def __init__(self, packed: bytes, kind: str) -> None:
+        n, wide = (int(x) for x in np.frombuffer(packed, dtype="<i8", count=2))
+        self.entries, self.copies, self.lists = np.frombuffer(packed, dtype="<i8", count=3 * n, offset=16).reshape(3, n)
+        self.probed = np.frombuffer(packed, dtype=np.uint8, count=wide * n, offset=16 + 24 * n).reshape(n, wide)
+        self.units = _unit(np.frombuffer(packed, dtype=kind, offset=16 + (24 + wide) * n).reshape(n, -1))
+
+    def probes(self, of: int) -> np.ndarray:
+        return (self.probed[:, of >> 3] >> (of & 7)) & 1 == 1
+
+
+def _exact(a: np.ndarray, b: np.ndarray, near: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of ``near`` whose cosine reaches the threshold."""
+    if 32 * np.count_nonzero(near) > near.size:
+        cosines = a @ b.T
+        i, j = np.nonzero(near & (cosines >= threshold - SPAN))
+        edge = np.flatnonzero(cosines[i, j] < threshold + SPAN)
+    else:
+        i, j = np.nonzero(near)
+        edge = np.arange(len(i))
+    good = np.ones(len(i), dtype=bool)
+    for at in range(0, len(edge), 1 << 16):
+        some = edge[at : at + (1 << 16)]
+        good[some] = np.einsum("ij,ij->i", a[i[some]], b[j[some]]) >= threshold
+    return i[good], j[good]
+
+
+def _compared(quantiser: Quantiser, threshold: float, kind: str, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of blocks of one group: links of each entry, and a forest of them.
+
+    A link between two lists can be found from both sides. Then each side counts its own; if only one side probes
+    the other's list, it counts for both.
+    """
+    reach = np.sqrt(max(0.0, 2 - 2 * threshold)) + SLACK
+    for batch in batches:
+        for left, right, role, same in zip(batch["left"], batch["right"], batch["role"], batch["same"]):
+            a, b = _Block(left, kind), _Block(right, kind)
+            tables = quantiser.tables(a.units)
+            pairs, twice = [(np.zeros(0, dtype=np.int64),) * 2], [np.zeros(0, dtype=bool)]
+            for of in np.unique(b.lists):
+                mine = np.flatnonzero(a.lists == of if role == 0 else a.probes(of))
+                theirs = np.flatnonzero(b.lists == of)
+                if not len(mine):
+                    continue
+                center = quantiser.centroids[of]
+                shown, left_out, length = quantiser.encode(b.units[theirs] - center)
+                apart = a.units[mine] - center
+                squares = (tables[mine] - quantiser.tables(center[None])) @ (-2 * shown.T)
+                near = squares <= ((reach + left_out) ** 2 - length)[None] - (apart**2).sum(axis=1)[:, None]
+                if same:
+                    near &= mine[:, None] < theirs[None]
+                i, j = _exact(a.units[mine], b.units[theirs], near, threshold)
+                pairs.append((mine[i], theirs[j]))
+                home = a.lists[mine[i]]
+                twice.append((b.probed[theirs[j], home >> 3] >> (home & 7)) & 1 == 1)
+            i, j = (np.concatenate(x) for x in zip(*pairs))
+            if not len(i):
+                continue
+            once = ~np.concatenate(twice)
+            n = len(a.entries)
+            entries = np.concatenate([a.entries, b.entries])
+            links = np.concatenate([np.bincount(i, weights=b.copies[j], minlength=n), np.bincount(j[once], weights=a.copies[i[once]], minlength=len(b.entries))])
+            root = forest(len(entries), i, j + n)
+            some = np.flatnonzero((links > 0) | (root != np.arange(len(entries))))
+            yield pd.DataFrame({"entry": entries[some], "links": links[some].astype(np.int64), "root": entries[root[some]]})
+
+
 def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
     """One row per vector: ``id_col``, ``n_links``, ``component_id`` and ``kept``.
 
@@ -216,7 +247,7 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
     rows = table.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector")).withColumn("fine", F.coalesce(fine, F.lit(False)))
     rows = rows.withColumn("key", F.when(F.col("fine"), F.sha2(F.array_join(F.transform("vector", lambda x: F.when(x == 0, 0.0).otherwise(x)), ",").cast("binary"), 256)))
     entries = rows.where("fine").groupBy("key").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.any_value("vector").alias("vector"))
-    entries = settle(entries.withColumn("entry", F.xxhash64("key")).withColumn("width", F.size("vector")))
+    entries = settle(entries.withColumn("entry", F.monotonically_increasing_id()).withColumn("width", F.size("vector")))
     singles = settle(rows.select("id", "key"))
     found = None
     for width, n in sorted((r.width, r.n) for r in entries.groupBy("width").agg(F.count("*").alias("n")).collect()):
@@ -241,28 +272,23 @@ def near_duplicates(table: DataFrame, id_col: str = "vec_id", vector_col: str =
 def _linked(entries: DataFrame, n: int, threshold: float, single: bool) -> DataFrame:
     """Links and forest (entry, links, root) among distinct vectors of one dimension."""
     spark = entries.sparkSession
-    chosen = entries.where(F.pmod(F.xxhash64("entry", F.lit(1)), F.lit(max(1, n // SAMPLE))) == 0).select("vector").limit(2 * SAMPLE).toPandas()
-    if not len(chosen):
-        chosen = entries.select("vector").limit(SAMPLE).toPandas()
-    sample = np.stack(chosen["vector"].to_numpy())
-    quantiser = Quantiser(sample / np.linalg.norm(sample, axis=1, keepdims=True), n)
+    some = entries.where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // SAMPLE))) == 0) if n > 2 * SAMPLE else entries
+    chosen = some.select("key", "vector").orderBy("key").limit(SAMPLE).toPandas()
+    quantiser = Quantiser(_unit(np.stack(chosen["vector"].to_numpy())), n)
     kind = "<f4" if single else "<f8"
 
     @F.pandas_udf("binary")
     def raw(vectors: pd.Series) -> pd.Series:
         return pd.Series([np.asarray(v, dtype=kind).tobytes() for v in vectors])
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = entries.select("entry", "copies", raw("vector").alias("vector"))
-
-    def blocks(members: bool) -> DataFrame:
-        dealt = rows.mapInPandas(partial(_dealt, quantiser, threshold, kind, members), "list int, entry long, copies long, vector binary")
-        return dealt.repartitionByRange(parts, "list", "entry").sortWithinPartitions("list", "entry").mapInPandas(_packed, "list int, least long, block binary")
-
-    members = settle(blocks(True))
-    right = members.select("list", F.col("least").alias("r"), F.col("block").alias("right"))
-    within = members.select("list", F.col("least").alias("l"), F.col("block").alias("left")).join(right, "list").where("l <= r")
-    between = blocks(False).select("list", F.col("block").alias("left")).join(right.drop("r"), "list")
-    pairs = within.select("list", "left", "right", F.lit(True).alias("members"), (F.col("l") == F.col("r")).alias("same"))
-    pairs = pairs.unionByName(between.select("list", "left", "right", F.lit(False).alias("members"), F.lit(False).alias("same")))
+    parts = partitions(spark)
+    rows = entries.select("entry", "copies", raw("vector").alias("vector")).mapInPandas(partial(_dealt, quantiser, threshold, kind), DEALT)
+    dealt = rows.repartitionByRange(parts, "part", "role", "list", "entry").sortWithinPartitions("part", "role", "list", "entry")
+    blocks = settle(dealt.mapInPandas(_packed, "part int, role int, low int, high int, least long, block binary"))
+    salts = max(1, -(-2 * parts // len(np.unique(quantiser.groups))))
+    right = blocks.where("role = 0").select("part", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "low", F.col("least").alias("r"), F.col("block").alias("right"))
+    salt = F.pmod(F.xxhash64("role", "low", "least"), F.lit(salts)).cast("int").alias("salt")
+    left = blocks.select("part", salt, "role", "high", F.col("low").alias("from"), F.col("least").alias("l"), F.col("block").alias("left"))
+    pairs = left.join(right, ["part", "salt"]).where((F.col("role") == 1) | (F.col("from") < F.col("low")) & (F.col("high") >= F.col("low")) | (F.col("from") == F.col("low")) & (F.col("l") <= F.col("r")))
+    pairs = pairs.select("left", "right", "role", ((F.col("role") == 0) & (F.col("from") == F.col("low")) & (F.col("l") == F.col("r"))).alias("same"))
     return pairs.mapInPandas(partial(_compared, quantiser, threshold, kind), "entry long, links long, root long")

@@ -77,3 +77,9 @@ def test_no_link_is_missed_on_correlated_vectors(spark, kind):
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(np.concatenate([x, cos * x + np.sqrt(1 - cos**2) * step]))]
     got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == brute_force(rows, 0.9)
+
+
+def test_very_long_and_very_short_vectors(spark):
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1.0001e200]), (3, [1e-200, 1e-200]), (4, [1e-320, 2e-320]), (5, [-1e300, 1e300])]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (3, 1), 5: (0, 5)}
