@@ -22,7 +22,7 @@ def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     taught = docs.where(~langid.held_out()).select(F.col("doc_id").alias("id"), "text", "lang")
     scored = langid.predict(docs.select("doc_id", "text"), langid.train(taught))
-    return scored.select("doc_id", langid.held_out().alias("held_out"), "language.*")
+    return scored.select("doc.doc_id", langid.held_out("doc.doc_id").alias("held_out"), "language.*")
 
 
 SURROGATE_KEY = b"a deployment brings its own key"

@@ -7,9 +7,10 @@ followers of u kinds gives c / (n + u) to a byte seen c times and u / (n + u) to
 context every byte costs 8 bits. The language that needs the fewest bits for the whole text wins. The trees are
 frozen: scoring a text never changes them.
 
-Counts come from a bounded sample of the labelled rows (``train_bytes`` for each language, whole documents in
-hash order) and are summed by Spark. The frozen trees, whose size that bound limits, go to the tasks, which
-score whole texts in slices of bounded size.
+Counts come from a bounded sample of the labelled rows (documents in hash order, ``train_bytes`` for each language and
+``TRAIN_TOTAL`` for all of them) and are summed by Spark. The frozen trees, whose size that bound limits, are broadcast
+to the tasks, which score whole texts in slices of bounded size. Languages share tables in groups of ``GROUP``, so the
+tables grow with the sample and not with its grams times all languages.
 """
 
 from __future__ import annotations
@@ -18,23 +19,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_batches
+from millrace.llm.common import settle, small_batches, whole
 
 ORDER = 4
 TRAIN_BYTES = 400_000
+TRAIN_TOTAL = 4_000_000
+GROUP = 8
 SLICE = 1 << 19
-BUCKETS = 4096
+BUCKETS = 64
 UNKNOWN_BITS = 8.0
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _grams(data: np.ndarray, order: int) -> np.ndarray:
     """The context of ``order`` bytes and the byte itself, packed, for each position from ``order`` on."""
-    n = len(data) - order
-    packed = np.zeros(max(0, n), dtype=np.uint64)
+    n = max(0, len(data) - order)
+    packed = np.zeros(n, dtype=np.uint64)
     for k in range(order + 1):
         packed = (packed << np.uint64(8)) | data[k : k + n].astype(np.uint64)
     return packed
@@ -53,22 +57,29 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame({"lang": lang, "k": k, "gram": grams.astype(np.int64), "n": counts})
 
 
-def sample(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """Whole documents of ``labelled`` (id, text, lang), in hash order, until each language has ``train_bytes``.
+def sample(labelled: DataFrame, train_bytes: int = TRAIN_BYTES, total: int = TRAIN_TOTAL) -> DataFrame:
+    """Rows (lang, text as bytes) of ``labelled`` (id, text, lang), in hash order, up to ``train_bytes`` for each language.
 
-    Hash buckets are cut off where the running sum of a language's bytes passes the bound, so no language is
+    With more languages than ``total`` holds, each gets an equal share of it. A single text teaches by its first
+    ``train_bytes`` at most, so a language has less than twice its bound, whatever the size of the corpus. Hash
+    buckets, of which BUCKETS hold about the bound, are cut off where their running sum passes it, so no language is
     ever sorted or gathered in one task.
     """
-    rows = labelled.withColumn("bucket", F.pmod(F.xxhash64("id"), F.lit(BUCKETS))).withColumn("bytes", F.octet_length("text"))
-    sums = rows.groupBy("lang", "bucket").agg(F.sum("bytes").alias("bytes"))
+    data = F.substring(F.col("text").cast("binary"), 1, train_bytes)
+    rows = labelled.select("lang", data.alias("text"), F.xxhash64("id").bitwiseAND((1 << 62) - 1).alias("h"))
+    sums = settle(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("all")))
+    bound = min(train_bytes, total // max(1, sums.count()))
+    wide = F.least(F.lit(1 << 62), F.greatest(F.lit(1), F.lit(1 << 62) / F.greatest(F.lit(1), F.col("all")) * bound / BUCKETS)).cast("long")
+    # one row for each language on the right: Spark broadcasts it while it is small and shuffles otherwise
+    dealt = rows.join(sums, "lang").withColumn("bucket", (F.col("h") / wide).cast("long")).where(F.col("bucket") < 2 * BUCKETS)
+    buckets = dealt.groupBy("lang", "bucket").agg(F.sum(F.octet_length("text")).alias("bytes"))
     before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    chosen = sums.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < train_bytes)
-    cuts = chosen.groupBy("lang").agg(F.max("bucket").alias("cut"))  # as many rows as the trees have languages
-    return rows.join(F.broadcast(cuts), "lang").where("bucket <= cut").select("lang", "text")
+    cuts = buckets.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < bound).groupBy("lang").agg(F.max("bucket").alias("cut"))
+    return dealt.join(cuts, "lang").where("bucket <= cut").select("lang", "text")
 
 
 class Trees:
-    """Frozen context trees of all languages in arrays that are looked up by hash."""
+    """Frozen context trees of some languages in arrays that are looked up by hash."""
 
     def __init__(self, counts: pd.DataFrame) -> None:
         self.langs = sorted(counts["lang"].unique())
@@ -182,43 +193,62 @@ class Trees:
             total[group] = np.add.reduceat(self.costs(data, reach).astype(np.float64), starts, axis=0)
 
 
-def train(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> Trees:
+class Forest:
+    """The trees of all languages, in groups of GROUP."""
+
+    def __init__(self, counts: pd.DataFrame) -> None:
+        self.langs = sorted(counts["lang"].unique())
+        groups = [self.langs[k : k + GROUP] for k in range(0, len(self.langs), GROUP)]
+        self.trees = [Trees(counts[counts["lang"].isin(g)]) for g in groups]
+
+    def lengths(self, texts: list[bytes]) -> np.ndarray:
+        return np.concatenate([t.lengths(texts) for t in self.trees], axis=1)
+
+
+def train(labelled: DataFrame, train_bytes: int = TRAIN_BYTES) -> Forest:
     """Context trees of the languages in ``labelled`` (id, text, lang); rows with null text or lang teach nothing."""
     small_batches(labelled.sparkSession)
     rows = labelled.where(F.col("lang").isNotNull() & (F.octet_length("text") > 0))
-    texts = sample(rows, train_bytes).select("lang", F.col("text").cast("binary").alias("text"))
+    texts = sample(rows, train_bytes)
     counts = texts.mapInPandas(_counted, "lang string, k int, gram long, n long").groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
-    return Trees(counts.toPandas())
+    found = counts.toPandas()
+    found["lang"] = found["lang"].astype("category")
+    return Forest(found)
 
 
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def predict(docs: DataFrame, trees: Trees, text_col: str = "text") -> DataFrame:
-    """``docs`` with a struct column ``language`` (lang_pred, score, bits_per_byte) from every whole text.
-
-    ``lang_pred`` is the language with the shortest code (the first by name on a tie), ``score`` its posterior
-    probability under equal priors. A null text or one without a letter is ``und`` with score 0 and null bits per
-    byte, as is every text if nothing was learned. An empty table gives an empty result.
-    """
-    small_batches(docs.sparkSession)
-    names = np.array([*trees.langs, "und"], dtype=object)
-
+def _language(model: Broadcast, name: str) -> Column:
     @F.pandas_udf("lang_pred string, score double, bits_per_byte double")
     def language(texts: pd.Series, letters: pd.Series) -> pd.DataFrame:
-        known = letters.to_numpy(bool) & (len(trees.langs) > 0)
+        forest = model.value
+        names = np.array([*forest.langs, "und"], dtype=object)
+        known = letters.to_numpy(bool) & (len(forest.langs) > 0)
         sizes = np.array([len(t) if k else 0 for t, k in zip(texts, known)])
-        best, score, rate = np.full(len(texts), len(trees.langs)), np.zeros(len(texts)), np.full(len(texts), np.nan)
+        best, score, rate = np.full(len(texts), len(forest.langs)), np.zeros(len(texts)), np.full(len(texts), np.nan)
         if known.any():
-            bits = trees.lengths([t if k else b"" for t, k in zip(texts, known)])[known]
+            bits = forest.lengths([t if k else b"" for t, k in zip(texts, known)])[known]
             best[known] = bits.argmin(axis=1)
             least = bits.min(axis=1)
             score[known] = 1.0 / np.exp2(np.maximum(least[:, None] - bits, -1000.0)).sum(axis=1)
             rate[known] = least / sizes[known]
         return pd.DataFrame({"lang_pred": names[best], "score": score, "bits_per_byte": rate})
 
-    return docs.withColumn("language", language(F.col(text_col).cast("binary"), has_letter(F.col(text_col))))
+    return language(F.col(name).cast("binary"), has_letter(F.col(name))).alias("language")
+
+
+def predict(docs: DataFrame, forest: Forest, text_col: str = "text") -> DataFrame:
+    """Structs ``doc`` (all columns of ``docs``) and ``language`` (lang_pred, score, bits_per_byte) from every whole text.
+
+    ``lang_pred`` is the language with the shortest code (the first by name on a tie), ``score`` its posterior
+    probability under equal priors. A null text or one without a letter is ``und`` with score 0 and null bits per
+    byte, as is every text if nothing was learned. Repeated rows get equal results. An empty table gives an empty result.
+    """
+    small_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(forest)
+    return docs.select(whole(docs), F.col(text_col).alias("text")).select("doc", _language(model, "text"))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -235,7 +265,6 @@ def keep_known(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``MAX_BITS_PER_BYTE`` (text of a learned language takes 2 to 4 bits a byte, and up to 9 if short or full of
     digits and capitals; bytes that no language has seen take about 20). All other documents stay, also those of which ``lang`` is null.
     """
-    trees = train(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
-    scored = predict(docs.select(F.struct(*docs.columns).alias("doc"), F.col(text_col).alias("text")), trees)
+    forest = train(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")))
     known = (F.col("language.lang_pred") != "und") & (F.col("language.bits_per_byte") <= MAX_BITS_PER_BYTE)
-    return scored.where(known).select("doc.*")
+    return predict(docs, forest, text_col).where(known).select("doc.*")

@@ -61,7 +61,7 @@ def test_edge_cases(spark):
     taught = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, None, "en"), (4, "text", None), (5, "", "fr")], "id long, text string, lang string")
     rows = [(1, None, 1), (2, "", 1), (3, "123 !", 1), (None, "the dog", 1), (None, "the dog", 1), (6, "le chien " * 40000, 1), (7, "дом", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
-    got = {(r.doc_id, r.language.lang_pred) for r in d.predict(docs, d.train(taught)).collect()}
+    got = {(r.doc.doc_id, r.language.lang_pred) for r in d.predict(docs, d.train(taught)).collect()}
     assert got >= {(1, "und"), (2, "und"), (3, "und"), (None, "en"), (6, "fr")}
     assert {r.language.lang_pred for r in d.predict(docs, d.train(taught.limit(0))).collect()} == {"und"}
     full = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, score int, lang string")
@@ -69,3 +69,46 @@ def test_edge_cases(spark):
     assert kept.columns == full.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 0, 6, 7]
     assert d.keep_known(full.limit(0)).count() == 0
+
+
+def test_texts_of_few_bytes_and_clashing_columns(spark):
+    short = [(i, "abcdef"[: i + 1], "en") for i in range(6)] + [(10 + i, "xyzuvw"[: i + 1], "fr") for i in range(6)]
+    taught = spark.createDataFrame(short, "id long, text string, lang string").repartition(12)
+    docs = spark.createDataFrame([(i, t, n, 1, 2) for i, t, n in short], "doc_id long, text string, lang string, language int, bucket int").repartition(12)
+    got = {r.doc.doc_id: r.language.lang_pred for r in d.predict(docs, d.train(taught)).collect()}
+    assert got == {i: n for i, _, n in short}
+    assert d.keep_known(docs).columns == docs.columns
+
+
+def test_sample_and_trees_stay_within_their_bound(spark):
+    rng = __import__("random").Random(3)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=60)), f"l{i % 200}") for i in range(4000)] + [(9999, "x" * 300_000, "l0")]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    sizes = {r.lang: r.n for r in d.sample(docs, 20_000, 200_000).groupBy("lang").agg({"text": "count"}).withColumnRenamed("count(text)", "n").collect()}
+    assert len(sizes) == 200 and all(1 <= n <= 6 for n in sizes.values())
+    forest = d.train(docs, 2000)
+    assert len(forest.langs) == 200 and len(__import__("pickle").dumps(forest)) < 200_000_000
+
+
+def test_query_equals_a_plain_walk(spark):
+    """Training sample and counts of the query, walked plainly over every text of the smallest table."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    taught = docs.where(~d.held_out()).selectExpr("doc_id as id", "text", "lang").where("lang is not null and octet_length(text) > 0")
+    counts = {}
+    for r in d.sample(taught).collect():
+        own = counts.setdefault(r.lang, [defaultdict(Counter) for _ in range(5)])
+        for i in range(len(r.text)):
+            for k in range(min(4, i) + 1):
+                own[k][bytes(r.text[i - k : i])][r.text[i]] += 1
+    got = {r.doc_id: r for r in op2_langid(spark, folder).collect()}
+    for r in docs.collect():
+        text = (r.text or "").encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id].lang_pred == "und"
+            continue
+        bits = {lang: plain_bits(own, text[:3000]) for lang, own in counts.items()}
+        if len(text) <= 3000:
+            assert math.isclose(min(bits.values()) / len(text), got[r.doc_id].bits_per_byte, rel_tol=1e-4)
+            assert bits[got[r.doc_id].lang_pred] - min(bits.values()) < 0.05
