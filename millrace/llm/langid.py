@@ -31,6 +31,7 @@ TRAIN_TOTAL = 4_000_000
 GROUP = 8
 SLICE = 1 << 19
 BUCKETS = 64
+BROADCAST_LANGUAGES = 10_000
 UNKNOWN_BITS = 8.0
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -68,14 +69,15 @@ def sample(labelled: DataFrame, train_bytes: int = TRAIN_BYTES, total: int = TRA
     data = F.substring(F.col("text").cast("binary"), 1, train_bytes)
     rows = labelled.select("lang", data.alias("text"), F.xxhash64("id").bitwiseAND((1 << 62) - 1).alias("h"))
     sums = settle(rows.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("all")))
-    bound = min(train_bytes, total // max(1, sums.count()))
+    languages = sums.count()
+    bound = min(train_bytes, total // max(1, languages))
     wide = F.least(F.lit(1 << 62), F.greatest(F.lit(1), F.lit(1 << 62) / F.greatest(F.lit(1), F.col("all")) * bound / BUCKETS)).cast("long")
-    # one row for each language on the right: Spark broadcasts it while it is small and shuffles otherwise
-    dealt = rows.join(sums, "lang").withColumn("bucket", (F.col("h") / wide).cast("long")).where(F.col("bucket") < 2 * BUCKETS)
+    few = F.broadcast if languages <= BROADCAST_LANGUAGES else (lambda df: df)
+    dealt = rows.join(few(sums), "lang").withColumn("bucket", (F.col("h") / wide).cast("long")).where(F.col("bucket") < 2 * BUCKETS)
     buckets = dealt.groupBy("lang", "bucket").agg(F.sum(F.octet_length("text")).alias("bytes"))
     before = F.sum("bytes").over(Window.partitionBy("lang").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     cuts = buckets.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < bound).groupBy("lang").agg(F.max("bucket").alias("cut"))
-    return dealt.join(cuts, "lang").where("bucket <= cut").select("lang", "text")
+    return dealt.join(few(cuts), "lang").where("bucket <= cut").select("lang", "text")
 
 
 class Trees:

@@ -288,7 +288,7 @@ SIMILARITY = 0.8
 WIDE = 8
 MISS = 0.01
 RUN = 128
-PAIRS_A_ENTRY = 8
+PAIRS_A_ENTRY = 1
 CENTRES = 3
 
 
@@ -369,11 +369,11 @@ def _alike(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right)], dtype=bool)
 
 
-NODE_SCHEMA = "a long, b long, key long, entry long, code long"
+NODE_SCHEMA = "a long, b long, key long, entry long, code long, second long"
 
 
 def _nodes(bits: list[list[int]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row for each entry and family: the node's key, and the first word of the fingerprint."""
+    """A row for each entry and family: the node's key, and the first two words of the fingerprint."""
     for batch in batches:
         if not len(batch):
             continue
@@ -384,33 +384,54 @@ def _nodes(bits: list[list[int]], batches: Iterator[pd.DataFrame]) -> Iterator[p
             for bit in own:
                 pattern = (pattern << 1) | spread[:, bit]
             # 20 bits say the family; a pattern of more than 43 bits, beyond 10^14 entries, would share nodes, which only costs time
-            yield pd.DataFrame({"key": (pattern & ((1 << 43) - 1)) | (k << 43), "entry": batch["entry"].to_numpy(), "code": words[:, 0]})
+            yield pd.DataFrame({"key": (pattern & ((1 << 43) - 1)) | (k << 43), "entry": batch["entry"].to_numpy(), "code": words[:, 0], "second": words[:, 1]})
 
 
-def _candidates(radius: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of entries to compare, from nodes with few of them; the entries of all other nodes as they are.
+def _candidates(radius: int, both: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of entries to compare, within ``radius`` bits of the first word and ``both`` of two words.
 
-    A node that is cut, or with more than PAIRS_A_ENTRY close pairs for each entry, is left to ``similar``.
+    Where a group of a node has more than PAIRS_A_ENTRY close pairs for each entry, its entries leave in place of the
+    pairs, under a key of the group; so do all entries of a node that is cut, under the node's key.
     """
     columns = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
-    for open_, starts, (keys, entries, signed) in _runs(batches, ["key", "entry", "code"]):
-        sizes = np.diff(np.r_[starts, len(keys)])
-        dense = np.full(len(starts), open_)
-        if not open_:
-            i, j = close_pairs(signed.view(np.uint64), None, radius, starts)
-            run = np.searchsorted(starts, i, side="right") - 1
-            dense = np.bincount(run, minlength=len(starts)) > PAIRS_A_ENTRY * sizes
-            i, j = i[~dense[run]], j[~dense[run]]
-            yield pd.DataFrame({"a": np.minimum(entries[i], entries[j]), "b": np.maximum(entries[i], entries[j])}).reindex(columns=columns)
-        if dense.any():
-            some = np.repeat(dense, sizes)
-            yield pd.DataFrame({"key": keys[some], "entry": entries[some], "code": signed[some]}).reindex(columns=columns)
+    for open_, starts, (keys, entries, signed, second) in _runs(batches, ["key", "entry", "code", "second"]):
+        if open_:
+            yield pd.DataFrame({"key": keys, "entry": entries, "code": signed, "second": second}).reindex(columns=columns)
+            continue
+        codes, more = signed.view(np.uint64), second.view(np.uint64)
+        i, j = close_pairs(codes, None, radius, starts)
+        keep = np.bitwise_count(codes[i] ^ codes[j]) + np.bitwise_count(more[i] ^ more[j]) <= both
+        i, j = i[keep], j[keep]
+        if not len(i):
+            continue
+        group = forest(len(keys), i, j)
+        dense = np.bincount(group[i], minlength=len(keys)) > PAIRS_A_ENTRY * np.bincount(group, minlength=len(keys))
+        few = ~dense[group[i]]
+        yield pd.DataFrame({"a": np.minimum(entries[i[few]], entries[j[few]]), "b": np.maximum(entries[i[few]], entries[j[few]])}).reindex(columns=columns)
+        some = dense[group]
+        if some.any():
+            of = (keys[some].view(np.uint64) * _FACTORS[0] + entries[group[some]].view(np.uint64) * _FACTORS[1]).view(np.int64)
+            yield pd.DataFrame({"key": of, "entry": entries[some], "code": signed[some], "second": second[some]}).reindex(columns=columns)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _differing(code: str, second: str) -> Column:
+    return F.bit_count(F.col("code").bitwiseXOR(F.col(code))) + F.bit_count(F.col("second").bitwiseXOR(F.col(second)))
+
+
+def _sets_of(pairs: DataFrame, entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """The shingle sets of all entries in ``pairs``, each from one document."""
+    met = pairs.select(F.col("a").alias("entry")).unionByName(pairs.select(F.col("b").alias("entry"))).distinct()
+    wanted = entries.join(met, "entry", "left_semi").select("entry", F.col("of.text_key").alias("of_key"), F.col("of.id").alias("of_id"))
+    texts = rows.join(wanted, (F.col("text_key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of_id")))
+    sets = settle(texts.select("entry", _sets("text").alias("shingles")))
+    repeated = sets.groupBy("entry").count().where("count > 1")
+    return sets if repeated.isEmpty() else settle(sets.dropDuplicates(["entry"]))
+
+
 def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The links (a, b) among ``pairs``, by the sets themselves."""
     right = pairs.join(sets.select(F.col("entry").alias("b"), F.col("shingles").alias("y")), "b")
@@ -434,36 +455,33 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mis
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), content_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
     prints = settle(rows.select("id", "text_key", _sketched("text").alias("s")).select("id", "text_key", "s.content", "s.code"))
-    entries = prints.groupBy("content").agg(F.min("id").alias("least"), F.min("text_key").alias("of"), F.first("code").alias("code"))
+    entries = prints.groupBy("content").agg(F.min("id").alias("least"), F.min(F.struct("text_key", "id")).alias("of"), F.first("code").alias("code"))
     entries = settle(entries.withColumn("entry", F.monotonically_increasing_id()))
-    bits, radius = families(entries.count(), SIMILARITY, miss / 2), radius_for(SIMILARITY, miss / 2)
-    nodes = entries.select("entry", "code").mapInPandas(partial(_nodes, bits), "key long, entry long, code long").withColumn("rank", gray_rank(F.col("code")))
-    dealt = nodes.repartitionByRange(partitions(spark), "key", "rank").sortWithinPartitions("key", "rank").select("key", "entry", "code")
+    bits, radius, both = families(entries.count(), SIMILARITY, miss / 2), radius_for(SIMILARITY, miss / 4), radius_for(SIMILARITY, miss / 4, 128)
+    nodes = entries.select("entry", "code").mapInPandas(partial(_nodes, bits), "key long, entry long, code long, second long")
+    order = ("key", gray_rank(F.col("code")))
     small_batches(spark, BATCH)
-    found = settle(dealt.mapInPandas(partial(_candidates, radius), NODE_SCHEMA))
+    found = settle(nodes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInPandas(partial(_candidates, radius, both), NODE_SCHEMA))
     small_batches(spark)
-    dense = found.where("key is not null").select("key", "entry", "code")
-    close = F.bit_count(F.col("code").bitwiseXOR(F.col("centre.code"))) <= radius
+    dense = found.where("key is not null").select("key", "entry", "code", "second")
     around = None
     for k in range(CENTRES):
-        centre = dense.groupBy("key").agg(F.min(F.struct(F.xxhash64("entry", F.lit(k)).alias("h"), "entry", "code")).alias("centre"))
-        star = dense.join(centre, "key").where(close).select(F.col("centre.entry").alias("x"), F.col("entry").alias("y"))
+        centre = dense.groupBy("key").agg(F.min(F.struct(F.xxhash64("entry", F.lit(k)).alias("h"), "entry", "code", "second")).alias("centre"))
+        star = dense.join(centre, "key").where(_differing("centre.code", "centre.second") <= both).select(F.col("centre.entry").alias("x"), F.col("entry").alias("y"))
         around = star if around is None else around.unionByName(star)
     first = settle(_pairs(found.where("a is not null").select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(around)))
-    met = first.select(F.col("a").alias("entry")).unionByName(first.select(F.col("b").alias("entry"))).unionByName(dense.select("entry")).distinct()
-    texts = rows.join(entries.join(met, "entry", "left_semi").select("entry", F.col("of").alias("text_key"), "content"), "text_key")
-    sets = settle(texts.groupBy("entry").agg(F.first("text").alias("text")).select("entry", _sets("text").alias("shingles")))
+    sets = _sets_of(first, entries, rows)
     roots = connected_components(_checked(first, sets))
 
-    named = dense.join(roots, dense["entry"] == roots["node"], "left").select("key", "entry", "code", F.coalesce("root", "entry").alias("root"))
+    named = dense.join(roots, dense["entry"] == roots["node"], "left").select("key", "entry", "code", "second", F.coalesce("root", "entry").alias("root"))
     shares = named.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = shares.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("main.root").alias("main"))
     named = settle(named.join(main, "key"))
-    other = named.where("root != main").select("key", F.col("entry").alias("x"), F.col("code").alias("of_x"), F.col("root").alias("root_x"))
-    apart = named.join(other, "key").where((F.col("root") != F.col("root_x")) & (F.bit_count(F.col("code").bitwiseXOR(F.col("of_x"))) <= radius))
+    other = named.where("root != main").select("key", F.col("entry").alias("x"), F.col("code").alias("code_x"), F.col("second").alias("second_x"), F.col("root").alias("root_x"))
+    apart = named.join(other, "key").where((F.col("root") != F.col("root_x")) & (_differing("code_x", "second_x") <= both))
     rest = settle(_pairs(apart.select("x", F.col("entry").alias("y"))).join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        late = _checked(rest, sets)
+        late = _checked(rest, _sets_of(rest, entries, rows))
         for side in ("a", "b"):
             late = late.join(roots, late[side] == roots["node"], "left").withColumn(side, F.coalesce("root", side)).drop("node", "root")
         merged = connected_components(late).select(F.col("node").alias("root"), F.col("root").alias("top"))
