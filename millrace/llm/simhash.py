@@ -369,7 +369,7 @@ def _alike(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right)], dtype=bool)
 
 
-NODE_SCHEMA = "a long, b long, key long, entry long, code long, second long"
+NODE_SCHEMA = "a long, b long, key long, entry long, code long, second long, middle boolean"
 
 
 def _nodes(bits: list[list[int]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -387,31 +387,51 @@ def _nodes(bits: list[list[int]], batches: Iterator[pd.DataFrame]) -> Iterator[p
             yield pd.DataFrame({"key": (pattern & ((1 << 43) - 1)) | (k << 43), "entry": batch["entry"].to_numpy(), "code": words[:, 0], "second": words[:, 1]})
 
 
+def _middle(words: np.ndarray) -> np.ndarray:
+    """Positions of the rows of ``words`` (n, 2), those closest to the bitwise majority of all first."""
+    ones = _ones(words)
+    majority = np.packbits(2 * ones > len(words), bitorder="little").view("<u8")
+    return np.argsort(np.bitwise_count(words ^ majority).sum(axis=1), kind="stable")
+
+
 def _candidates(radius: int, both: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs (a, b) of entries to compare, within ``radius`` bits of the first word and ``both`` of two words.
 
-    Where a group of a node has more than PAIRS_A_ENTRY close pairs for each entry, its entries leave in place of the
-    pairs, under a key of the group; so do all entries of a node that is cut, under the node's key.
+    Where a group of a node has more than PAIRS_A_ENTRY close pairs for each entry, only the pairs with CENTRES of its
+    entries leave, those in the middle of the group (of many copies of a text, the text itself). Its entries leave too,
+    under a key of the group; so do all entries of a node that is cut, under the node's key.
     """
     columns = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
-    for open_, starts, (keys, entries, signed, second) in _runs(batches, ["key", "entry", "code", "second"]):
-        if open_:
-            yield pd.DataFrame({"key": keys, "entry": entries, "code": signed, "second": second}).reindex(columns=columns)
-            continue
-        codes, more = signed.view(np.uint64), second.view(np.uint64)
-        i, j = close_pairs(codes, None, radius, starts)
-        keep = np.bitwise_count(codes[i] ^ codes[j]) + np.bitwise_count(more[i] ^ more[j]) <= both
+
+    def paired(x: np.ndarray, y: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)}).drop_duplicates().reindex(columns=columns)
+
+    for open_, starts, (keys, entries, signed, more) in _runs(batches, ["key", "entry", "code", "second"]):
+        words = np.stack([signed, more], axis=1).view(np.uint64)
+        i, j = close_pairs(words[:, 0].copy(), None, radius, starts)
+        keep = np.bitwise_count(words[i] ^ words[j]).sum(axis=1) <= both
         i, j = i[keep], j[keep]
-        if not len(i):
-            continue
         group = forest(len(keys), i, j)
-        dense = np.bincount(group[i], minlength=len(keys)) > PAIRS_A_ENTRY * np.bincount(group, minlength=len(keys))
+        sizes = np.bincount(group, minlength=len(keys))
+        dense = np.bincount(group[i], minlength=len(keys)) > PAIRS_A_ENTRY * sizes
         few = ~dense[group[i]]
-        yield pd.DataFrame({"a": np.minimum(entries[i[few]], entries[j[few]]), "b": np.maximum(entries[i[few]], entries[j[few]])}).reindex(columns=columns)
-        some = dense[group]
+        yield paired(entries[i[few]], entries[j[few]])
+        middle = np.zeros(len(keys), dtype=bool)
+        order = np.argsort(group, kind="stable")
+        for g in np.flatnonzero(dense):
+            at = np.searchsorted(group[order], g)
+            own = order[at : at + sizes[g]]
+            for c in own[_middle(words[own])[:CENTRES]]:
+                near = own[np.bitwise_count(words[own] ^ words[c]).sum(axis=1) <= both]
+                near = near[near != c]
+                yield paired(entries[near], np.full(len(near), entries[c]))
+        if open_:
+            largest = order[np.searchsorted(group[order], sizes.argmax()) :][: sizes.max()]
+            middle[largest[_middle(words[largest])[:1]]] = True
+        some = np.full(len(keys), True) if open_ else dense[group]
+        of = keys if open_ else (keys.view(np.uint64) * _FACTORS[0] + entries[group].view(np.uint64) * _FACTORS[1]).view(np.int64)
         if some.any():
-            of = (keys[some].view(np.uint64) * _FACTORS[0] + entries[group[some]].view(np.uint64) * _FACTORS[1]).view(np.int64)
-            yield pd.DataFrame({"key": of, "entry": entries[some], "code": signed[some], "second": second[some]}).reindex(columns=columns)
+            yield pd.DataFrame({"key": of[some], "entry": entries[some], "code": signed[some], "second": more[some], "middle": middle[some]}).reindex(columns=columns)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -448,8 +468,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mis
     are linked with each other. Repeated rows keep their rows. Columns other than the two named ones are ignored. An
     empty table gives an empty result.
 
-    Where very many entries of a node are close, all their pairs are not written out. They are compared with CENTRES
-    of their node first; later every pair follows whose entries are still in different components.
+    Where very many entries of a node are close, all their pairs are not written out. They are compared with those in
+    their middle first; later every pair follows whose entries are still in different components.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -464,11 +484,8 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mis
     found = settle(nodes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInPandas(partial(_candidates, radius, both), NODE_SCHEMA))
     small_batches(spark)
     dense = found.where("key is not null").select("key", "entry", "code", "second")
-    around = None
-    for k in range(CENTRES):
-        centre = dense.groupBy("key").agg(F.min(F.struct(F.xxhash64("entry", F.lit(k)).alias("h"), "entry", "code", "second")).alias("centre"))
-        star = dense.join(centre, "key").where(_differing("centre.code", "centre.second") <= both).select(F.col("centre.entry").alias("x"), F.col("entry").alias("y"))
-        around = star if around is None else around.unionByName(star)
+    centre = found.where("middle").groupBy("key").agg(F.min(F.struct(F.xxhash64("entry").alias("h"), "entry", "code", "second")).alias("centre"))
+    around = dense.join(centre, "key").where(_differing("centre.code", "centre.second") <= both).select(F.col("centre.entry").alias("x"), F.col("entry").alias("y"))
     first = settle(_pairs(found.where("a is not null").select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(around)))
     sets = _sets_of(first, entries, rows)
     roots = connected_components(_checked(first, sets))
