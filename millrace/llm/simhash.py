@@ -286,6 +286,7 @@ def _named(entries: DataFrame, key: str, roots: DataFrame) -> DataFrame:
 WIDTH = 5
 SIMILARITY = 0.8
 WIDE = 8
+FINE = 64
 MISS = 0.01
 RUN = 128
 PAIRS_A_ENTRY = 1
@@ -301,7 +302,7 @@ def radius_for(similarity: float, miss: float, bits: int = 64) -> int:
     """The fewest differing bits that all but ``miss`` of the pairs at ``similarity`` keep to."""
     p, sure = differing(similarity), 0.0
     for r in range(bits + 1):
-        sure += math.comb(bits, r) * p**r * (1 - p) ** (bits - r)
+        sure += math.exp(math.lgamma(bits + 1) - math.lgamma(r + 1) - math.lgamma(bits - r + 1) + r * math.log(p) + (bits - r) * math.log(1 - p))
         if 1 - sure <= miss:
             return r
     return bits
@@ -327,7 +328,7 @@ def families(entries: int, similarity: float, miss: float) -> list[list[int]]:
     return [sorted(rng.choice(np.arange(64, 64 * WIDE), size=taken, replace=False).tolist()) for _ in range(n)]
 
 
-_FACTORS = np.random.default_rng(811).integers(0, 1 << 63, size=WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(811).integers(0, 1 << 63, size=FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingle_set(text: str | bytes | None) -> np.ndarray:
@@ -336,11 +337,11 @@ def shingle_set(text: str | bytes | None) -> np.ndarray:
     return np.unique(np.concatenate(list(_hashes(words, WIDTH)))) if words else np.zeros(0, dtype=np.uint64)
 
 
-def wide_fingerprint(found: np.ndarray) -> np.ndarray:
-    """WIDE words of the bitwise majority over a shingle set."""
-    ones = np.zeros(64 * WIDE, dtype=np.int64)
-    for at in range(0, len(found), BLOCK_OF_SHINGLES):
-        mixed = found[at : at + BLOCK_OF_SHINGLES, None] * _FACTORS
+def wide_fingerprint(found: np.ndarray, words: int = WIDE) -> np.ndarray:
+    """So many words of the bitwise majority over a shingle set."""
+    ones, step = np.zeros(64 * words, dtype=np.int64), BLOCK_OF_SHINGLES * WIDE // words
+    for at in range(0, len(found), step):
+        mixed = found[at : at + step, None] * _FACTORS[:words]
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         ones += _ones(np.ascontiguousarray(mixed ^ (mixed >> np.uint64(29))))
     return np.packbits(2 * ones > len(found), bitorder="little").view("<i8")
@@ -357,6 +358,11 @@ def _sets(texts: pd.Series) -> pd.Series:
     return pd.Series([shingle_set(t).tobytes() for t in texts], dtype=object)
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _fine(sets: pd.Series) -> pd.Series:
+    return pd.Series([wide_fingerprint(np.frombuffer(x, dtype=np.uint64), FINE) for x in sets])
+
+
 @F.pandas_udf(T.BooleanType())
 def _alike(left: pd.Series, right: pd.Series) -> pd.Series:
     def one(a: bytes, b: bytes) -> bool:
@@ -369,7 +375,7 @@ def _alike(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(left, right)], dtype=bool)
 
 
-NODE_SCHEMA = "a long, b long, key long, entry long, code long, second long, middle boolean"
+NODE_SCHEMA = "a long, b long, key long, entry long, middle boolean"
 
 
 def _nodes(bits: list[list[int]], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -431,20 +437,19 @@ def _candidates(radius: int, both: int, batches: Iterator[pd.DataFrame]) -> Iter
         some = np.full(len(keys), True) if open_ else dense[group]
         of = keys if open_ else (keys.view(np.uint64) * _FACTORS[0] + entries[group].view(np.uint64) * _FACTORS[1]).view(np.int64)
         if some.any():
-            yield pd.DataFrame({"key": of[some], "entry": entries[some], "code": signed[some], "second": more[some], "middle": middle[some]}).reindex(columns=columns)
+            yield pd.DataFrame({"key": of[some], "entry": entries[some], "middle": middle[some]}).reindex(columns=columns)
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
     return rows.where("x != y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def _differing(code: str, second: str) -> Column:
-    return F.bit_count(F.col("code").bitwiseXOR(F.col(code))) + F.bit_count(F.col("second").bitwiseXOR(F.col(second)))
+def _differing(code: str, other: str, words: int) -> Column:
+    return sum((F.bit_count(F.col(code)[k].bitwiseXOR(F.col(other)[k])) for k in range(words)), F.lit(0))
 
 
-def _sets_of(pairs: DataFrame, entries: DataFrame, rows: DataFrame) -> DataFrame:
-    """The shingle sets of all entries in ``pairs``, each from one document."""
-    met = pairs.select(F.col("a").alias("entry")).unionByName(pairs.select(F.col("b").alias("entry"))).distinct()
+def _sets_of(met: DataFrame, entries: DataFrame, rows: DataFrame) -> DataFrame:
+    """The shingle sets of all entries in ``met``, each from one document."""
     wanted = entries.join(met, "entry", "left_semi").select("entry", F.col("of.text_key").alias("of_key"), F.col("of.id").alias("of_id"))
     texts = rows.join(wanted, (F.col("text_key") == F.col("of_key")) & F.col("id").eqNullSafe(F.col("of_id")))
     sets = settle(texts.select("entry", _sets("text").alias("shingles")))
@@ -477,28 +482,33 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mis
     prints = settle(rows.select("id", "text_key", _sketched("text").alias("s")).select("id", "text_key", "s.content", "s.code"))
     entries = prints.groupBy("content").agg(F.min("id").alias("least"), F.min(F.struct("text_key", "id")).alias("of"), F.first("code").alias("code"))
     entries = settle(entries.withColumn("entry", F.monotonically_increasing_id()))
-    bits, radius, both = families(entries.count(), SIMILARITY, miss / 2), radius_for(SIMILARITY, miss / 4), radius_for(SIMILARITY, miss / 4, 128)
+    bits = families(entries.count(), SIMILARITY, miss / 2)
+    radius, both, wide, finest = (radius_for(SIMILARITY, miss / 8, 64 * n) for n in (1, 2, WIDE, FINE))
     nodes = entries.select("entry", "code").mapInPandas(partial(_nodes, bits), "key long, entry long, code long, second long")
     order = ("key", gray_rank(F.col("code")))
     small_batches(spark, BATCH)
     found = settle(nodes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInPandas(partial(_candidates, radius, both), NODE_SCHEMA))
     small_batches(spark)
-    dense = found.where("key is not null").select("key", "entry", "code", "second")
-    centre = found.where("middle").groupBy("key").agg(F.min(F.struct(F.xxhash64("entry").alias("h"), "entry", "code", "second")).alias("centre"))
-    around = dense.join(centre, "key").where(_differing("centre.code", "centre.second") <= both).select(F.col("centre.entry").alias("x"), F.col("entry").alias("y"))
+    dense = settle(found.where("key is not null").select("key", "entry").join(entries.select("entry", "code"), "entry"))
+    middle = found.where("middle").select("key", F.col("entry").alias("x")).groupBy("key").agg(F.min_by("x", F.xxhash64("x")).alias("x"))
+    centre = middle.join(entries.select(F.col("entry").alias("x"), F.col("code").alias("code_x")), "x")
+    around = dense.join(centre, "key").where(_differing("code", "code_x", WIDE) <= wide).select("x", F.col("entry").alias("y"))
     first = settle(_pairs(found.where("a is not null").select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(around)))
-    sets = _sets_of(first, entries, rows)
+    met = first.select(F.col("a").alias("entry")).unionByName(first.select(F.col("b").alias("entry"))).unionByName(dense.select("entry"))
+    sets = _sets_of(met.distinct(), entries, rows)
     roots = connected_components(_checked(first, sets))
 
-    named = dense.join(roots, dense["entry"] == roots["node"], "left").select("key", "entry", "code", "second", F.coalesce("root", "entry").alias("root"))
+    named = dense.join(roots, dense["entry"] == roots["node"], "left").select("key", "entry", "code", F.coalesce("root", "entry").alias("root"))
     shares = named.groupBy("key", "root").agg(F.count("*").alias("n"))
     main = shares.groupBy("key").agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("key", F.col("main.root").alias("main"))
-    named = settle(named.join(main, "key"))
-    other = named.where("root != main").select("key", F.col("entry").alias("x"), F.col("code").alias("code_x"), F.col("second").alias("second_x"), F.col("root").alias("root_x"))
-    apart = named.join(other, "key").where((F.col("root") != F.col("root_x")) & (_differing("code_x", "second_x") <= both))
-    rest = settle(_pairs(apart.select("x", F.col("entry").alias("y"))).join(first, ["a", "b"], "left_anti"))
+    fine = sets.join(dense.select("entry").distinct(), "entry", "left_semi").select("entry", _fine("shingles").alias("fine"))
+    named = settle(named.join(main, "key").join(fine, "entry"))
+    other = named.where("root != main").select("key", *(F.col(c).alias(f"{c}_x") for c in ("entry", "code", "fine", "root")))
+    apart = named.join(other, "key").where((F.col("root") != F.col("root_x")) & ((F.col("root") == F.col("main")) | (F.col("entry") < F.col("entry_x"))))
+    apart = apart.where((_differing("code", "code_x", WIDE) <= wide) & (_differing("fine", "fine_x", FINE) <= finest))
+    rest = settle(_pairs(apart.select(F.col("entry_x").alias("x"), F.col("entry").alias("y"))).join(first, ["a", "b"], "left_anti"))
     if not rest.isEmpty():
-        late = _checked(rest, _sets_of(rest, entries, rows))
+        late = _checked(rest, sets)
         for side in ("a", "b"):
             late = late.join(roots, late[side] == roots["node"], "left").withColumn(side, F.coalesce("root", side)).drop("node", "root")
         merged = connected_components(late).select(F.col("node").alias("root"), F.col("root").alias("top"))
