@@ -1,8 +1,11 @@
-"""Packages are nations, a dependency is a supplier's nation delivering to a customer's nation."""
+"""Packages are nations, a dependency is a supplier's nation delivering to a customer's nation.
+
+Over all deliveries every nation delivers to every other, so a package depends on its strongest partners only.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators import architecture as arch
@@ -10,17 +13,17 @@ from millrace.operators import graph
 from millrace.plans.registry import Catalog, read
 
 catalog = Catalog()
-MONTH = ("1997-03-01", "1997-04-01")
-DAYS = ("1997-03-01", "1997-03-03")
+STRONG = 8
+STRONGEST = 3
 
 
-def occurrences(spark: SparkSession, sf_dir: str, since: str, until: str) -> DataFrame:
-    """One row per delivery in the period: names of the two nations."""
-    lines = read(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= F.lit(since).cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit(until).cast("timestamp_ntz")))
+def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per delivery: names of the two nations."""
     nation = read(spark, sf_dir, "nation")
     source, target = (nation.select(F.col("n_nationkey").alias(k), F.col("n_name").alias(n)) for k, n in (("s_nationkey", "src"), ("c_nationkey", "dst")))
     return (
-        lines.select("l_orderkey", "l_suppkey")
+        read(spark, sf_dir, "lineitem")
+        .select("l_orderkey", "l_suppkey")
         .join(read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
         .join(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
@@ -30,20 +33,22 @@ def occurrences(spark: SparkSession, sf_dir: str, since: str, until: str) -> Dat
     )
 
 
-def edges(spark: SparkSession, sf_dir: str, period: tuple[str, str]) -> DataFrame:
-    return occurrences(spark, sf_dir, *period).where("src <> dst").distinct()
+def edges(spark: SparkSession, sf_dir: str, partners: int) -> DataFrame:
+    """Each nation's so many strongest partners by deliveries."""
+    counts = occurrences(spark, sf_dir).where("src <> dst").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("src").orderBy(F.desc("n"), "dst")
+    return counts.withColumn("place", F.row_number().over(best)).where(F.col("place") <= partners).select("src", "dst")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "nation").select(F.col("n_name").alias("node"))
 
 
-def occurrence_sql(period: tuple[str, str]) -> str:
+def occurrence_sql(partners: int) -> str:
     return f"""o AS (SELECT sn.n_name AS src, cn.n_name AS dst
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN nation cn ON c_nationkey = cn.n_nationkey
-  WHERE l_shipdate >= TIMESTAMP '{period[0]}' AND l_shipdate < TIMESTAMP '{period[1]}'),
-e AS (SELECT DISTINCT src, dst FROM o WHERE src <> dst)"""
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation sn ON s_nationkey = sn.n_nationkey JOIN nation cn ON c_nationkey = cn.n_nationkey),
+e AS MATERIALIZED (SELECT src, dst FROM (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY count(*) DESC, dst) AS place FROM o WHERE src <> dst GROUP BY src, dst) WHERE place <= {partners})"""
 
 
 METRICS_SQL = """m AS (SELECT n_name AS node, coalesce(i.n, 0) AS fan_in, coalesce(u.n, 0) AS fan_out, coalesce(i.n, 0) + coalesce(u.n, 0) AS total_coupling,
@@ -62,9 +67,9 @@ SIZES_SQL = """z AS (SELECT n_name AS node, coalesce(files, 0) AS files, coalesc
   LEFT JOIN (SELECT s_nationkey, count(*) AS files, sum(floor(abs(s_acctbal))) AS lines FROM supplier GROUP BY 1) s ON n_nationkey = s_nationkey)"""
 
 
-@catalog.add(f"WITH {occurrence_sql(MONTH)}, {METRICS_SQL}, {SIZES_SQL} SELECT node, files, lines, fan_in, fan_out, total_coupling, round(instability, 6) AS instability FROM m JOIN z USING (node)")
+@catalog.add(f"WITH {occurrence_sql(STRONG)}, {METRICS_SQL}, {SIZES_SQL} SELECT node, files, lines, fan_in, fan_out, total_coupling, round(instability, 6) AS instability FROM m JOIN z USING (node)")
 def package_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = graph.degrees(sizes(spark, sf_dir), edges(spark, sf_dir, MONTH))
+    metrics = graph.degrees(sizes(spark, sf_dir), edges(spark, sf_dir, STRONG))
     return metrics.withColumn("instability", F.round("instability", 6))
 
 
@@ -76,29 +81,29 @@ RISK_SQL = (
 
 
 @catalog.add(
-    f"""WITH {occurrence_sql(MONTH)}, {METRICS_SQL}, {SIZES_SQL}, {RISK_SQL}
+    f"""WITH {occurrence_sql(STRONG)}, {METRICS_SQL}, {SIZES_SQL}, {RISK_SQL}
 SELECT node, total_coupling, lines, round(instability, 6) AS instability, risk_score,
   CASE WHEN risk_score <= 0.5 THEN 'Low' WHEN risk_score <= 0.8 THEN 'Medium' WHEN risk_score <= 1.0 THEN 'High' END AS risk_level FROM s"""
 )
 def package_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = graph.degrees(sizes(spark, sf_dir), edges(spark, sf_dir, MONTH))
+    metrics = graph.degrees(sizes(spark, sf_dir), edges(spark, sf_dir, STRONG))
     scored = arch.risk(metrics, {"total_coupling": 0.40, "instability": 0.35, "lines": 0.25})
     return scored.select("node", "total_coupling", "lines", F.round("instability", 6).alias("instability"), "risk_score", "risk_level")
 
 
 @catalog.add(
-    f"""WITH {occurrence_sql(MONTH)}, k AS (SELECT n_name FROM nation WHERE n_regionkey < 3)
+    f"""WITH {occurrence_sql(STRONG)}, k AS (SELECT n_name FROM nation WHERE n_regionkey < 3)
 SELECT count(*) FILTER (WHERE src = dst) AS self_rows, 0::BIGINT AS blank_rows,
   count(*) FILTER (WHERE src <> dst AND NOT (src IN (FROM k) AND dst IN (FROM k))) AS outside_rows,
   count(DISTINCT CASE WHEN src <> dst AND src IN (FROM k) AND dst IN (FROM k) THEN src || '>' || dst END) AS accepted_edges FROM o"""
 )
 def scope_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = read(spark, sf_dir, "nation").where("n_regionkey < 3").select(F.col("n_name").alias("node"))
-    return arch.scope_audit(occurrences(spark, sf_dir, *MONTH), known)
+    return arch.scope_audit(occurrences(spark, sf_dir), known)
 
 
 @catalog.add(
-    f"""WITH {occurrence_sql(MONTH)}, l AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
+    f"""WITH {occurrence_sql(STRONG)}, l AS (SELECT n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)
 SELECT src, dst, a.r_name AS source_layer, b.r_name AS target_layer FROM e JOIN l a ON src = a.n_name JOIN l b ON dst = b.n_name
 WHERE a.r_name <> b.r_name AND a.r_name > b.r_name"""
 )
@@ -107,7 +112,7 @@ def layer_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     layers = read(spark, sf_dir, "nation").join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("node"), F.col("r_name").alias("layer"))
     a, b = region.select(F.col("r_name").alias("source_layer")), region.select(F.col("r_name").alias("target_layer"))
     allowed = a.join(b, F.col("source_layer") <= F.col("target_layer"))
-    return arch.layer_violations(edges(spark, sf_dir, MONTH), layers, allowed)
+    return arch.layer_violations(edges(spark, sf_dir, STRONG), layers, allowed)
 
 
 PREFIXES = (("http:", "plain"), ("https:", "secure"), ("https://www", "site"), ("https://blog", "blog"))
@@ -126,49 +131,49 @@ def layer_longest_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add(
-    f"""WITH {occurrence_sql(DAYS)}, {METRICS_SQL}
+    f"""WITH {occurrence_sql(STRONGEST)}, {METRICS_SQL}
 SELECT format('COUPLING-{{:03d}}', row_number() OVER (ORDER BY node)) AS finding_id, node, total_coupling, 4 AS threshold,
   CASE WHEN total_coupling >= 8 THEN 'High' ELSE 'Medium' END AS severity FROM m WHERE total_coupling >= 4"""
 )
 def coupling_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    metrics = graph.degrees(nodes(spark, sf_dir), edges(spark, sf_dir, DAYS))
+    metrics = graph.degrees(nodes(spark, sf_dir), edges(spark, sf_dir, STRONGEST))
     return arch.coupling_findings(metrics).select("finding_id", "node", "total_coupling", "threshold", "severity")
 
 
-@catalog.add(f"WITH {occurrence_sql(MONTH)}, {METRICS_SQL} SELECT node, fan_in, fan_out, total_coupling FROM m")
+@catalog.add(f"WITH {occurrence_sql(STRONG)}, {METRICS_SQL} SELECT node, fan_in, fan_out, total_coupling FROM m")
 def graph_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.degrees(nodes(spark, sf_dir), edges(spark, sf_dir, MONTH)).select("node", "fan_in", "fan_out", "total_coupling")
+    return graph.degrees(nodes(spark, sf_dir), edges(spark, sf_dir, STRONG)).select("node", "fan_in", "fan_out", "total_coupling")
 
 
-RANK_ROUNDS = 8
+RANK_ROUNDS = 40
 PAGERANK_SQL = (
-    f"WITH {occurrence_sql(DAYS)}, u AS (SELECT src, count(*) AS n FROM e GROUP BY src), r0 AS (SELECT n_name AS node, 1.0::DOUBLE / count(*) OVER () AS rank FROM nation), "
+    f"WITH {occurrence_sql(STRONGEST)}, u AS (SELECT src, count(*) AS n FROM e GROUP BY src), r0 AS MATERIALIZED (SELECT n_name AS node, 1.0::DOUBLE / count(*) OVER () AS rank FROM nation), "
     + ", ".join(
-        f"""r{k} AS (SELECT r.node, 0.15::DOUBLE / (SELECT count(*) FROM nation) + 0.85::DOUBLE * coalesce((SELECT sum(rank) FROM r{k - 1} WHERE node NOT IN (SELECT src FROM u)), 0) / (SELECT count(*) FROM nation)
+        f"""r{k} AS MATERIALIZED (SELECT r.node, 0.15::DOUBLE / (SELECT count(*) FROM nation) + 0.85::DOUBLE * coalesce((SELECT sum(rank) FROM r{k - 1} WHERE node NOT IN (SELECT src FROM u)), 0) / (SELECT count(*) FROM nation)
   + 0.85::DOUBLE * coalesce(g.given, 0) AS rank FROM r{k - 1} r LEFT JOIN (SELECT dst, sum(q.rank / u.n) AS given FROM e JOIN u USING (src) JOIN r{k - 1} q ON q.node = e.src GROUP BY dst) g ON g.dst = r.node)"""
         for k in range(1, RANK_ROUNDS + 1)
     )
-    + f" SELECT node, round(rank, 6) AS rank FROM r{RANK_ROUNDS}"
+    + f" SELECT node, round(rank, 4) AS rank FROM r{RANK_ROUNDS}"
 )
 
 
 @catalog.add(PAGERANK_SQL)
 def graph_pagerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = graph.pagerank(nodes(spark, sf_dir), edges(spark, sf_dir, DAYS), rounds=RANK_ROUNDS, tolerance=0.0)
-    return ranks.select("node", F.round("rank", 6).alias("rank"))
+    ranks = graph.pagerank(nodes(spark, sf_dir), edges(spark, sf_dir, STRONGEST), tolerance=1e-7)
+    return ranks.select("node", F.round("rank", 4).alias("rank"))
 
 
 @catalog.add(
-    f"""WITH RECURSIVE {occurrence_sql(("1997-03-01", "1997-03-02"))}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+    f"""WITH RECURSIVE {occurrence_sql(1)}, b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
 r(node, root) AS (SELECT n_name, n_name FROM nation UNION SELECT b.dst, r.root FROM r JOIN b ON r.node = b.src),
 l AS (SELECT node, min(root) AS root FROM r GROUP BY node)
 SELECT node, root, dense_rank() OVER (ORDER BY root) - 1 AS component_id FROM l"""
 )
 def graph_wcc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.weak_components(nodes(spark, sf_dir), edges(spark, sf_dir, ("1997-03-01", "1997-03-02")))
+    return graph.weak_components(nodes(spark, sf_dir), edges(spark, sf_dir, 1))
 
 
-REACH_SQL = f"""WITH RECURSIVE {occurrence_sql(DAYS)},
+REACH_SQL = f"""WITH RECURSIVE {occurrence_sql(STRONGEST)},
 r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON r.b = e.src),
 c AS (SELECT x.a AS node, x.b AS other FROM r x JOIN r y ON x.a = y.b AND x.b = y.a),
 l AS (SELECT node, min(other) AS root FROM c GROUP BY node)"""
@@ -176,7 +181,7 @@ l AS (SELECT node, min(other) AS root FROM c GROUP BY node)"""
 
 @catalog.add(f"{REACH_SQL} SELECT n_name AS node, coalesce(root, n_name) AS root FROM nation LEFT JOIN l ON node = n_name")
 def graph_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = graph.strong_components(nodes(spark, sf_dir), edges(spark, sf_dir, DAYS))
+    parts = graph.strong_components(nodes(spark, sf_dir), edges(spark, sf_dir, STRONGEST))
     least = parts.groupBy("root").agg(F.min("node").alias("least"))
     return parts.join(least, "root").select("node", F.col("least").alias("root"))
 
@@ -186,11 +191,11 @@ def graph_scc(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT members, size, (SELECT count(*) FROM e JOIN l a ON a.node = src JOIN l b ON b.node = dst WHERE a.root = g.root AND b.root = g.root) AS internal_edges FROM g"""
 )
 def cycle_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(nodes(spark, sf_dir), edges(spark, sf_dir, DAYS))
+    return graph.cycles(nodes(spark, sf_dir), edges(spark, sf_dir, STRONGEST))
 
 
 @catalog.add(
-    f"""WITH RECURSIVE {occurrence_sql(DAYS)},
+    f"""WITH RECURSIVE {occurrence_sql(STRONGEST)},
 p(s, v, d, n) AS (SELECT n_name, n_name, 0, 1.0::DOUBLE FROM nation
   UNION ALL SELECT s, v, d, sum(n) FROM (SELECT p.s, e.dst AS v, p.d + 1 AS d, p.n FROM p JOIN e ON p.v = e.src WHERE p.d < 24) GROUP BY s, v, d),
 m AS (SELECT s, v, min(d) AS d FROM p GROUP BY s, v), q AS (SELECT s, v, d, sum(n) AS n FROM p JOIN m USING (s, v, d) GROUP BY s, v, d)
@@ -198,4 +203,4 @@ SELECT n_name AS node, round(coalesce(sum(a.n * b.n / c.n), 0) / (24.0 * 23.0),
 LEFT JOIN (q a JOIN q b ON a.v = b.s JOIN q c ON c.s = a.s AND c.v = b.v AND c.d = a.d + b.d AND a.s <> a.v AND b.s <> b.v) ON a.v = n_name GROUP BY n_name"""
 )
 def graph_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.betweenness(nodes(spark, sf_dir), edges(spark, sf_dir, DAYS)).select("node", F.round("betweenness", 6).alias("betweenness"))
+    return graph.betweenness(nodes(spark, sf_dir), edges(spark, sf_dir, STRONGEST)).select("node", F.round("betweenness", 6).alias("betweenness"))

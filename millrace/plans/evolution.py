@@ -1,4 +1,4 @@
-"""Events are the change log; nations by year of order are the snapshots."""
+"""Events are the change log; parts by year of shipping are the snapshots."""
 
 from __future__ import annotations
 
@@ -9,14 +9,14 @@ from millrace.operators import evolution as evo
 from millrace.plans.registry import Catalog, read
 
 catalog = Catalog()
-PERIOD = ("2024-01-05", "2024-01-20")
+MIDDLE = "2024-01-16"
 
 
-def log(spark: SparkSession, sf_dir: str, period: tuple[str, str] = PERIOD) -> DataFrame:
+def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read(spark, sf_dir, "events")
-    inside = e.where((F.col("ts") >= F.lit(period[0]).cast("timestamp_ntz")) & (F.col("ts") < F.lit(period[1]).cast("timestamp_ntz")))
     whole = F.floor(F.abs("value")).cast("long")
-    return inside.select(
+    return e.select(
+        F.col("ts"),
         F.col("event_id").alias("commit_id"),
         F.col("event_type").alias("package"),
         F.col("user_id").alias("author"),
@@ -26,9 +26,9 @@ def log(spark: SparkSession, sf_dir: str, period: tuple[str, str] = PERIOD) -> D
     )
 
 
-LOG_SQL = f"""l AS (SELECT event_id AS commit_id, event_type AS package, user_id AS author, json_extract_string(props, '$.k') AS file_path,
+LOG_SQL = """l AS (SELECT ts, event_id AS commit_id, event_type AS package, user_id AS author, json_extract_string(props, '$.k') AS file_path,
   CASE WHEN event_id % 2 = 0 THEN floor(abs(value))::BIGINT ELSE 0 END AS insertions, CASE WHEN event_id % 2 = 1 THEN floor(abs(value))::BIGINT ELSE 0 END AS deletions
-  FROM events WHERE ts >= TIMESTAMP '{PERIOD[0]}' AND ts < TIMESTAMP '{PERIOD[1]}')"""
+  FROM events)"""
 SUMS_SQL = "count(DISTINCT commit_id) AS commit_count, count(DISTINCT author) AS contributor_count, count(DISTINCT file_path) AS files_changed, coalesce(sum(insertions), 0)::BIGINT AS total_insertions, coalesce(sum(deletions), 0)::BIGINT AS total_deletions, coalesce(sum(insertions + deletions), 0)::BIGINT AS total_churn"
 
 
@@ -47,20 +47,19 @@ def evolution_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evo.package_evolution(log(spark, sf_dir), [])
 
 
-SHORT = ("2024-01-05", "2024-01-06")
-
-
 @catalog.add(
-    f"""WITH {LOG_SQL.replace(PERIOD[1], SHORT[1])}, c AS (SELECT DISTINCT event_type AS package, user_id AS author FROM events WHERE user_id % 2 = 0),
-o AS (SELECT package, author, {SUMS_SQL} FROM l GROUP BY package, author)
+    f"""WITH {LOG_SQL}, c AS (SELECT DISTINCT event_type AS package, user_id AS author FROM events WHERE ts >= TIMESTAMP '{MIDDLE}'),
+o AS (SELECT package, author, {SUMS_SQL} FROM l WHERE ts < TIMESTAMP '{MIDDLE}' GROUP BY package, author)
 SELECT coalesce(o.package, c.package) AS package, coalesce(o.author, c.author) AS author, coalesce(commit_count, 0) AS commit_count, coalesce(contributor_count, 0) AS contributor_count, coalesce(files_changed, 0) AS files_changed,
   coalesce(total_insertions, 0) AS total_insertions, coalesce(total_deletions, 0) AS total_deletions, coalesce(total_churn, 0) AS total_churn,
   CASE WHEN c.package IS NULL THEN 'historical_only' WHEN commit_count > 0 THEN 'active' ELSE 'unchanged' END AS activity
 FROM o FULL JOIN c ON o.package = c.package AND o.author = c.author"""
 )
 def evolution_zero_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    current = read(spark, sf_dir, "events").where("user_id % 2 = 0").select(F.col("event_type").alias("package"), F.col("user_id").alias("author")).distinct()
-    return evo.package_evolution(log(spark, sf_dir, SHORT), ["package", "author"], current)
+    """History is what lies before the middle of the log, the inventory what occurs from there on."""
+    early = F.col("ts") < F.lit(MIDDLE).cast("timestamp_ntz")
+    rows = log(spark, sf_dir)
+    return evo.package_evolution(rows.where(early), ["package", "author"], rows.where(~early).select("package", "author").distinct())
 
 
 @catalog.add(
@@ -77,15 +76,13 @@ def production_test_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of each brand (package) for each ship year: rows, suppliers, whole quantity."""
-    lines = read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_quantity", F.year("l_shipdate").alias("year"))
-    part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("package"))
-    small = lines.where("l_suppkey % 10 < year % 5 + 1").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    return small.groupBy("year", "package").agg(F.count("*").alias("files"), F.count_distinct("l_suppkey").alias("coupling"), F.sum(F.col("l_quantity").cast("long")).alias("loc"))
+    """Metrics of each part (package) for each ship year: rows, suppliers, whole quantity."""
+    lines = read(spark, sf_dir, "lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("package"), "l_suppkey", "l_quantity", F.year("l_shipdate").alias("year"))
+    return lines.groupBy("year", "package").agg(F.count("*").alias("files"), F.count_distinct("l_suppkey").alias("coupling"), F.sum(F.col("l_quantity").cast("long")).alias("loc"))
 
 
-SNAP_SQL = """s AS (SELECT year(l_shipdate)::INT AS year, p_brand AS package, count(*) AS files, count(DISTINCT l_suppkey) AS coupling, sum(l_quantity::BIGINT)::BIGINT AS loc
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey % 10 < year(l_shipdate) % 5 + 1 GROUP BY 1, 2)"""
+SNAP_SQL = """s AS (SELECT year(l_shipdate)::INT AS year, 'P' || l_partkey AS package, count(*) AS files, count(DISTINCT l_suppkey) AS coupling, sum(l_quantity::BIGINT)::BIGINT AS loc
+  FROM lineitem GROUP BY 1, 2)"""
 PAIRS_SQL = "p AS (SELECT * FROM (SELECT year AS previous, lead(year) OVER (ORDER BY year) AS current FROM (SELECT DISTINCT year FROM s)) WHERE current IS NOT NULL)"
 MEASURES = ("files", "coupling", "loc")
 
@@ -143,14 +140,13 @@ def change_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def yearly_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges brand -> supplier nation name of each ship year, from a thin slice so that they change."""
-    lines = read(spark, sf_dir, "lineitem").where("l_suppkey % 50 = 7").select("l_partkey", "l_suppkey", F.year("l_shipdate").alias("year"))
-    part = read(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("src"))
+    """Edges part -> nation of a supplier of each ship year."""
+    lines = read(spark, sf_dir, "lineitem").select("l_suppkey", F.concat(F.lit("P"), "l_partkey").alias("src"), F.year("l_shipdate").alias("year"))
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("N"), "s_nationkey").alias("dst"))
-    return lines.join(part, F.col("l_partkey") == F.col("p_partkey")).join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("year", "src", "dst").distinct().withColumn("repository", F.lit("all"))
+    return lines.join(supplier, F.col("l_suppkey") == F.col("s_suppkey")).select("year", "src", "dst").distinct().withColumn("repository", F.lit("all"))
 
 
-EDGE_SQL = """e AS (SELECT DISTINCT year(l_shipdate)::INT AS year, p_brand AS src, 'N' || s_nationkey AS dst FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_suppkey % 50 = 7),
+EDGE_SQL = """e AS (SELECT DISTINCT year(l_shipdate)::INT AS year, 'P' || l_partkey AS src, 'N' || s_nationkey AS dst FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
 g AS (SELECT coalesce(o.previous, n.previous) AS previous, coalesce(o.current, n.current) AS current, coalesce(o.src, n.src) AS src, coalesce(o.dst, n.dst) AS dst, (o.src IS NOT NULL)::INT AS was, (n.src IS NOT NULL)::INT AS now
   FROM (SELECT p.*, src, dst FROM p JOIN e ON e.year = previous) o FULL JOIN (SELECT p.*, src, dst FROM p JOIN e ON e.year = current) n ON o.previous = n.previous AND o.src = n.src AND o.dst = n.dst)"""
 

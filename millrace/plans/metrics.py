@@ -75,13 +75,13 @@ LOOKED = f"WITH {looked.KEYWORD_SQL}, t AS ({looked._top('ks', 5)}), {HELD}"
 
 
 @catalog.add(
-    f"""{LOOKED}, g AS (SELECT query, target, (h.query IS NOT NULL)::INT AS label, t.query IS NOT NULL AS said FROM (SELECT query, target FROM h) h FULL JOIN (SELECT query, target FROM t WHERE target % 2 = 0) t USING (query, target) WHERE h.query IS NOT NULL OR target % 4 = 0),
+    f"""{LOOKED}, g AS (SELECT query, target, (h.query IS NOT NULL)::INT AS label, t.query IS NOT NULL AS said FROM (SELECT query, target FROM h) h FULL JOIN (SELECT query, target FROM t) t USING (query, target)),
 k AS (SELECT count(*) FILTER (WHERE label = 1 AND said) AS tp, count(*) FILTER (WHERE label = 0 AND said) AS fp, count(*) FILTER (WHERE label = 1 AND NOT said) AS fn FROM g), q AS (SELECT *, {_PRF} FROM k) SELECT tp, fp, fn, {_RATED} FROM q"""
 )
 def link_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = looked.keyword_retrieval(spark, sf_dir).where("target % 2 = 0").select("query", "target")
+    found = looked.keyword_retrieval(spark, sf_dir).select("query", "target")
     gold = held(spark, sf_dir).withColumn("label", F.lit(1))
-    other = found.where("target % 4 = 0").join(gold, ["query", "target"], "left_anti").withColumn("label", F.lit(0))
+    other = found.join(gold, ["query", "target"], "left_anti").withColumn("label", F.lit(0))
     return rounded(mx.link_metrics(found, gold.unionByName(other), ["query", "target"]), "precision", "recall", "f1")
 
 
@@ -148,10 +148,10 @@ def weight_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(mx.weighted_scores(rows, ["l_returnflag"], grid, ["q", "d", "t"]), "score")
 
 
-@catalog.add("WITH a AS (SELECT o_orderpriority AS k, count(*) AS a FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1), b AS (SELECT o_orderpriority AS k, count(*) AS b FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1) SELECT sum(least(coalesce(a, 0), coalesce(b, 0)))::BIGINT AS overlap, sum(a)::BIGINT AS left_rows, sum(b)::BIGINT AS right_rows FROM a FULL JOIN b USING (k)")
+@catalog.add("WITH a AS (SELECT o_orderpriority AS k, count(*) AS a FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1), b AS (SELECT o_orderpriority AS k, count(*) AS b FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1) SELECT sum(least(coalesce(a, 0), coalesce(b, 0)))::BIGINT AS overlap, sum(a)::BIGINT AS left_rows, sum(b)::BIGINT AS right_rows FROM a FULL JOIN b USING (k)")
 def multiset_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    return mx.multiset_overlap(orders.where("o_orderkey % 2 = 0"), orders.where("o_orderkey % 3 = 0"), ["o_orderpriority"])
+    return mx.multiset_overlap(orders.where("o_orderstatus <> 'O'"), orders.where("o_orderstatus <> 'F'"), ["o_orderpriority"])
 
 
 @catalog.add()
@@ -167,11 +167,13 @@ def leave_one_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add(
-    """WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, 200)), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(right(text, 200)), '[a-z0-9]+')) AS b FROM documents)
+    """WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(left(text, length(text) // 2)), '[a-z0-9]+')) AS a, list_distinct(regexp_extract_all(lower(substr(text, length(text) // 2 + 1)), '[a-z0-9]+')) AS b FROM documents)
 SELECT doc_id, round(CASE WHEN len(a) = 0 AND len(b) = 0 THEN 1 ELSE 2 * len(list_intersect(a, b)) / (len(a) + len(b)) END, 6) AS f1 FROM t"""
 )
 def set_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head, tail = (fn.tokens(F.expr(f"{side}(text, 200)")) for side in ("left", "right"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.round(mx.set_f1(head, tail), 6).alias("f1"))
+    """The two halves of a text as sets of words."""
+    head, tail = fn.tokens(F.expr("left(text, length(text) div 2)")), fn.tokens(F.expr("substring(text, length(text) div 2 + 1)"))
+    words = read(spark, sf_dir, "documents").select("doc_id", head.alias("head"), tail.alias("tail"))
+    return words.select("doc_id", F.round(mx.set_f1(F.col("head"), F.col("tail")), 6).alias("f1"))
 
 

@@ -13,7 +13,7 @@ catalog = Catalog()
 
 def units(spark: SparkSession, sf_dir: str) -> DataFrame:
     support = F.when(F.col("o_orderpriority") == "5-LOW", "UNSUPPORTED").when(F.substring("o_orderpriority", 1, 1) == "4", "REVIEW_REQUIRED").otherwise("SUPPORTED")
-    return read(spark, sf_dir, "orders").where("o_orderkey % 5 <> 0").select(F.col("o_orderkey").alias("rvu_id"), F.col("o_custkey").alias("requirement_id"), support.alias("support_status"))
+    return read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rvu_id"), F.col("o_custkey").alias("requirement_id"), support.alias("support_status"))
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 FACTORS = (("relevance", 3, 11), ("precondition", 5, 7), ("input", 7, 6), ("condition", 11, 5), ("scenario", 13, 4), ("outcome", 17, 3), ("oracle", 19, 8))
 _SCORE = " + ".join(f"{f} * {w}::DOUBLE" for f, w in qa.WEIGHTS.items())
 _REASONS = "list_filter([CASE WHEN relevance < 0.35 THEN 'LOW_RELEVANCE' WHEN relevance < 0.55 THEN 'MODERATE_RELEVANCE' END, " + ", ".join(f"CASE WHEN {f} < {low} THEN '{n}' END" for f, (low, n) in qa.REASONS.items()) + "], lambda r: r IS NOT NULL)"
-QA_SQL = f"""WITH u AS (SELECT o_orderkey AS rvu_id, o_custkey AS requirement_id, CASE WHEN o_orderpriority = '5-LOW' THEN 'UNSUPPORTED' WHEN o_orderpriority[1] = '4' THEN 'REVIEW_REQUIRED' ELSE 'SUPPORTED' END AS support_status FROM orders WHERE o_orderkey % 5 <> 0),
+QA_SQL = f"""WITH u AS (SELECT o_orderkey AS rvu_id, o_custkey AS requirement_id, CASE WHEN o_orderpriority = '5-LOW' THEN 'UNSUPPORTED' WHEN o_orderpriority[1] = '4' THEN 'REVIEW_REQUIRED' ELSE 'SUPPORTED' END AS support_status FROM orders),
 e AS (SELECT l_orderkey AS rvu_id, l_orderkey * 10 + l_linenumber AS evidence_id, l_linenumber <> 7 AS fine, {', '.join(f'((l_partkey * {m} + l_suppkey) % {n}) / {n - 1} AS {f}' for f, m, n in FACTORS)},
   CASE l_returnflag WHEN 'N' THEN 'PASS' WHEN 'R' THEN 'FAIL' ELSE 'NOT_EXECUTED' END AS execution_status, l_suppkey % 10 = 3 AS synthetic, l_partkey % 7 = 0 AS denied FROM lineitem),
 s AS (SELECT *, CASE WHEN fine THEN round({_SCORE}, 9) ELSE 0 END AS score, CASE WHEN fine THEN {_REASONS} ELSE ['WRONG_EVIDENCE_TYPE'] END AS reasons FROM e),

@@ -14,22 +14,23 @@ catalog = Catalog()
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 2 = 0")
+    """Links known so far: orders no longer open. Those not finished yet are the new ones, so the ones in between are both."""
+    o = read(spark, sf_dir, "orders").where("o_orderstatus <> 'O'")
     return o.select(
         F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("target_id"), (F.col("o_orderkey") % 100 / 100).alias("confidence"), F.when(F.col("o_orderstatus") == "F", "decayed").otherwise("verified").alias("status"), F.lit(1).alias("verified_at"), F.lit(2).alias("last_checked_at")
     )
 
 
-LINKS = "l AS (SELECT o_custkey AS source_id, o_orderkey AS target_id, o_orderkey % 100 / 100 AS confidence, CASE WHEN o_orderstatus = 'F' THEN 'decayed' ELSE 'verified' END AS status, 1 AS verified_at, 2 AS last_checked_at FROM orders WHERE o_orderkey % 2 = 0)"
+LINKS = "l AS (SELECT o_custkey AS source_id, o_orderkey AS target_id, o_orderkey % 100 / 100 AS confidence, CASE WHEN o_orderstatus = 'F' THEN 'decayed' ELSE 'verified' END AS status, 1 AS verified_at, 2 AS last_checked_at FROM orders WHERE o_orderstatus <> 'O')"
 
 
 @catalog.add(
-    f"""WITH {LINKS}, n AS (SELECT o_custkey AS source_id, o_orderkey AS target_id, o_orderkey % 10 / 10 AS confidence FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))
+    f"""WITH {LINKS}, n AS (SELECT o_custkey AS source_id, o_orderkey AS target_id, o_orderkey % 10 / 10 AS confidence FROM orders WHERE o_orderstatus <> 'F' AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0))
 SELECT coalesce(l.source_id, n.source_id) AS source_id, coalesce(l.target_id, n.target_id) AS target_id, round(coalesce(n.confidence, l.confidence), 6) AS confidence, CASE WHEN n.source_id IS NOT NULL THEN 'verified' ELSE status END AS status, coalesce(verified_at, 9) AS verified_at, CASE WHEN n.source_id IS NOT NULL THEN 9 ELSE last_checked_at END AS last_checked_at
 FROM l FULL JOIN n ON l.source_id = n.source_id AND l.target_id = n.target_id"""
 )
 def upsert_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    o = read(spark, sf_dir, "orders").where("o_orderstatus <> 'F'")
     new = o.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("target_id"), (F.col("o_orderkey") % 10 / 10).alias("confidence"), F.lit(9).alias("at"))
     sources = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
     nodes = sources.unionByName(o.select(F.col("o_orderkey").alias("id")))

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-# Tags whose content is no text, and tags that end a line.
-SILENT = {"script", "style", "head", "noscript", "template"}
-BLOCKS = {"p", "div", "br", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "header", "footer", "pre", "blockquote", "hr", "dt", "dd", "td", "th"}
+# Elements whose content is no text, and elements that stand on lines of their own.
+UNREAD = "script style head title noscript".split()
+OWN_LINE = "p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article header footer blockquote pre td th dt dd hr".split()
+# Named characters of HTML that occur in prose; the ampersand is decoded last.
+NAMED = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ndash": "\u2013", "mdash": "\u2014", "hellip": "\u2026", "lsquo": "\u2018", "rsquo": "\u2019", "ldquo": "\u201c", "rdquo": "\u201d", "copy": "\u00a9", "reg": "\u00ae", "trade": "\u2122", "euro": "\u20ac"}
 
 
 def csv(spark: SparkSession, path: str, schema: StructType | str | None = None, missing: str = "") -> DataFrame:
@@ -104,44 +104,28 @@ def surefire(spark: SparkSession, path: str) -> DataFrame:
     return cases.select(F.col("_classname").alias("class_name"), name.alias("method_name"), status.alias("status"), (F.col("_time") * 1000).alias("duration_ms"))
 
 
-class _Text(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.silent = 0
+def _numbered(text: Column) -> Column:
+    """Numeric character references decoded, each distinct one of a text once."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(r"&#(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});"), 1))
 
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in SILENT:
-            self.silent += 1
-        elif tag in BLOCKS:
-            self.parts.append("\n")
+    def decoded(out: Column, code: Column) -> Column:
+        number = F.when(code.startswith("x"), F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).cast("int")
+        wide = F.lpad(F.hex(number), 8, "0")
+        letter = F.when(number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF), F.decode(F.unhex(wide), "UTF-32")).otherwise("\ufffd")
+        return F.replace(out, F.concat(F.lit("&#"), code, F.lit(";")), letter)
 
-    def handle_endtag(self, tag: str) -> None:
-        if tag in SILENT:
-            self.silent = max(0, self.silent - 1)
-        elif tag in BLOCKS:
-            self.parts.append("\n")
-
-    def handle_data(self, data: str) -> None:
-        if not self.silent:
-            self.parts.append(data)
-
-
-def _html_text(html: str | None) -> str | None:
-    if html is None:
-        return None
-    parser = _Text()
-    parser.feed(html)
-    parser.close()
-    lines = (re.sub(r"[ \t\r\f\v]+", " ", x).strip() for x in "".join(parser.parts).split("\n"))
-    return "\n".join(x for x in lines if x)
+    return F.aggregate(found, text, decoded)
 
 
 def html_text(html: Column) -> Column:
-    """Readable text of HTML: scripts, styles and the head left out, a line for each block, entities decoded."""
-
-    @F.pandas_udf("string")
-    def text(pages: pd.Series) -> pd.Series:
-        return pages.map(_html_text)
-
-    return text(html)
+    """Readable text of HTML, by expressions alone: comments, scripts, styles and the head left out, a line for each
+    block, entities decoded, white space collapsed and empty lines dropped. Null stays null."""
+    bare = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
+    bare = F.regexp_replace(bare, rf"(?is)<({'|'.join(UNREAD)})\b[^>]*>.*?(?:</\1\s*>|\z)", "")
+    lined = F.regexp_replace(bare, rf"(?i)</?(?:{'|'.join(OWN_LINE)})\b[^>]*>", "\n")
+    plain = F.regexp_replace(lined, r"</?[A-Za-z][^>]*>|<[!?][^>]*>", "")
+    for name, letter in NAMED.items():
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(letter))
+    plain = F.replace(_numbered(plain), F.lit("&amp;"), F.lit("&"))
+    lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f\x0B\u00A0]+", " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
