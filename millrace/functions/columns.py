@@ -5,15 +5,16 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written to the checkpoint folder that the session names, with its lineage cut."""
     sc = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        sc.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -39,11 +40,6 @@ def mean_of(values: Sequence[Column]) -> Column:
     return F.when(F.size(there) > 0, total / F.size(there))
 
 
-def average_rank(by: WindowSpec, ties: WindowSpec) -> Column:
-    """Rank with the mean of tied places, over ``by`` (ordered) and ``ties`` (partitioned by the value too)."""
-    return F.rank().over(by) + (F.count(F.lit(1)).over(ties) - 1) / 2
-
-
 def truthy(text: Column) -> Column:
     """Boolean strings: true, 1 and yes in any case and with spaces around."""
     return F.lower(F.trim(text)).isin("true", "1", "yes")
@@ -63,10 +59,13 @@ def require(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def shared_folder(spark) -> str:
-    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; a temporary one where unset."""
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it; where unset, a local master
+    gets one of its own and any other an error."""
     sc = spark.sparkContext
     if folder := sc.getConf().get("spark.checkpoint.dir"):
         return folder
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()

@@ -66,13 +66,21 @@ def identifier_words(text: Column, stop: Sequence[str] = CODE_WORDS) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*stop))
 
 
+# Page directives, tags and script marks, import and package lines, a comment in front, what makes it legal.
+DIRECTIVE, TAG, SCRIPT_MARK = r"(?s)<%@.*?%>", "<[a-zA-Z/!][^>]*>", "<%[=!-]?|%>"
+HEADER_LINE = r"(?m)^\s*(?:import|package)\s+[^\n]*$"
+FIRST_COMMENT = r"(?s)\A\s*/\*(?!\*)(.*?)\*/"
+LEGAL = "(?i)copyright|licen[sc]e"
+
+
 def strip_boilerplate(code: Column) -> Column:
     """Source text without import and package lines, page directives and tags, and a leading licence comment."""
-    paged = F.when(F.contains(F.substring(code, 1, 2000), F.lit("<%")), F.regexp_replace(F.regexp_replace(F.regexp_replace(code, "(?s)<%@.*?%>", " "), "<[a-zA-Z/!][^>]*>", " "), "<%[=!-]?|%>", " ")).otherwise(code)
-    bare = F.regexp_replace(paged, r"(?m)^\s*(?:import|package)\s+[^\n]*$", "")
-    head = F.regexp_extract(bare, r"(?s)\A\s*/\*(?!\*)(.*?)\*/", 0)
-    legal = head.rlike("(?i)copyright|licen[sc]e")
-    return F.trim(F.regexp_replace(F.when(legal, F.substring(bare, F.length(head) + 1, F.length(bare))).otherwise(bare), r"\n{3,}", "\n\n"))
+    paged = code
+    for pattern in (DIRECTIVE, TAG, SCRIPT_MARK):
+        paged = F.regexp_replace(paged, pattern, " ")
+    bare = F.regexp_replace(F.when(F.contains(F.substring(code, 1, 2000), F.lit("<%")), paged).otherwise(code), HEADER_LINE, "")
+    head = F.regexp_extract(bare, FIRST_COMMENT, 0)
+    return F.trim(F.regexp_replace(F.when(head.rlike(LEGAL), F.substring(bare, F.length(head) + 1, F.length(bare))).otherwise(bare), r"\n{3,}", "\n\n"))
 
 
 def words_of(text: Column) -> Column:
@@ -82,9 +90,9 @@ def words_of(text: Column) -> Column:
 def chunks(text: Column, size: int, overlap: int | None = None) -> Column:
     """Overlapping windows of ``size`` words; the text itself if it fits into one."""
     step = max(1, size - (size // 4 if overlap is None else overlap))
-    words = words_of(text)
-    many = F.transform(F.sequence(F.lit(1), F.size(words), F.lit(step)), lambda i: F.array_join(F.slice(words, i, size), " "))
-    return F.when(F.size(words) <= size, F.array(text)).otherwise(many)
+    # the words are bound once: written out in the inner function they would be split again for every window
+    many = F.element_at(F.transform(F.array(words_of(text)), lambda w: F.when(F.size(w) > size, F.transform(F.sequence(F.lit(1), F.size(w), F.lit(step)), lambda i: F.array_join(F.slice(w, i, size), " ")))), 1)
+    return F.coalesce(many, F.when(text.isNotNull(), F.array(text)))
 
 
 def sentences(text: Column) -> Column:

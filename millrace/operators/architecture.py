@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.functions.columns import average_rank
 
 
 def scope_audit(edges: DataFrame, nodes: DataFrame, group: str | None = None) -> DataFrame:
@@ -82,4 +81,4 @@ def risk(metrics: DataFrame, weights: dict[str, float], cuts: Sequence[tuple[flo
     return metrics.withColumn("risk_score", F.round(score, 6)).withColumn("risk_level", level)
 
 
-__all__ = ["average_rank", "coupling_findings", "findings", "layer_violations", "longest_prefix", "percentile_rank", "prefixes", "risk", "scope_audit"]
+__all__ = ["coupling_findings", "findings", "layer_violations", "longest_prefix", "percentile_rank", "prefixes", "risk", "scope_audit"]

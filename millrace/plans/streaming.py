@@ -51,7 +51,18 @@ def stream_live_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("run").agg(F.max_by(F.struct("events", "verified", "rejected"), "_b").alias("r")).select("run", "r.*")
 
 
-@catalog.add()
+_HTML = r"""regexp_replace(html, '(?s)<!--.*?(?:-->|\z)', '', 'g')"""
+for _name in readers.UNREAD:
+    _HTML = rf"""regexp_replace({_HTML}, '(?is)<{_name}\b[^>]*>.*?(?:</{_name}\s*>|\z)', '', 'g')"""
+_HTML = rf"""regexp_replace(regexp_replace({_HTML}, '(?i)</?(?:{'|'.join(readers.OWN_LINE)})\b[^>]*>', chr(10), 'g'), '</?[A-Za-z][^>]*>|<[!?][^>]*>', '', 'g')"""
+for _name, _letter in readers.NAMED.items():
+    _HTML = f"replace({_HTML}, '&{_name};', chr({ord(_letter)}))"
+
+
+@catalog.add(
+    rf"""WITH t AS (SELECT page_id, html, replace({_HTML}, '&amp;', '&') AS t FROM pages)
+SELECT page_id, CASE WHEN html IS NOT NULL THEN array_to_string(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\x0B\x{{A0}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) END AS text FROM t"""
+)
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readable text of every page."""
     return read(spark, sf_dir, "pages").select("page_id", readers.html_text(F.col("html")).alias("text"))
