@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import content_key, settle, small_batches
+from millrace.llm.common import content_key, settle, small_batches, whole
 
 SIMILARITY = 0.8
 GRAM = 3
@@ -294,7 +294,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def remove(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that hold no benchmark item; columns as in ``docs``."""
+    """The documents that hold no benchmark item; columns as in ``docs``, whatever their names.
+
+    Null and empty texts hold nothing and stay, as do repeated rows; an empty benchmark removes nothing.
+    """
     held = settle(contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).distinct())
-    keyed = docs.withColumn("_key", content_key(F.col(text_col)))
-    return keyed.join(held, (keyed["_key"] == held["_key"]) & keyed[id_col].eqNullSafe(held["_id"]), "left_anti").drop("_key")
+    keyed = docs.select(whole(docs), F.col(id_col).alias("id"), content_key(F.col(text_col)).alias("text_key"))
+    return keyed.join(held, (F.col("text_key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")), "left_anti").select("doc.*")

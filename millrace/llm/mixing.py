@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import content_key, settle
+from millrace.llm.common import content_key, settle, whole
 
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 1024
@@ -97,6 +97,6 @@ def repeat(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     plan = mix(docs, id_col, text_col, source_col, seed=seed)
     copies = plan.groupBy(F.col(id_col).alias("_id"), F.col("text_key").alias("_key")).agg(F.max(F.col("epochs") + (F.col("before") < F.col("cut")).cast("long")).alias("_copies"))
     copies = settle(copies.where("_copies > 0"))
-    keyed = docs.withColumn("_key", content_key(F.col(text_col)))
-    joined = keyed.join(copies, (keyed["_key"] == copies["_key"]) & keyed[id_col].eqNullSafe(copies["_id"]))
-    return joined.select(*(keyed[c] for c in docs.columns), "_copies").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies", "_copy")
+    keyed = docs.select(whole(docs), F.col(id_col).alias("id"), content_key(F.col(text_col)).alias("key"))
+    joined = keyed.join(copies, (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("_id")))
+    return joined.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("doc.*")

@@ -101,38 +101,48 @@ class Store:
             for name in names if expire else ():
                 self._files.delete(self._path(name), False)
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """All rows with ``shard``, its ``shard_rows`` and ``shard_bytes``, and the ``version`` that is read."""
+    def placed(self, columns: list[str], version: int | None = None) -> DataFrame:
+        """All rows as a struct ``doc`` of ``columns``, with ``shard``, its ``shard_rows`` and ``shard_bytes``, and the ``version`` that is read."""
         version = self.version() if version is None else version
         shards = self.manifest(version)
         names = [r.shard for r in shards.select("shard").toLocalIterator()]
         if not names:
             raise ValueError(f"no shards in version {version}")
-        rows = self.spark.read.parquet(*names).select("*", F.col("_metadata.file_path").alias("_shard"))
-        sizes = shards.select(F.col("shard").alias("_shard"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), F.lit(version).alias("version"))
-        named = rows.join(sizes, "_shard")
-        return named.withColumn("shard", F.regexp_extract("_shard", r"([^/]+/[^/]+)$", 1)).drop("_shard")
+        rows = self.spark.read.parquet(*names)
+        rows = rows.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("doc"), F.col("_metadata.file_path").alias("path"))
+        sizes = shards.select(F.col("shard").alias("path"), F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes"), F.lit(version).alias("version"))
+        return rows.join(sizes, "path").withColumn("shard", F.regexp_extract("path", r"([^/]+/[^/]+)$", 1)).drop("path")
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """All rows with all columns and those of ``placed``; a table with a column of such a name is for ``placed`` alone."""
+        columns = self.columns(version)
+        if clash := {"shard", "shard_rows", "shard_bytes", "version"} & set(columns):
+            raise ValueError(f"columns {sorted(clash)} clash with the store's; use placed()")
+        return self.placed(columns, version).select("doc.*", "shard", "shard_rows", "shard_bytes", "version")
+
+    def columns(self, version: int | None = None) -> list[str]:
+        """The columns of the stored table, from one of its shards."""
+        first = self.manifest(version).select("shard").first()
+        if first is None:
+            raise ValueError(f"no shards in version {self.version() if version is None else version}")
+        return self.spark.read.parquet(first.shard).columns
 
 
 def arrivals(table: DataFrame, n: int, id_col: str = "doc_id") -> Iterator[DataFrame]:
-    """A plain Parquet table as ``n`` arrivals: by files if it has that many, else by a hash of the id."""
-    files = sorted(table.inputFiles())
+    """Any table as ``n`` arrivals, by a hash of the id; what the table filters or projects stays so."""
     for k in range(n):
-        if len(files) >= n:
-            yield table.sparkSession.read.schema(table.schema).parquet(*files[k::n])
-        else:
-            yield table.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)) == k)
+        yield table.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)) == k)
 
 
 ARRIVALS = 6
 
 
 def shard(table: DataFrame, id_col: str = "doc_id", target_bytes: int = 128 << 20, fanout: int = 4, floor_bytes: int = 1 << 20) -> DataFrame:
-    """The rows of a plain table after ``ARRIVALS`` appends with compaction: ``id_col``, ``shard``, ``shard_rows``, ``shard_bytes``, ``version``.
+    """The rows of a table after ``ARRIVALS`` appends with compaction: ``id_col``, ``shard``, ``shard_rows``, ``shard_bytes``, ``version``.
 
     Every row, also a repeated one, lies in exactly one shard of the version. Rows with null ids, null or very long
     texts are stored like any other. An empty table gives an empty result. Shards hold all columns of the table
-    under their own names, so none can clash.
+    under their own names, and ``placed`` keeps them apart from its own, so none can clash.
     """
     store = Store(table.sparkSession, f"{shared_folder(table.sparkSession)}/shards-{uuid.uuid4().hex}", target_bytes, fanout, floor_bytes)
     for arrival in arrivals(table, ARRIVALS, id_col):
@@ -141,4 +151,4 @@ def shard(table: DataFrame, id_col: str = "doc_id", target_bytes: int = 128 << 2
     if store.manifest().isEmpty():
         named = table.select(F.col(id_col), F.lit("").alias("shard"), F.lit(0).cast("long").alias("shard_rows"), F.lit(0).cast("long").alias("shard_bytes"), F.lit(0).alias("version"))
         return named.where(F.lit(False))
-    return store.read().select(id_col, "shard", "shard_rows", "shard_bytes", "version")
+    return store.placed([id_col]).select(F.col(f"doc.`{id_col}`").alias(id_col), "shard", "shard_rows", "shard_bytes", "version")

@@ -1,8 +1,10 @@
 """Surrogates for personal data: keyed, of the same type and format, distinct for distinct entities.
 
 An entity is a type and a canonical value: an e-mail address in lower case, the digits of a telephone or card
-number, an IPv4 address, a secret, or a part of a name after a title. All mentions of an entity, however written,
-get the same surrogate in the mention's own format, so who is who can still be told.
+number, an IPv4 or full IPv6 address, a secret after a keyword, or a part of a name. A name is found after a title; once found, every
+mention of it in the same document is one. All mentions of an entity, however written, get the same surrogate in
+the mention's own format, so who is who can still be told. Not found are names without a title anywhere in their
+document, names in scripts without capitals, IBANs, national identity numbers, and keys without a keyword.
 
 A surrogate is drawn from an HMAC of the entity under a secret key. Digits become digits, letters letters of the
 same case and script, hex digits hex digits; phone numbers keep their country code, cards stay valid or invalid
@@ -26,23 +28,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import content_key, settle, small_batches
+from millrace.llm.common import content_key, settle, small_batches, whole
 
 BROADCAST_ROWS = 50_000
+ATTEMPTS = 100
 
 # Titles and the gender they say.
 TITLES = {"Mr": "m", "Mrs": "f", "Ms": "f", "Herr": "m", "Frau": "f", "Monsieur": "m", "Madame": "f", "Señor": "m", "Señora": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f"}
 # Words before a secret.
 SECRET_WORDS = ("token", "secret", "password", "apikey", "api_key", "api-key")
 
-_LEFT = re.compile(r"[\w.+-]+$")
 _RIGHT = re.compile(r"[\w-]+(?:\.[\w-]+)+")
 _NUMBER = re.compile(
-    r"(?P<phone>\+\d{1,3}[ -]?(?:\(\d{2,4}\)[ -]?)?\d{2,4}(?:[ -]\d{2,4}){1,3}(?!\d)|\(\d{3}\) ?\d{3}-\d{4}(?!\d))"
+    r"(?P<ip6>(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![\w:]))"
+    r"|(?P<phone>\+\d{8,15}(?!\d)|\+\d{1,3} \d(?: \d{2}){4}(?! ?\d)|\+\d{1,3} \d{2,4} \d{5,8}(?!\d)|\+\d{1,3}[ -]?(?:\(\d{2,4}\)[ -]?)?\d{2,4}(?:[ -]\d{2,4}){1,3}(?!\d)"
+    r"|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}-\d{3}-\d{4}(?![\d-])|\d{3}\.\d{3}\.\d{4}(?![\d.]))"
     r"|(?P<ip>(?:\d{1,3}\.){3}\d{1,3}(?![\d]))"
     r"|(?P<card>\d(?:[ -]?\d){12,18}(?!\d))"
 )
-_SECRET = re.compile(r"(?:%s)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_\-]{16,})" % "|".join(map(re.escape, SECRET_WORDS)), re.IGNORECASE)
+_SECRET = re.compile(r"(?:%s)[\"']?\s*[=:]\s*[\"']?([A-Za-z0-9_\-][A-Za-z0-9_\-./+=]{14,}[A-Za-z0-9_\-=])" % "|".join(map(re.escape, SECRET_WORDS)), re.IGNORECASE)
 _NAME = re.compile(r"\b(%s)(\.? )([^\W\d_][\w'-]*)(?: ([^\W\d_][\w'-]*))?" % "|".join(TITLES))
 _LETTERS = {"latin": ("abcdefghijklmnopqrstuvwxyz", "àáâäèéêëìíîïòóôöùúûü"), "greek": ("αβγδεζηθικλμνξοπρστυφχψω", ""), "cyrillic": ("абвгдежзийклмнопрстуфхцчшщъыьэюя", "")}
 _SYLLABLES = {"latin": ("bdfglmnprstvk", "aeiou"), "greek": ("βγδθκλμνπρστφχ", "αειοω"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу")}
@@ -62,17 +66,19 @@ def mentions(text: str | None) -> list[Mention]:
     found: list[Mention] = []
     at = text.find("@")
     while at >= 0:
-        left, right = _LEFT.search(text, max(0, at - 64), at), _RIGHT.match(text, at + 1)
-        if left and right:
-            start = left.start() + len(left[0]) - len(left[0].lstrip("."))
-            if start < at:
-                found.append((start, right.end(), "email", text[start : right.end()].lower()))
+        right, start = _RIGHT.match(text, at + 1), at
+        while right and start and (text[start - 1].isalnum() or text[start - 1] in "_.+-"):
+            start -= 1
+        while start < at and text[start] == ".":
+            start += 1
+        if right and start < at:
+            found.append((start, right.end(), "email", text[start : right.end()].lower()))
         at = text.find("@", at + 1)
     for m in _NUMBER.finditer(text):
-        before = text[m.start() - 1 : m.start()]
-        if before.isalnum() or m.lastgroup == "ip" and (before == "." or not _octets(m[0])):
+        before, kind = text[m.start() - 1 : m.start()], m.lastgroup
+        if before.isalnum() or kind == "ip" and (before == "." or not _octets(m[0])):
             continue
-        found.append((m.start(), m.end(), m.lastgroup, m[0] if m.lastgroup == "ip" else re.sub(r"\D", "", m[0])))
+        found.append((m.start(), m.end(), kind, m[0] if kind == "ip" else m[0].lower() if kind == "ip6" else re.sub(r"\D", "", m[0])))
     folded = text.lower() if any(w in text for w in ("oken", "ecret", "assword", "pi", "OKEN", "ECRET", "ASSWORD", "PI")) else ""
     if any(w in folded for w in SECRET_WORDS):
         found += [(m.start(1), m.end(1), "secret", m[1]) for m in _SECRET.finditer(text)]
@@ -81,6 +87,12 @@ def mentions(text: str | None) -> list[Mention]:
             gender = TITLES[m[1]]
             parts = [(3, "surname")] if m[4] is None or not m[4][0].isupper() else [(3, f"given-{gender}"), (4, "surname")]
             found += [(m.start(g), m.end(g), kind, m[g].lower()) for g, kind in parts if m[g][0].isupper()]
+        # a surname before a given name of the same spelling, so that every mention of it is the same entity
+        known = {text[s:e]: (k, v) for s, e, k, v in sorted(found, key=lambda f: f[2] == "surname") if k == "surname" or k.startswith("given-")}
+        if known:
+            again = re.compile(r"(?<![\w'-])(?:%s)(?![\w-])" % "|".join(map(re.escape, sorted(known, key=len, reverse=True))))
+            titled = {f[0] for f in found}
+            found += [(m.start(), m.end(), *known[m[0]]) for m in again.finditer(text) if m.start() not in titled]
     found.sort(key=lambda f: (f[0], -f[1]))
     out: list[Mention] = []
     for f in found:
@@ -135,6 +147,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     draw = _stream(key, kind, value, attempt)
     if kind == "ip":
         return ".".join(str(1 + draw(254)) for _ in range(4))
+    if kind == "ip6":
+        return _like(value, draw, True)
     if kind == "phone":
         keep = len(value) - 10 if len(value) > 10 else 0
         return value[:keep] + _like(value[keep:], draw)
@@ -163,6 +177,8 @@ def in_format(kind: str, mention: str, canonical: str) -> str:
         if mention.isupper():
             return canonical.upper()
         return "".join(c.upper() if m.isupper() else c for m, c in zip(mention, canonical)) if len(mention) == len(canonical) else canonical
+    if kind == "ip6":
+        return canonical.upper() if mention.isupper() else canonical
     if kind == "surname" or kind.startswith("given-"):
         return canonical.upper() if mention.isupper() and len(mention) > 1 else canonical[0].upper() + canonical[1:]
     return canonical
@@ -190,7 +206,10 @@ def _mentioned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def draw_all(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, attempt, surrogate) of distinct ``entities`` (kind, value): no two equal, none an entity."""
+    """(kind, value, attempt, surrogate) of distinct ``entities`` (kind, value): no two equal, none an entity.
+
+    An error where an entity finds no free surrogate in ATTEMPTS draws, as when a form's values are used up.
+    """
 
     @F.pandas_udf("string")
     def drawn(kinds: pd.Series, values: pd.Series, attempts: pd.Series) -> pd.Series:
@@ -208,6 +227,8 @@ def draw_all(entities: DataFrame, key: bytes) -> DataFrame:
         again = settle(late.unionByName(real).distinct())
         if again.isEmpty():
             return now
+        if full := now.join(again, ["kind", "value"], "left_semi").where(F.col("attempt") >= ATTEMPTS).select("kind").first():
+            raise ValueError(f"no free surrogate for a {full.kind} after {ATTEMPTS} draws: its form has too few values for its entities")
         new = again.join(now, ["kind", "value"]).withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", drawn("kind", "value", "attempt"))
         now = settle(now.join(again, ["kind", "value"], "left_anti").unionByName(new.select(*now.columns)))
 
@@ -230,7 +251,7 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
         def rewritten(texts: pd.Series) -> pd.DataFrame:
             return pd.DataFrame([rewrite(key, t, told) for t in texts], columns=["text", "n"])
 
-        out = docs.select(*columns, rewritten(F.col(text_col)).alias("_new"))
+        out = docs.select(whole(docs), rewritten(F.col(text_col)).alias("new"))
     else:
         met = texts.mapInPandas(_mentioned, "id string, text_key long, kind string, value string").join(again, ["kind", "value"])
         told_each = settle(met.groupBy("id", "text_key").agg(F.collect_set(F.concat_ws("\0", "kind", "attempt", "value")).alias("_again")))
@@ -243,7 +264,7 @@ def replace(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str =
                 rows.append(rewrite(key, text, {(k, v): int(a) for k, a, v in split}))
             return pd.DataFrame(rows, columns=["text", "n"])
 
-        keyed = docs.select(*columns, content_key(F.col(text_col)).alias("_key"))
-        joined = keyed.join(told_each, (keyed["_key"] == told_each["text_key"]) & keyed[id_col].cast("string").eqNullSafe(told_each["id"]), "left")
-        out = joined.select(*columns, rewritten_each(F.col(text_col), F.col("_again")).alias("_new"))
-    return out.select(*(F.col("_new.text").alias(c) if c == text_col else F.col(c) for c in columns), F.col("_new.n").alias("n_replaced"))
+        keyed = docs.select(whole(docs), F.col(id_col).cast("string").alias("own_id"), content_key(F.col(text_col)).alias("own_key"), F.col(text_col).alias("text"))
+        joined = keyed.join(told_each, (F.col("own_key") == F.col("text_key")) & F.col("own_id").eqNullSafe(F.col("id")), "left")
+        out = joined.select("doc", rewritten_each(F.col("text"), F.col("_again")).alias("new"))
+    return out.select(*(F.col("new.text" if c == text_col else f"doc.`{c}`").alias(c) for c in columns), F.col("new.n").alias("n_replaced"))

@@ -1,6 +1,6 @@
 import corpus_pipeline
 from millrace.llm import decontaminate, mixing
-from tests.llm.test_simhash import plain_components, plain_fingerprint
+from tests.llm.test_simhash import alike_components
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -20,7 +20,7 @@ def test_stages_one_by_one(spark, tmp_path):
     before, after = seen["language"]
     assert {r.doc_id for r in before} - {r.doc_id for r in after} == {r.doc_id for r in before if not any(c.isalpha() for c in r.text or "")}
     before, after = seen["near_duplicates"]
-    groups = plain_components({r.doc_id: plain_fingerprint(r.text) for r in before})
+    groups = alike_components({r.doc_id: r.text for r in before})
     assert sorted(r.doc_id for r in after) == sorted(set(groups.values()))
     before, after = seen["benchmark"]
     items = [b" " + b" ".join(decontaminate.fold(r.text)) + b" " for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
@@ -39,3 +39,23 @@ def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SMALL)
     assert out.columns == ["doc_id", "shard", "shard_rows", "shard_bytes", "version"] and out.count() > 0
     assert mixing.CAP == 3
+
+
+def odd_documents(spark):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and columns whose names clash."""
+    rows = [(1, "one two three four five six", "en", "a"), (1, "one two three four five six", "en", "a"), (2, None, None, None), (3, "", "en", "b"), (None, "alpha beta gamma delta", None, None), (None, "alpha beta gamma delta", None, None), (4, "long words " * 60000, "en", "a"), (5, "123 !", "fr", "c"), (6, "abc", "en", "a")]
+    return spark.createDataFrame([(*r, len(r[1] or ""), 7, 8, 9) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, _key int, shard int, doc int")
+
+
+def test_odd_documents_in_every_stage(spark):
+    docs = odd_documents(spark)
+    kept = {"language": [-1, -1, 1, 1, 4, 6], "near_duplicates": [-1, 1, 2, 4, 5, 6], "benchmark": [-1, -1, 1, 1, 2, 3, 4, 5, 6]}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        if name != "shards":
+            assert out.columns == docs.columns
+        ids = sorted(-1 if r.doc_id is None else r.doc_id for r in out.collect())
+        if name in kept:
+            assert ids == kept[name], name
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    assert len(ids) == docs.count()

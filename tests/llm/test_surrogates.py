@@ -1,5 +1,7 @@
 import re
 
+import pytest
+
 from millrace.llm import surrogates as s
 
 KEY = b"test key"
@@ -60,3 +62,26 @@ def test_edge_cases(spark):
     by = {r.doc_id: r for r in got}
     assert by[1].text is None and by[2].text == "" and by[None].text == by[4].text[-6:]
     assert s.replace(docs.limit(0), KEY).count() == 0
+
+
+def test_later_mentions_of_a_name_and_more_shapes():
+    text = "Mr. John Smith came. Later John Smith left and Smith's dog wrote. Smithson stayed. +15551234567, +33 1 23 45 67 89, +49 30 123456, 555-123-4567, 2001:0db8:0000:0000:0000:ff00:0042:8329, token=eyJhbGciOiJI.eyJzdWIi/MTIzNA+x.c2ln"
+    new, n = s.rewrite(KEY, text, {})
+    assert n == 11 and not re.search(r"John|Smith\b|5551234567|23 45 67|123456\b|123-4567|8329|eyJ|c2ln", new) and "Smithson stayed." in new
+    first, last = re.match(r"Mr\. (\w+) (\w+) came\. ", new).groups()
+    assert f"Later {first} {last} left and {last}'s dog" in new
+    long = "a" * 300 + "@x.org"
+    assert s.mentions(long) == [(0, len(long), "email", long)]
+
+
+def test_no_endless_drawing(spark, monkeypatch):
+    monkeypatch.setattr(s, "ATTEMPTS", 3)
+    monkeypatch.setattr(s, "surrogate", lambda key, kind, value, attempt=0: "same")
+    with pytest.raises(ValueError, match="no free surrogate"):
+        s.draw_all(spark.createDataFrame([("phone", "1"), ("phone", "2")], "kind string, value string"), KEY)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x@y.zz", 1, 2, 3)], "doc_id long, text string, _new int, _key int, doc int")
+    got = s.replace(docs, KEY)
+    assert got.columns == [*docs.columns, "n_replaced"] and [tuple(r)[2:] for r in got.collect()] == [(1, 2, 3, 1)]
