@@ -22,3 +22,17 @@ def test_entry(spark):
 
     assert entry(spark).count() == 25
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_the_rest_works_without_the_training_data_operators(tmp_path):
+    """Entry point and library, copied without the optional folders and the pipeline."""
+    import shutil
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    top = Path(__file__).resolve().parent.parent
+    shutil.copytree(top / "millrace", tmp_path / "millrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(top / "__spark_entry__.py", tmp_path)
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 100 and 'pipeline' not in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "HOME": str(tmp_path)})
