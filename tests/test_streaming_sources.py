@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from millrace.sources import readers, sinks
@@ -17,6 +19,7 @@ def test_stream_equals_batch_and_drops_late_rows(spark, tmp_path):
     for number in range(3):
         source = next((tmp_path / f"in/{number}").glob("part-*.parquet"))
         (flat / f"{number}.parquet").write_bytes(source.read_bytes())
+        os.utime(flat / f"{number}.parquet", (1_700_000_000 + number, 1_700_000_000 + number))  # a stream takes files by age
     stream = monitor.file_stream(spark, events, str(flat))
     got = monitor.collect_to(monitor.tumbling(stream), str(tmp_path / "out"), str(tmp_path / "place"))
     want = monitor.tumbling(events)
