@@ -128,7 +128,7 @@ def weighted_scores(rows: DataFrame, key: Sequence[str], weights: DataFrame, fac
     return means.join(F.broadcast(weights)).select(*key, "scheme", score.alias("score"))
 
 
-def bootstrap_mean(rows: DataFrame, id_col: str, value: str, resamples: int = 200, level: float = 0.95, seed: int = 327) -> DataFrame:
+def bootstrap_mean(rows: DataFrame, id_col: str, value: str, resamples: int = 1000, level: float = 0.95, seed: int = 327) -> DataFrame:
     """Percentile interval of the mean under resampling by hash: each row counts Poisson(1) times in each resample.
 
     Counts depend on id, resample and seed alone, so reruns and any partitioning agree. Rows are spread by

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import partial
 
 import numpy as np
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as fn
 
-QUERIES_AT_ONCE = 4096
 BLOCK = 2000
 
 
@@ -82,29 +81,36 @@ def unit(vectors: pd.Series) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def _best(ids: np.ndarray, queries: np.ndarray, k: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        if len(batch):
-            scores = np.round(queries @ unit(batch["vector"]).T, 9)
-            targets = batch["id"].to_numpy()
-            order = np.lexsort((np.broadcast_to(targets, scores.shape), -scores), axis=1)[:, : k + 1]
-            rows = np.repeat(np.arange(len(ids)), order.shape[1])
-            yield pd.DataFrame({"query": ids[rows], "target": targets[order.ravel()], "score": scores[rows, order.ravel()]})
+def _block(frame: DataFrame) -> tuple[int, Column]:
+    """Into how many blocks of about BLOCK rows ``frame`` is dealt, and the block of a row."""
+    n = max(1, -(-frame.count() // BLOCK))
+    return n, F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+
+
+def _best(k: int, group: pd.DataFrame) -> pd.DataFrame:
+    q, t = (group[group["side"] == s] for s in (0, 1))
+    if not len(q) or not len(t):
+        return pd.DataFrame({"query": [], "target": [], "score": []})
+    ids, targets = q["id"].to_numpy(), t["id"].to_numpy()
+    scores = np.round(unit(q["vector"]) @ unit(t["vector"]).T, 6)
+    scores[ids[:, None] == targets[None, :]] = -np.inf
+    order = np.lexsort((np.broadcast_to(targets, scores.shape), -scores), axis=1)[:, :k]
+    rows = np.repeat(np.arange(len(ids)), order.shape[1])
+    found = pd.DataFrame({"query": ids[rows], "target": targets[order.ravel()], "score": scores[rows, order.ravel()]})
+    return found[found["score"] > -np.inf]
 
 
 def vector_top_k(table: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """The k nearest rows by cosine of each query (both id, vector), itself left out.
 
-    Queries go to the tasks in blocks of QUERIES_AT_ONCE; each task keeps the best of its batch, and one ranking a
-    query is left. Zero vectors score zero.
+    Both are dealt to blocks of about BLOCK rows; a task holds a block of each and keeps its k best of each query, and
+    one ranking a query is left. Zero vectors score zero.
     """
-    found = table.sparkSession.createDataFrame([], "query long, target long, score double")
-    rows = queries.select("id", "vector").orderBy("id").toLocalIterator()
-    while block := [r for _, r in zip(range(QUERIES_AT_ONCE), rows)]:
-        ids = np.array([r.id for r in block])
-        part = table.select("id", "vector").mapInPandas(partial(_best, ids, unit(pd.Series([r.vector for r in block])), k), "query long, target long, score double")
-        found = found.unionByName(part)
-    return top_k(found.where("query <> target"), k)
+    (nq, q), (nt, t) = _block(queries), _block(table)
+    left = queries.select(q.alias("q"), F.explode(F.sequence(F.lit(0), F.lit(nt - 1))).alias("t"), F.lit(0).alias("side"), "id", "vector")
+    right = table.select(F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("q"), t.alias("t"), F.lit(1).alias("side"), "id", "vector")
+    both = left.unionByName(right)
+    return top_k(both.groupBy("q", "t").applyInPandas(partial(_best, k), "query long, target long, score double"), k)
 
 
 def _pairs(threshold: float, group: pd.DataFrame) -> pd.DataFrame:
@@ -114,22 +120,20 @@ def _pairs(threshold: float, group: pd.DataFrame) -> pd.DataFrame:
     scores = unit(a["vector"]) @ unit(b["vector"]).T
     i, j = np.nonzero(scores >= threshold)
     left, right = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-    keep = left < right
-    return pd.DataFrame({"left": left[keep], "right": right[keep], "score": scores[i, j][keep]})
+    keep = left < right if a["x"].iloc[0] == a["y"].iloc[0] else left != right
+    return pd.DataFrame({"left": np.minimum(left, right)[keep], "right": np.maximum(left, right)[keep], "score": scores[i, j][keep]})
 
 
 def similarity_join(table: DataFrame, low: float, high: float | None = None) -> DataFrame:
     """(left, right, score): pairs with left < right and low <= cosine < high, compared block by block.
 
-    Rows are dealt to blocks of about BLOCK by a hash; a task holds two blocks, whatever the size of the table.
+    Rows are dealt to blocks of about BLOCK by a hash; each two blocks meet once, in a task that holds no others.
     """
-    n = max(1, -(-table.count() // BLOCK))
-    dealt = table.select("id", "vector", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("b"))
-    each = F.sequence(F.lit(0), F.lit(n - 1))
-    left = dealt.withColumn("o", F.explode(each)).withColumn("side", F.lit(0)).withColumn("pair", F.col("b") * n + F.col("o"))
-    right = dealt.withColumn("o", F.explode(each)).withColumn("side", F.lit(1)).withColumn("pair", F.col("o") * n + F.col("b"))
-    both = left.select("pair", "side", "id", "vector").unionByName(right.select("pair", "side", "id", "vector"))
-    out = both.groupBy("pair").applyInPandas(partial(_pairs, low - 1e-7), "left long, right long, score double")
+    n, b = _block(table)
+    dealt = table.select("id", "vector", b.alias("b"))
+    left = dealt.select(F.col("b").alias("x"), F.explode(F.sequence("b", F.lit(n - 1))).alias("y"), F.lit(0).alias("side"), "id", "vector")
+    right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"), "id", "vector")
+    out = left.unionByName(right).groupBy("x", "y").applyInPandas(partial(_pairs, low - 1e-7), "left long, right long, score double")
     return out if high is None else out.where(F.col("score") < high)
 
 
@@ -144,3 +148,16 @@ def best_part(scores: DataFrame, parts: DataFrame) -> DataFrame:
     """Scores of parts (``part``, ``target``) as scores of their targets: the best part counts."""
     found = scores.select("query", F.col("target").alias("part"), "score")
     return found.join(parts, "part").groupBy("query", "target").agg(F.max("score").alias("score"))
+
+
+def candidates(sources: DataFrame, targets: DataFrame, method: str = "tfidf", k: int = 10, threshold: float | None = None, chunk: int = 60, stop: Sequence[str] = ()) -> DataFrame:
+    """(query, target, score, rank): the ``k`` likeliest targets of each source (both id, text) by ``keyword``, ``tfidf`` or ``hybrid``.
+
+    A target scores as its best part of ``chunk`` words; the threshold comes after the cut. Pairs without a shared
+    word have no row.
+    """
+    parts = targets.select(F.col("id").alias("target"), F.posexplode(fn.chunks(F.col("text"), chunk)).alias("n", "text")).withColumn("part", F.concat_ws(":", "target", "n"))
+    texts, owners = parts.select(F.col("part").alias("id"), "text"), parts.select("part", "target")
+    methods = {"keyword": (keyword_scores,), "tfidf": (tfidf_scores,), "hybrid": (keyword_scores, tfidf_scores)}[method]
+    scores = [best_part(score(sources, texts, stop), owners) for score in methods]
+    return top_k(scores[0] if len(scores) == 1 else fuse(scores, targets.count()), k, threshold)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import text as fn
 from millrace.operators import graph
 from millrace.operators import similarity as sim
 from millrace.plans.registry import Catalog, read
@@ -80,9 +79,7 @@ tk AS (SELECT doc_id AS target, n, len(t) AS tn, unnest(t) AS w FROM (SELECT doc
 s AS (SELECT query, target, n, count(*) / (any_value(qn) + any_value(tn) - count(*)) AS score FROM qk JOIN tk USING (w) GROUP BY 1, 2, 3), b AS (SELECT query, target, max(score) AS score FROM s GROUP BY 1, 2) {_top('b', 3)}"""
 )
 def chunk_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = targets(spark, sf_dir).select(F.col("id").alias("target"), F.posexplode(fn.chunks(F.col("text"), 60)).alias("n", "text")).withColumn("part", F.concat_ws(":", "target", "n"))
-    scores = sim.keyword_scores(queries(spark, sf_dir), parts.select(F.col("part").alias("id"), "text"), STOP)
-    return sim.top_k(sim.best_part(scores, parts.select("part", "target")), 3)
+    return sim.candidates(queries(spark, sf_dir), targets(spark, sf_dir), "keyword", 3, stop=STOP)
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

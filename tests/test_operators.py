@@ -190,7 +190,6 @@ def test_zscore_fusion_prefers_agreement(spark):
 
 def test_dense_similarity_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(similarity, "BLOCK", 3)
-    monkeypatch.setattr(similarity, "QUERIES_AT_ONCE", 2)
     rows = [(i, [1.0, i / 10]) for i in range(8)] + [(8, [0.0, 0.0])]
     table = frame(spark, rows, "id long, vector array<double>")
     pairs = {(r.left, r.right) for r in similarity.similarity_join(table, 0.99).collect()}
