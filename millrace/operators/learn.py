@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import Pipeline, PipelineModel, PredictionModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, Imputer, NGram, RegexTokenizer, VectorAssembler
 from pyspark.sql import DataFrame
@@ -66,3 +66,25 @@ def out_of_fold(rows: DataFrame, columns: Sequence[str], group: str, folds: int
         part = Pipeline(stages=stages).fit(train).transform(test).select(*rows.columns, "prediction", F.col("_fold").cast("int").alias("fold"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def one_vs_rest(train: DataFrame, labels: Sequence[str], kind: str = "lr", c: float = 1.0) -> tuple[PipelineModel, dict[str, PredictionModel]]:
+    """Shared text features and a binary model for each of the columns ``labels`` (0/1); rows without a label teach others only."""
+    features = text_features().fit(train)
+    learnt = features.transform(train).select("features", *labels).cache()
+    models = {}
+    for name in labels:
+        own = learnt.where(F.col(name).isNotNull()).select("features", F.col(name).cast("double").alias("label"))
+        models[name] = linear(kind, c).fit(balanced(own, "label"))
+    learnt.unpersist()
+    return features, models
+
+
+def labels_of(fitted: tuple[PipelineModel, dict[str, PredictionModel]], rows: DataFrame) -> DataFrame:
+    """``rows`` with ``<label>_pred`` (0/1) for each label that was learnt."""
+    features, models = fitted
+    out = features.transform(rows).select(*rows.columns, "features")
+    for name, model in models.items():
+        said = model.transform(out)
+        out = said.select(*out.columns, F.col("prediction").cast("int").alias(f"{name}_pred"))
+    return out.drop("features")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import architecture, corpus, evidence, evolution, learning, metrics, qa, rules, similarity, sourcecode, splits, streaming, text, trace
+from millrace.plans import architecture, corpus, evidence, evolution, learning, master, metrics, qa, rules, similarity, sourcecode, splits, streaming, text, trace
 from millrace.plans.registry import Query
 
-PARTS = (architecture.catalog, evolution.catalog, text.catalog, corpus.catalog, similarity.catalog, metrics.catalog, qa.catalog, trace.catalog, streaming.catalog, learning.catalog, rules.catalog, sourcecode.catalog, splits.catalog, evidence.catalog)
+PARTS = (architecture.catalog, evolution.catalog, text.catalog, corpus.catalog, similarity.catalog, metrics.catalog, qa.catalog, trace.catalog, streaming.catalog, learning.catalog, rules.catalog, sourcecode.catalog, splits.catalog, evidence.catalog, master.catalog)
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

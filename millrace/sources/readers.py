@@ -129,3 +129,45 @@ def html_text(html: Column) -> Column:
     plain = F.replace(_numbered(plain), F.lit("&amp;"), F.lit("&"))
     lines = F.transform(F.split(plain, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t\r\f\x0B\u00A0]+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+
+def database(spark: SparkSession, url: str, table: str, column: str | None = None, parts: int = 8, **options: str) -> DataFrame:
+    """A table of a database (or ``(query) name``) over JDBC; with a numeric ``column``, in ``parts`` ranges of it at once.
+
+    Filters and columns that a query asks for are pushed down to the database. Without ``column``, one task reads all.
+    """
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if column is None:
+        return reader.option("dbtable", table).load()
+    low, high = reader.option("dbtable", f"(SELECT MIN({column}) AS low, MAX({column}) AS high FROM {table}) bounds").load().first()
+    ranged = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if low is None:
+        return ranged.load()
+    return ranged.options(partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts)).load()
+
+
+# Fields of evidence files, and what a missing field or null of the shared ones counts as, by kind.
+EVIDENCE = "evidence_id string, title string, description string, execution_status string, source_tool string, source_version string, synthetic boolean"
+MANUAL = "preconditions array<string>, inputs array<string>, steps array<string>, expected_result string, assertions array<string>"
+PERFORMANCE = "metric string, measured_value double, threshold double, percentile double, load string, duration_seconds double, scope string, unit string, configuration map<string, string>"
+KINDS = {"MANUAL_TEST": (MANUAL, "C3_MANUAL_CURATED", False), "PERFORMANCE_EVIDENCE": (PERFORMANCE, "C3_CONTROLLED_PERFORMANCE_FIXTURE", True)}
+
+
+def evidence(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Evidence of one of ``KINDS`` from files that hold a JSON array each, in the columns that all kinds share.
+
+    Fields of the other kind are null, lists and maps that are missing are empty. A record that lacks its id or title
+    stays with a null there, for the contracts to find.
+    """
+    fields, tool, synthetic = KINDS[kind]
+    raw = spark.read.schema(f"{EVIDENCE}, {fields}").option("multiLine", True).json(path)
+    raw = raw.select("*", F.col("_metadata.file_path").alias("source_path"))
+    for name, kind_of in raw.dtypes:
+        if kind_of.startswith("array"):
+            raw = raw.withColumn(name, F.coalesce(name, F.array().cast(kind_of)))
+        elif kind_of.startswith("map"):
+            raw = raw.withColumn(name, F.coalesce(name, F.create_map().cast(kind_of)))
+    known = {"description": "", "source_tool": tool, "source_version": "1.0", "synthetic": synthetic}
+    raw = raw.withColumns({name: F.coalesce(name, F.lit(value)) for name, value in known.items()})
+    empty = spark.createDataFrame([], ", ".join([EVIDENCE, "source_path string", MANUAL, PERFORMANCE]))
+    return empty.unionByName(raw, allowMissingColumns=True).withColumns({"evidence_type": F.lit(kind), "raw_reference": F.col("evidence_id")})
