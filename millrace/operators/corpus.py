@@ -56,17 +56,21 @@ def hash_sample(rows: DataFrame, seed: str, key: str, n: int) -> DataFrame:
     return rows.withColumn("order_key", hash_order(seed, F.col(key))).orderBy("order_key", key).limit(n)
 
 
-def quota_sample(rows: DataFrame, seed: str, key: str, stratum: str, quota: int) -> DataFrame:
-    """Up to ``quota`` rows of each stratum in hash order.
+def quota_sample(rows: DataFrame, seed: str, key: str, stratum: str, quota: int, margin: float = 10.0) -> DataFrame:
+    """Up to ``quota`` rows of each stratum in hash order; null is a stratum too.
 
-    A first cut by the leading hash digits, sized by each stratum's count, bounds what the ranking has to sort.
+    A first cut by the leading hash digits, sized by each stratum's count, bounds what the ranking has to sort. A
+    stratum of which that leaves less than its quota, however unlikely at this ``margin``, is ranked whole.
     """
     keyed = rows.withColumn("order_key", hash_order(seed, F.col(key)))
-    sizes = rows.groupBy(stratum).agg(F.count("*").alias("_n"))
+    sizes = rows.groupBy(F.col(stratum).alias("_s")).agg(F.count("*").alias("_n"))
     place = F.conv(F.substring("order_key", 1, 8), 16, 10).cast("double") / float(1 << 32)
-    near = keyed.join(F.broadcast(sizes), stratum).where(place <= (quota + 10 * quota**0.5 + 20) / F.col("_n"))
+    near = place <= (quota + margin * (quota**0.5 + 2)) / F.col("_n")
+    met = keyed.join(sizes, F.col(stratum).eqNullSafe(F.col("_s")))
+    left = met.groupBy(F.col("_s").alias("_t")).agg((F.count_if(near) < F.least(F.lit(quota), F.first("_n"))).alias("_short"))
+    chosen = met.join(left, F.col("_s").eqNullSafe(F.col("_t"))).where(near | F.col("_short"))
     rank = F.row_number().over(Window.partitionBy(stratum).orderBy("order_key", key))
-    return near.withColumn("_rank", rank).where(F.col("_rank") <= quota).drop("_n", "_rank")
+    return chosen.withColumn("_rank", rank).where(F.col("_rank") <= quota).drop("_n", "_s", "_t", "_short", "_rank")
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

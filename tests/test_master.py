@@ -4,7 +4,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from millrace.operators import learn, master
+from millrace.operators import corpus, learn, master
 from millrace.sources import readers
 
 SCHEMA = "id long, source string, text string, label string"
@@ -75,3 +75,11 @@ def test_evidence_files(spark, tmp_path):
     assert (m.steps, m.inputs, m.synthetic, m.source_tool, m.description, m.metric) == (["a", "b"], [], False, "C3_MANUAL_CURATED", "", None)
     assert (p.measured_value, p.threshold, p.configuration, p.synthetic, p.steps, p.evidence_type) == (1.5, 2.0, {"users": "5"}, True, None, "PERFORMANCE_EVIDENCE")
     assert none.synthetic and none.raw_reference is None and m.source_path.endswith("m.json")
+
+
+def test_quota_with_null_strata_and_without_luck(spark):
+    rows = spark.createDataFrame([(i, (None, "a", "b")[i % 3] if i else "rare") for i in range(300)], "id long, part string")
+    whole = {p: sorted((r.order_key, r.id) for r in rows.withColumn("order_key", corpus.hash_order("s", F.col("id"))).where(F.col("part").eqNullSafe(p)).collect())[:5] for p in (None, "a", "b", "rare")}
+    for margin in (10.0, -1.2):  # the second margin leaves every stratum but the rare one short of its quota or close to it
+        got = corpus.quota_sample(rows, "s", "id", "part", 5, margin).collect()
+        assert {p: sorted((r.order_key, r.id) for r in got if r.part == p) for p in whole} == whole
