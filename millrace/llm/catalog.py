@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontaminate, langid, linededup, mixing, sharding, simhash, substrings, surrogates, urlfilter, vectors
+from millrace.llm import decontaminate, langid, lexical, linededup, mixing, sharding, simhash, spelling, styletree, substrings, surrogates, urlfilter, vectors
 from millrace.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -138,9 +138,40 @@ FROM d LEFT JOIN q ON d.doc_id = q.doc_id
 """
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP11_SQL = """
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM documents),
+d AS (SELECT doc_id, count(*)::BIGINT AS n FROM t GROUP BY doc_id),
+s AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM d),
+q AS (SELECT DISTINCT item_id, term
+      FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                      '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark)),
+f AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+w AS (SELECT term, floor(1000 * ln((2 * big_n + 2) / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM f GROUP BY term), s),
+i AS (SELECT f.doc_id, f.term, w.w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * big_n) // big_l))) AS impact
+      FROM f JOIN w ON f.term = w.term JOIN d ON f.doc_id = d.doc_id, s),
+c AS (SELECT item_id, doc_id, sum(impact)::BIGINT AS score FROM q JOIN i ON q.term = i.term GROUP BY item_id, doc_id),
+r AS (SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INTEGER AS rank, doc_id, score FROM c WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.noisy_words(table(spark, sf_dir, "documents")))
+
+
+def op13_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = styletree.main_texts(table(spark, sf_dir, "pages"))
+    return rows.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_surrogates": op3_surrogates, "op4_mixing": op4_mixing, "op5_linededup": op5_linededup, "op6_urlfilter": op6_urlfilter, "op7_decontaminate": op7_decontaminate, "op8_vectors": op8_vectors, "op9_sharding": op9_sharding, "op10_substrings": op10_substrings}
+    return {"op1_simhash": op1_simhash, "op2_langid": op2_langid, "op3_surrogates": op3_surrogates, "op4_mixing": op4_mixing, "op5_linededup": op5_linededup, "op6_urlfilter": op6_urlfilter, "op7_decontaminate": op7_decontaminate, "op8_vectors": op8_vectors, "op9_sharding": op9_sharding, "op10_substrings": op10_substrings, "op11_lexical": op11_lexical, "op12_spelling": op12_spelling, "op13_html": op13_html}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": OP4_SQL, "op5_linededup": OP5_SQL, "op8_vectors": OP8_SQL, "op10_substrings": OP10_SQL}
+    return {"op4_mixing": OP4_SQL, "op5_linededup": OP5_SQL, "op8_vectors": OP8_SQL, "op10_substrings": OP10_SQL, "op11_lexical": OP11_SQL}

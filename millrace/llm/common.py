@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +21,19 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: int = 32 << 20) -
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, size: int = 32 << 20) -> Iterator[None]:
+    """``small_batches`` for what runs inside the block; the session has its own settings again afterwards."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(name) for name in names]
+    small_batches(spark, rows, size)
+    try:
+        yield
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
