@@ -202,7 +202,7 @@ class Letters:
         """Whether words i and j, which differ, are one insertion, deletion or replacement apart: what their ends share
         leaves at most one letter of the longer word."""
         short, long = np.minimum(self.size[i], self.size[j]), np.maximum(self.size[i], self.size[j])
-        out = np.zeros(len(i), dtype=bool)
+        out = (short == 0) & (long == 1)
         at = np.flatnonzero((long - short <= 1) & (short > 0))
         head, tail = (self.flat[self.start[k][at]] for k in (i, j)), (self.flat[self.start[k][at] + self.size[k][at] - 1] for k in (i, j))
         at = at[np.equal(*head) | np.equal(*tail)]

@@ -12,12 +12,12 @@ is a content node. Then
 * the importance of a branch is (1 - GAMMA^l) of its node's own and GAMMA^l of that of its l styles, by their shares of the
   pages; a style's is the mean of its branches.
 
-Branches of less than THRESHOLD are removed from each page. An entropy cannot see what varies from page to page and is
+Branches of less than THRESHOLD, in which no branch has more, are removed from each page. An entropy cannot see what varies from page to page and is
 no part of the article for all that (an advert, readers' comments), nor judge a host of one page, so a node whose tag,
 role, class or id declares such content has no importance at all. Nor should pages that are copies of each other lose
 their article: branches around an element that declares the article always stay; inside it, flow content (paragraphs,
-headings, items, cells) stays and other branches are judged only if the article itself is important; and on a host
-whose whole body is unimportant only declared content goes.
+headings, items, cells) stays and other branches are judged only if the article itself has something important; and
+where the whole body has nothing important only declared content goes.
 
 The trees are counted, not built: pages give (node, style) and (node, block of text) rows, which Spark adds up by
 node, and branches are summed from the deepest level upwards. Equal pages of a host count once.
@@ -197,6 +197,11 @@ def branches(root: Node, host: str) -> Iterator[tuple[int, int, int, bool, int]]
                 yield level + 1, style, own, True, _signed(f"text {chr(10).join(_texts(child))}")
 
 
+def _owned(node: Node) -> list[tuple[Node | str, int | None]]:
+    """The children with their ids in the tree; those below DEPTH levels have none."""
+    return list(zip(node.children, node.ids or [None] * len(node.children)))
+
+
 def _texts(node: Node) -> Iterator[str]:
     stack: list[Node | str] = [node]
     while stack:
@@ -230,33 +235,35 @@ def main_text(page: bytes, host: str, low: frozenset[int]) -> str:
     """The page's blocks, joined by line breaks, without its declared branches and those whose ids are in ``low``."""
     root = parse(page.decode(errors="replace"))
     list(branches(root, host))
-    around: set[int] = set()
-    path: list[tuple[Node, int]] = [(root, -1)]
-    seen: list[tuple[Node, int]] = []
+    order: list[tuple[Node, int | None, int]] = []
+    path: list[tuple[Node, int | None, int]] = [(root, root.id, -1)]
     while path:
-        node, parent = path.pop()
-        seen.append((node, parent))
-        path += [(c, len(seen) - 1) for c in node.children if isinstance(c, Node)]
-    for node, parent in reversed(seen):
-        if node.article or id(node) in around:
-            around.add(id(node))
-            if parent >= 0:
-                around.add(id(seen[parent][0]))
-    judged = root.id not in low
+        order.append(path.pop())
+        node = order[-1][0]
+        path += [(c, i, len(order) - 1) for c, i in _owned(node) if isinstance(c, Node)]
+    around, important = set(), set()
+    for node, own, parent in reversed(order):
+        if own is not None and (own not in low or any(isinstance(c, str) and i is not None and i not in low for c, i in _owned(node))):
+            important.add(id(node))
+        for of in (around, important):
+            if parent >= 0 and id(node) in of:
+                of.add(id(order[parent][0]))
+        if node.article and parent >= 0:
+            around |= {id(node), id(order[parent][0])}
     blocks: list[str] = []
-    stack: list[tuple[Node | str, int | None, bool, bool]] = [(root, None, False, judged)]
+    stack: list[tuple[Node | str, int | None, bool, bool]] = [(root, None, False, id(root) in important)]
     while stack:
         one, own, inside, judging = stack.pop()
-        unimportant = judging and own in low and not (inside and (isinstance(one, str) or one.tag in FLOW))
         if isinstance(one, str):
-            if not unimportant:
+            if inside or not judging or own not in low:
                 blocks.append(one)
             continue
-        if id(one) not in around and one is not root and (unimportant or one.declared(inside)):
+        unimportant = judging and own is not None and id(one) not in important and not (inside and one.tag in FLOW)
+        if one is not root and id(one) not in around and (unimportant or one.declared(inside)):
             continue
         if one.article:
-            inside, judging = True, judged and own not in low
-        stack += [(c, i, inside, judging) for c, i in zip(reversed(one.children), reversed(one.ids or [None] * len(one.children)))]
+            inside, judging = True, id(one) in important
+        stack += [(c, i, inside, judging) for c, i in reversed(_owned(one))]
     return "\n".join(blocks)
 
 
