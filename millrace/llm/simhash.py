@@ -16,14 +16,16 @@ Two operators stand on it:
   ``radius + 1`` blocks of bits, of which two linked fingerprints share one, so no link is missed.
 * ``similar`` links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more. At that
   similarity 15 % of the bits differ, too many for blocks, so a node is a choice of bits out of ``WIDE`` words, in as
-  many families as the wanted ``MISS`` asks for. What the tree leaves is compared by the sets themselves.
+  many families as the wanted ``MISS`` asks for. What the tree leaves is compared by the sets themselves. Sets of up
+  to SHORT shingles, whose bits scatter most, are linked without bits, through the shingles that they share.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -293,9 +295,41 @@ PAIRS_A_ENTRY = 1
 CENTRES = 3
 
 
+SHORT = 14
+
+
+def least_shared(a: int, b: int) -> int:
+    """The fewest shingles that sets of ``a`` and ``b`` have in common at SIMILARITY."""
+    return math.ceil(SIMILARITY * (a + b) / (1 + SIMILARITY) - 1e-9)
+
+
+def left_out(n: int) -> int:
+    """How many shingles of a set of ``n`` a similar one of SHORT shingles at most can lack."""
+    return max(n - least_shared(m, n) for m in range(1, SHORT + 1) if least_shared(m, n) <= min(m, n))
+
+
+def differing_of(a: int, b: int, both: int) -> float:
+    """The share of bits that differ, on average, between sets of ``a`` and ``b`` shingles with ``both`` in common."""
+    common, left, right = ([math.comb(n, k) / 2.0**n for k in range(n + 1)] for n in (both, a - both, b - both))
+    out = 0.0
+    for k, p in enumerate(common):
+        x = sum(q for u, q in enumerate(left) if 2 * (k + u) > a)
+        y = sum(q for v, q in enumerate(right) if 2 * (k + v) > b)
+        out += p * (x * (1 - y) + y * (1 - x))
+    return out
+
+
+@lru_cache
 def differing(similarity: float) -> float:
-    """Share of fingerprint bits that differ, on average, between two sets of equal size at a Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+    """The largest share of bits that differ, on average, between two sets at a Jaccard similarity of which one is larger
+    than SHORT: for long sets the arc below, for those just above SHORT as many as counting their bits gives."""
+    out = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for b in range(SHORT + 1, 6 * SHORT):
+        for a in range(math.ceil(similarity * b - 1e-9), b + 1):
+            both = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
+            if both <= a:
+                out = max(out, differing_of(a, b, both))
+    return out
 
 
 def radius_for(similarity: float, miss: float, bits: int = 64) -> int:
@@ -347,10 +381,42 @@ def wide_fingerprint(found: np.ndarray, words: int = WIDE) -> np.ndarray:
     return np.packbits(2 * ones > len(found), bitorder="little").view("<i8")
 
 
-@F.pandas_udf(T.StructType().add("content", T.BinaryType()).add("code", T.ArrayType(T.LongType())))
+@F.pandas_udf(T.StructType().add("content", T.BinaryType()).add("size", T.IntegerType()).add("short", T.ArrayType(T.LongType())).add("code", T.ArrayType(T.LongType())))
 def _sketched(texts: pd.Series) -> pd.DataFrame:
+    """A set's hash, its size, the set itself if it is short, and its fingerprint."""
     sets = [shingle_set(t) for t in texts]
-    return pd.DataFrame({"content": [xxhash.xxh128_digest(x.tobytes()) for x in sets], "code": [wide_fingerprint(x).tolist() for x in sets]})
+    short = [x.view(np.int64).tolist() if len(x) <= SHORT else None for x in sets]
+    return pd.DataFrame({"content": [xxhash.xxh128_digest(x.tobytes()) for x in sets], "size": [len(x) for x in sets], "short": short, "code": [wide_fingerprint(x).tolist() for x in sets]})
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("shared", T.IntegerType()).add("s", T.LongType()).add("t", T.LongType())))
+def _parts(sets: pd.Series) -> pd.Series:
+    """What of each set a similar one can share with it: the sizes and two sums of mixed hashes of all parts that lack few enough."""
+    out = []
+    for found in sets:
+        x = np.asarray(found, dtype=np.int64).view(np.uint64)
+        mixed = [(x ^ (x >> np.uint64(29))) * f for f in _FACTORS[:2]]
+        mixed = [(m ^ (m >> np.uint64(32))).view(np.int64) for m in mixed]
+        rows = []
+        for lacks in range(left_out(len(x)) + 1 if len(x) else 0):
+            some = np.array(list(combinations(range(len(x)), lacks)), dtype=np.int64).reshape(math.comb(len(x), lacks), lacks)
+            sums = [(m.sum() - m[some].sum(axis=1)).tolist() for m in mixed]
+            rows += [{"shared": len(x) - lacks, "s": s, "t": t} for s, t in zip(*sums)]
+        out.append(rows)
+    return pd.Series(out, dtype=object)
+
+
+def _short_links(entries: DataFrame) -> DataFrame:
+    """Links (a, b) that connect exactly those entries of at most SHORT shingles that are similar.
+
+    Two similar sets both have the part that they share, so they meet under it. Of all sets that have a part, the smallest
+    is similar to every one that is similar to any of them, by this part alone: links with it are enough.
+    """
+    parts = settle(entries.where("short is not null").select("entry", "size", F.explode(_parts("short")).alias("p")).select("entry", "size", "p.*"))
+    least = parts.groupBy("s", "t").agg(F.min(F.struct("size", "entry")).alias("least"), F.count("*").alias("n")).where("n > 1").select("s", "t", "least")
+    met = parts.join(least, ["s", "t"]).where(F.col("entry") != F.col("least.entry"))
+    alike = F.col("shared") >= SIMILARITY * (F.col("size") + F.col("least.size") - F.col("shared")) - 1e-9
+    return settle(met.where(alike).select(F.col("least.entry").alias("a"), F.col("entry").alias("b")).distinct())
 
 
 @F.pandas_udf(T.BinaryType())
@@ -467,8 +533,9 @@ def _checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", miss: float = MISS) -> DataFrame:
     """One row per document: ``id_col``, ``text_key`` and ``component_id``, the smallest id reachable over links.
 
-    Texts are linked if the Jaccard similarity of their five-word shingle sets is 0.8 or more; what is linked is exact, and
-    a pair at exactly 0.8 stays unseen with the probability ``miss`` at most, one above it less and less. Texts with
+    Texts are linked if the Jaccard similarity of their five-word shingle sets is 0.8 or more; what is linked is exact.
+    Between sets of at most SHORT shingles no link is missed; beyond, a pair at exactly 0.8 stays unseen with the
+    probability ``miss`` at most, one above it less and less. Texts with
     equal sets are one entry. Null ids never name a component unless it has no other. Null, empty and wordless texts
     are linked with each other. Repeated rows keep their rows. Columns other than the two named ones are ignored. An
     empty table gives an empty result.
@@ -479,12 +546,16 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mis
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).alias("id"), content_key(F.col(text_col)).alias("text_key"), F.col(text_col).alias("text"))
-    prints = settle(rows.select("id", "text_key", _sketched("text").alias("s")).select("id", "text_key", "s.content", "s.code"))
-    entries = prints.groupBy("content").agg(F.min("id").alias("least"), F.min(F.struct("text_key", "id")).alias("of"), F.first("code").alias("code"))
+    prints = settle(rows.select("id", "text_key", _sketched("text").alias("s")).select("id", "text_key", "s.*"))
+    same = (F.first(c).alias(c) for c in ("size", "short", "code"))
+    entries = prints.groupBy("content").agg(F.min("id").alias("least"), F.min(F.struct("text_key", "id")).alias("of"), *same)
     entries = settle(entries.withColumn("entry", F.monotonically_increasing_id()))
-    bits = families(entries.count(), SIMILARITY, miss / 2)
+    short = _short_links(entries)
+    # smaller sets are similar to none but short ones
+    long = entries.where(F.col("size") >= math.ceil(SIMILARITY * (SHORT + 1) - 1e-9))
+    bits = families(long.count(), SIMILARITY, miss / 2)
     radius, both, wide, finest = (radius_for(SIMILARITY, miss / 8, 64 * n) for n in (1, 2, WIDE, FINE))
-    nodes = entries.select("entry", "code").mapInPandas(partial(_nodes, bits), "key long, entry long, code long, second long")
+    nodes = long.select("entry", "code").mapInPandas(partial(_nodes, bits), "key long, entry long, code long, second long")
     order = ("key", gray_rank(F.col("code")))
     small_batches(spark, BATCH)
     found = settle(nodes.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInPandas(partial(_candidates, radius, both), NODE_SCHEMA))
@@ -496,7 +567,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mis
     first = settle(_pairs(found.where("a is not null").select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(around)))
     met = first.select(F.col("a").alias("entry")).unionByName(first.select(F.col("b").alias("entry"))).unionByName(dense.select("entry"))
     sets = _sets_of(met.distinct(), entries, rows)
-    roots = connected_components(_checked(first, sets))
+    roots = connected_components(_checked(first, sets).unionByName(short))
 
     named = dense.join(roots, dense["entry"] == roots["node"], "left").select("key", "entry", "code", F.coalesce("root", "entry").alias("root"))
     shares = named.groupBy("key", "root").agg(F.count("*").alias("n"))
