@@ -71,13 +71,15 @@ def requirements(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add(
-    f"""WITH {LINKS}, {REQUIREMENTS}, t AS (SELECT source_id AS id, avg(confidence) AS trace, count(*) AS n FROM l WHERE status = 'verified' GROUP BY 1)
-SELECT id, coalesce(n, 0) AS n_links, n IS NULL AS orphan, round(coalesce(trace, 0), 6) AS trace, round(CASE WHEN evidence IS NULL THEN coalesce(trace, 0) ELSE 0.6 * coalesce(trace, 0) + 0.4 * least(greatest(evidence, 0), 1) END, 4) AS score FROM r LEFT JOIN t USING (id)"""
+    f"""WITH {LINKS}, r AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_acctbal / 7919 END AS evidence FROM customer), t AS (SELECT source_id AS id, avg(target_id % 128 / 128) AS trace, count(*) AS n FROM l WHERE status = 'verified' GROUP BY 1)
+SELECT id, coalesce(n, 0) AS n_links, n IS NULL AS orphan, coalesce(trace, 0) AS trace, round_even(CASE WHEN evidence IS NULL THEN coalesce(trace, 0) ELSE 0.6::DOUBLE * coalesce(trace, 0) + 0.4::DOUBLE * least(greatest(evidence, 0), 1) END * 100, 2) AS completeness FROM r LEFT JOIN t USING (id)"""
 )
 def completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = trace.completeness(requirements(spark, sf_dir), links(spark, sf_dir))
-    score = F.when(F.col("evidence").isNull(), F.col("trace")).otherwise(0.6 * F.col("trace") + 0.4 * F.least(F.greatest("evidence", F.lit(0.0)), F.lit(1.0)))
-    return rows.select("id", "n_links", "orphan", F.round("trace", 6).alias("trace"), F.round(score, 4).alias("score"))
+    """Confidences are multiples of 1/128, whose sums are the same in any order."""
+    evidence = F.when(F.col("c_custkey") % 3 != 0, F.col("c_acctbal") / 7919)
+    known = links(spark, sf_dir).withColumn("confidence", F.col("target_id") % 128 / 128)
+    rows = trace.completeness(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), evidence.alias("evidence")), known)
+    return rows.select("id", "n_links", "orphan", "trace", "completeness")
 
 
 @catalog.add(f"WITH {LINKS}, {REQUIREMENTS} SELECT id FROM r WHERE id NOT IN (SELECT source_id FROM l WHERE status = 'verified')")
