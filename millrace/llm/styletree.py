@@ -213,21 +213,19 @@ def _texts(node: Node) -> Iterator[str]:
 
 
 PROFILE = T.ArrayType(
-    T.StructType().add("level", T.IntegerType()).add("up", T.LongType()).add("node", T.LongType()).add("text", T.BooleanType()).add("value", T.LongType()).add("first", T.IntegerType())
+    T.StructType().add("level", T.IntegerType()).add("up", T.LongType()).add("node", T.LongType()).add("text", T.BooleanType()).add("values", T.ArrayType(T.LongType()))
 )
 
 
 @F.pandas_udf(PROFILE)
 def _profiles(pages: pd.Series, hosts: pd.Series) -> pd.Series:
-    """The rows of each page for the counts of its host; ``first`` marks a node's first row, so that it adds up to pages."""
+    """The branches of each page, each once, with its styles or its blocks of text."""
     out = []
     for page, host in zip(pages, hosts):
-        met: set[int] = set()
-        rows = []
-        for row in dict.fromkeys(branches(parse(page.decode(errors="replace")), host)):
-            rows.append((*row, int(row[2] not in met)))
-            met.add(row[2])
-        out.append([dict(zip(("level", "up", "node", "text", "value", "first"), r)) for r in rows])
+        rows: dict[tuple[int, int, int, bool], dict[int, None]] = {}
+        for *branch, value in branches(parse(page.decode(errors="replace")), host):
+            rows.setdefault(tuple(branch), {})[value] = None
+        out.append([dict(zip(("level", "up", "node", "text", "values"), (*branch, list(values)))) for branch, values in rows.items()])
     return pd.Series(out, dtype=object)
 
 
@@ -274,8 +272,10 @@ def _main_texts(pages: pd.Series, hosts: pd.Series, lows: pd.Series) -> pd.Serie
 
 
 def importance(rows: DataFrame) -> DataFrame:
-    """(node, text, importance) of every branch of ``rows`` (level, up, node, text, value, first), one for each page."""
-    values = settle(rows.groupBy("level", "up", "node", "text", "value").agg(F.count("*").alias("n"), F.sum("first").alias("first")))
+    """(node, text, importance) of every branch of ``rows`` (level, up, node, text, values), one for each page."""
+    each = rows.select("level", "up", "node", "text", F.posexplode("values").alias("place", "value"))
+    pages = F.sum((F.col("place") == 0).cast("int"))
+    values = settle(each.groupBy("level", "up", "node", "text", "value").agg(F.count("*").alias("n"), pages.alias("first")))
     log, n = F.log("n"), F.col("n")
     nodes = values.groupBy("level", "up", "node", "text").agg(
         F.sum("first").alias("m"), F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(n * log).alias("n_log"), F.avg(log).alias("mean_log")
