@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions import performance
 from millrace.functions.columns import clamp
 from millrace.operators.qa import RELEVANT, STRONG, to_milliseconds
 from millrace.operators.rules import alignment
@@ -17,6 +18,27 @@ ADEQUATE, PARTIAL, SCOPE = 0.80, 0.50, 0.40
 SCENARIOS = {"NEGATIVE": "Negative validation scenario", "BOUNDARY": "Boundary-value validation scenario", "STATE": "State-transition validation scenario", "STATE_TRANSITION": "State-transition validation scenario"}
 OUTCOME = "Assert the observable outcome defined by the RVU."
 ASSERTIONS = {"NEGATIVE": "Assert that the invalid or disallowed behavior is rejected.", "BOUNDARY": "Assert behavior at the exact boundary and immediately around it.", "STATE": "Assert the expected state after the operation.", "STATE_TRANSITION": "Assert the expected state after the operation."}
+# Words of a text that name an input, the clauses that state a precondition, and where such a clause ends.
+INPUTS = {"invalid": "Invalid input", "valid": "Valid input", "empty": "Empty input", "missing": "Missing input"}
+CLAUSES, CLAUSE_END = ("when", "after"), "(?:,|then|$)"
+# What performance asks for, and what proves other qualities.
+MEASURED, SCENARIO = "Compare the measured metric against the requirement threshold.", "Execute the required performance scenario under the stated workload."
+UNMEASURED = "The performance RVU does not contain a metric currently supported by the deterministic performance adequacy rules."
+SPECIALIZED = "Provide measurable evidence for the NFR condition."
+GUIDANCE = {
+    "SECURITY": "Security test evidence, SAST/DAST or security scan evidence.",
+    "SECURITY_BEHAVIOR": "Security-focused validation evidence.",
+    "RELIABILITY": "Sustained workload, failure and recovery evidence.",
+    "AVAILABILITY": "Availability telemetry and measurement-period evidence.",
+    "SCALABILITY": "Load, throughput, latency and resource-utilization evidence.",
+    "ACCESSIBILITY": "WCAG or automated accessibility audit evidence.",
+    "MAINTAINABILITY": "Coverage, complexity or static analysis evidence.",
+    "USABILITY": "Expert review or usability-study evidence.",
+    "AUDIT": "Audit-log and trace evidence.",
+    "AUTHORIZATION": "Authorization and access-control validation evidence.",
+    "DATA_INTEGRITY": "Integrity, persistence and consistency validation evidence.",
+}
+NO_GUIDANCE = "Specialized non-functional evidence is required."
 # States of a record, and names of tools whose runs are staged.
 STATES = ("PASS", "FAIL", "NOT_EXECUTED", "BLOCKED")
 STAGED = ("CONTROLLED", "SYNTHETIC", "FIXTURE")
@@ -46,6 +68,61 @@ def profiles(units: DataFrame, requirements: DataFrame) -> DataFrame:
     )
 
 
+def preconditions(text: Column) -> Column:
+    """What stands behind the first ``when`` and the first ``after``, up to a comma, ``then`` or the end."""
+
+    def clause(word: str) -> Column:
+        found = F.regexp_extract(text, rf"(?iUd)\b{word}\s+(.+?){CLAUSE_END}", 1)
+        said = F.contains(F.lower(text), F.lit(f"{word} ")) & (found != "")
+        return F.when(said, F.regexp_replace(found, r"(?U)^\s+|\s+$", ""))
+
+    return F.array_compact(F.array(*map(clause, CLAUSES)))
+
+
+def inputs(text: Column) -> Column:
+    return F.array_compact(F.array(*(F.when(F.contains(F.lower(text), F.lit(word)), name) for word, name in INPUTS.items())))
+
+
+def expected_evidence(units: DataFrame, requirements: DataFrame) -> DataFrame:
+    """``units`` (rvu_id, requirement_id, behavior_type, atomic_text, constraints as an array of texts) with all that each
+    asks of its evidence.
+
+    ``requirements`` are (requirement_id, type, subtype, title, text). Functional units ask for a test of their kind of
+    behaviour with the preconditions and inputs that their text names. Performance asks for a measurement; metric, limits,
+    load and duration come from the texts of requirement, unit and constraints, and a unit without a known metric is left
+    for review. Other qualities are not judged, only guided. Null texts say nothing; a unit without its requirement is an error.
+    """
+    rows = units.join(requirements.withColumnRenamed("text", "_text"), "requirement_id", "left")
+    lost = F.raise_error(F.concat(F.lit("Requirement not found for unit "), F.col("rvu_id").cast("string"))).cast("string")
+    said = F.concat_ws(" ", "_text", "atomic_text", F.array_join("constraints", " "))
+    rows = rows.withColumn("type", F.when(F.col("type").isNull(), lost).otherwise(F.upper("type"))).withColumns({"subtype": F.upper("subtype"), "_said": said, "_kind": F.upper("behavior_type")})
+    functional, measured = F.col("type") == "FUNCTIONAL", (F.col("type") == "NON_FUNCTIONAL") & F.col("subtype").eqNullSafe(F.lit("PERFORMANCE"))
+    rows = rows.withColumn("_p", F.when(measured, performance.profile(F.col("_said"))))
+    none = F.array().cast("array<string>")
+    load, seconds, percentile = F.col("_p.load"), F.col("_p.duration_seconds"), F.col("_p.percentile")
+    loaded = F.array(F.lit(SCENARIO), F.concat(F.lit("Apply at least "), load.cast("string"), F.lit(" concurrent users.")), F.concat(F.lit("Maintain the workload for at least "), seconds.cast("string"), F.lit(" seconds.")))
+    compared = F.array(F.lit(MEASURED), F.concat(F.lit("Evaluate the "), percentile, F.lit(" percentile.")))
+    scenario = F.array(F.coalesce(_look_up(SCENARIOS, F.col("_kind")), F.lit("Positive functional validation scenario")))
+    by = lambda test, measurement, other: F.when(functional, test).when(measured, measurement).otherwise(other)
+    known = F.col("_p.metric").isNotNull()
+    unsupported = F.concat(F.lit("Automatic adequacy assessment for "), "subtype", F.lit(" evidence is not implemented."))
+    title = F.nullif(F.regexp_replace("title", r"(?U)^\s+|\s+$", ""), F.lit(""))
+    scope = F.coalesce(title, F.nullif(F.substring(F.regexp_replace(F.regexp_replace("_said", r"(?U)\s+", " "), "^ | $", ""), 1, 200), F.lit("")))
+    return rows.select(
+        "rvu_id", "requirement_id",
+        by(F.lit("FUNCTIONAL_TEST"), F.lit("PERFORMANCE_EVIDENCE"), F.lit("SPECIALIZED_NFR_EVIDENCE")).alias("evidence_type"),
+        by(F.lit("SUPPORTED"), F.when(known, "SUPPORTED").otherwise("REVIEW_REQUIRED"), F.lit("UNSUPPORTED")).alias("support_status"),
+        by(F.lit(None).cast("string"), F.when(~known, UNMEASURED), unsupported).alias("support_reason"),
+        F.array_compact(by(scenario, loaded, F.array(F.coalesce(_look_up(GUIDANCE, F.col("subtype")), F.lit(NO_GUIDANCE))))).alias("required_scenarios"),
+        by(preconditions(F.col("atomic_text")), none, none).alias("preconditions"),
+        by(inputs(F.col("atomic_text")), none, none).alias("inputs"),
+        F.array("atomic_text").alias("expected_outcomes"),
+        F.array_compact(by(F.array(F.lit(OUTCOME), _look_up(ASSERTIONS, F.col("_kind"))), compared, F.array(F.lit(SPECIALIZED)))).alias("required_assertions"),
+        *(F.col(f"_p.{name}").alias(name) for name in ("metric", "percentile", "operator", "threshold", "unit", "load", "duration_seconds")),
+        F.when(measured, scope).alias("scope"),
+    )
+
+
 def _equal(wanted: Column, given: Column) -> Column:
     return F.when(wanted.isNull(), 1.0).when(given.isNull(), 0.0).otherwise((F.lower(wanted) == F.lower(given)).cast("double"))
 
