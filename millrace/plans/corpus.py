@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as fn
-from millrace.operators import corpus
+from millrace.operators import corpus, selection
 from millrace.plans.registry import Catalog, read
 
 catalog = Catalog()
@@ -149,3 +149,23 @@ def dataset_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def majority_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = read(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
     return counts.groupBy("lang").agg(F.min_by("source", F.struct(-F.col("n"), F.col("source"))).alias("majority"))
+
+
+_QUOTAS = (("system", 12), ("assistant", 25), ("user", 60))
+
+
+@catalog.add(
+    """WITH RECURSIVE w AS (SELECT conv_id * 1000 + turn AS k, role, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS toks, row_number() OVER (PARTITION BY regexp_replace(lower(text), '[^a-z0-9]', '', 'g') ORDER BY conv_id * 1000 + turn) AS copy
+  FROM conversations WHERE len(list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '')) BETWEEN 6 AND 60 AND role IN ('system', 'assistant', 'user')),
+o AS (SELECT k, role, toks, row_number() OVER (ORDER BY CASE role WHEN 'system' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END, sha256('pick|' || k)) AS i FROM w WHERE copy = 1),
+g(i, picks) AS (SELECT 0::BIGINT, []::STRUCT(k BIGINT, role VARCHAR, toks VARCHAR[])[] UNION ALL
+  SELECT o.i, CASE WHEN len(list_filter(picks, lambda p: p.role = o.role)) < CASE o.role WHEN 'system' THEN 12 WHEN 'assistant' THEN 25 ELSE 60 + 12 - len(list_filter(picks, lambda p: p.role = 'system')) + 25 - len(list_filter(picks, lambda p: p.role = 'assistant')) END
+    AND len(list_filter(picks, lambda p: len(list_intersect(p.toks, o.toks)) >= 0.18 * (len(p.toks) + len(o.toks) - len(list_intersect(p.toks, o.toks))) - 0.000000001)) = 0
+    THEN list_append(picks, {'k': o.k, 'role': o.role, 'toks': o.toks}) ELSE picks END FROM g JOIN o ON o.i = g.i + 1),
+e AS (SELECT unnest(picks) AS p FROM g WHERE i = (SELECT max(i) FROM g))
+SELECT p.k AS k, p.role AS role FROM e"""
+)
+def stratified_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations by role; what the first two roles lack is made up by the last."""
+    turns = read(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "role", "text")
+    return selection.select_by_quota(turns, "k", "role", "text", _QUOTAS, "pick", 0.18, fallback="user").select("k", "role")
