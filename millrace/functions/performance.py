@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions.text import matches
+
 # Phrases that name a metric, and those that name a comparison; the first group with a phrase in the text wins.
 METRICS = {
     "response_time": ["response time", "latency"],
@@ -45,18 +47,6 @@ def first_group(text: Column, groups: dict[str, list[str]]) -> Column:
     return F.coalesce(*(F.when(any_of(text, phrases), name) for name, phrases in groups.items()))
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
-    """Every match of ``pattern``, none of which may be empty: structs (at, text) of the place, from 0, and the group.
-
-    A match begins where the parts before it, split at the pattern, and the matches before it end.
-    """
-    between = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), 0)
-    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p))
-    at = lambda i: length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(whole, F.lit(1), i))
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), group), lambda m, i: F.struct(at(i).alias("at"), m.alias("text")))
-
-
 def near(text: Column, at: Column, words: Sequence[str], reach: int = NEAR) -> Column:
     """How many of ``words`` are in ``text`` within ``reach`` characters of the place ``at`` on either side."""
     start = F.greatest(F.lit(0), at - reach)

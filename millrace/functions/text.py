@@ -206,6 +206,19 @@ def line_class(line: Column) -> Column:
     )
 
 
+def matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """Every match of ``pattern``, none of which may be empty: structs (at, whole, text) of the place, from 0, the match
+    and its group.
+
+    A match begins where the parts before it, split at the pattern, and the matches before it end.
+    """
+    between = F.split(text, pattern, -1)
+    whole = F.regexp_extract_all(text, F.lit(pattern), 0)
+    length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p))
+    at = lambda i: length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(whole, F.lit(1), i))
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), group), lambda m, i: F.struct(at(i).alias("at"), F.get(whole, i).alias("whole"), m.alias("text")))
+
+
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
     """Jaccard similarity of two arrays of distinct values."""
     union = F.size(F.array_union(a, b))

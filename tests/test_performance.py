@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import performance
+from millrace.functions.text import matches
 from millrace.operators import evidence
 
 TEXTS = [
@@ -55,9 +56,9 @@ def test_profile_equals_a_plain_walk(spark):
 @pytest.mark.parametrize("pattern", [r"\d+", "ab", "(?i)A", "x"])
 def test_places_of_matches(spark, pattern):
     texts = ["", "ab12ab", "12", "aab 3 b44", "é12é3", "xxx"]
-    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", performance.matches(F.col("text"), pattern).alias("m"))
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", matches(F.col("text"), pattern).alias("m"))
     for r in df.collect():
-        assert [tuple(m) for m in r["m"]] == [(m.start(), m[0]) for m in re.finditer(pattern, r["text"])]
+        assert [tuple(m) for m in r["m"]] == [(m.start(), m[0], m[0]) for m in re.finditer(pattern, r["text"])]
 
 
 def test_expected_evidence(spark):
