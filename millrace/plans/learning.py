@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import contracts, learn, metrics
+from millrace.functions.columns import shared_folder
+from millrace.operators import contracts, explain, inference, learn, metrics
 from millrace.plans.registry import Catalog, read
 
 catalog = Catalog()
@@ -35,8 +38,29 @@ def text_classifier_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 @catalog.add()
 def group_fold_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold predictions of quality from sizes, folds by source."""
+    rows = sized(read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id"), F.col("quality").cast("double").alias("label"))
+    return learn.out_of_fold(rows, list(SIZES), "source").select("doc_id", "source", "fold", "prediction")
+
+
+SIZES = ("chars", "lines", "marks")
+
+
+def sized(docs: DataFrame, *more: Column) -> DataFrame:
     text = F.col("text")
-    rows = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id").select(
-        "doc_id", "source", F.col("quality").cast("double").alias("label"), F.col("n_chars").cast("double").alias("chars"), F.size(F.split(text, "\n")).cast("double").alias("lines"), F.length(F.regexp_replace(text, r"[\p{L}\s]", "")).cast("double").alias("marks")
+    return docs.select(
+        "doc_id", "source", F.col("n_chars").cast("double").alias("chars"), F.size(F.split(text, "\n")).cast("double").alias("lines"), F.length(F.regexp_replace(text, r"[\p{L}\s]", "")).cast("double").alias("marks"), *more
     )
-    return learn.out_of_fold(rows, ["chars", "lines", "marks"], "source").select("doc_id", "source", "fold", "prediction")
+
+
+@catalog.add()
+def quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents scored by a stored model of the labelled ones, with the size that moves each score most."""
+    docs = read(spark, sf_dir, "documents")
+    known = sized(docs.join(read(spark, sf_dir, "labels"), "doc_id"), F.col("quality").alias("label"))
+    folder = f"{shared_folder(spark)}/scores-{uuid.uuid4().hex}"
+    model = inference.fit(known, SIZES, "label")
+    inference.store(spark, folder, model, SIZES, "label")
+    rows = sized(docs)
+    moved = explain.top_features(explain.shapley(rows, explain.tree_table(spark, model.stages[-1]), "doc_id", SIZES), 1)
+    said = inference.score(rows, folder, ["doc_id"]).select("doc_id", "proxy_probability", "predicted_proxy_label")
+    return said.join(moved.select(F.col("sample").alias("doc_id"), "feature", "direction"), "doc_id")
