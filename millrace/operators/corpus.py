@@ -86,6 +86,26 @@ def symmetric_difference(left: DataFrame, right: DataFrame, key: str) -> DataFra
     return a.unionByName(b)
 
 
+def contained(parts: DataFrame, texts: DataFrame, width: int = 8) -> DataFrame:
+    """(part_id, text_id) for every ``text`` (text_id, text; ids are unique) that contains a ``part`` (part_id, part).
+
+    Texts are cut into pieces of ``width`` characters; a part of twice this less one, wherever it begins, has one of these pieces
+    among those at its first ``width`` places. Parts too short for this meet texts over the characters at all places, of
+    which only as many are looked at as the shortest part has. What meets is checked whole. Null and empty parts are in no text.
+    """
+    sized = parts.select("part_id", "part", F.length("part").alias("n")).where("n > 0")
+    long, short = sized.where(F.col("n") >= 2 * width - 1), sized.where(F.col("n") < 2 * width - 1)
+    starts = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: F.substring(F.col("part"), i, F.lit(width)))
+    pieces = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s).{{{width}}}"), 0))
+    met = texts.select("text_id", F.explode(pieces).alias("gram")).join(long.select("part_id", F.explode(F.array_distinct(starts)).alias("gram")), "gram").select("part_id", "text_id")
+    if (least := short.agg(F.min("n")).first()[0]) is not None:
+        every = F.array_distinct(F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{least}}}))"), 1))
+        own = short.select("part_id", F.substring("part", 1, least).alias("gram"))
+        met = met.unionByName(texts.select("text_id", F.explode(every).alias("gram")).join(own, "gram").select("part_id", "text_id"))
+    whole = met.distinct().join(texts.select("text_id", "text"), "text_id").join(parts.select("part_id", "part"), "part_id")
+    return whole.where(F.contains("text", F.col("part"))).select("part_id", "text_id").distinct()
+
+
 def gates(checks: Sequence[tuple[str, DataFrame]]) -> DataFrame:
     """(check, failures, passed) for frames of failing rows, each counted where it lies."""
     out = None

@@ -52,16 +52,27 @@ def is_heading(block: Column) -> Column:
     return F.when(sentence, False).when(block.rlike(HEADING_NUM), ~modal).otherwise(capitals | titled)
 
 
+def shaped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, number, line, shape): lines with white space of any kind as one blank, and in lower case with # for numbers."""
+    raw = docs.select(id_col, F.posexplode(F.split(F.replace(F.col(text_col), F.lit("\r"), F.lit("")), "\n")).alias("at", "raw"))
+    line = F.regexp_replace(F.regexp_replace("raw", r"(?U)[\s\x1C-\x1F]+", " "), "^ | $", "")
+    return raw.select(id_col, (F.col("at") + 1).alias("number"), line.alias("line")).withColumn("shape", F.regexp_replace(F.lower("line"), "[0-9]+", "#"))
+
+
+def furniture(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, shape, times) of the lines that are headers or footers of their document, as ``lines`` says."""
+    short = shaped(docs, id_col, text_col).where((F.length("line") > 0) & (F.length("line") <= FURNITURE_LENGTH))
+    often = short.groupBy(id_col, "shape").agg(F.count("*").alias("times"))
+    return often.where((F.col("times") >= REPEATS) & ~F.col("shape").rlike(r"[.;:]$") & ~F.col("shape").rlike(MODAL))
+
+
 def lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, number, line, kind): kind is blank, page_number, toc_line, header_footer or text.
 
     A line of at most FURNITURE_LENGTH characters that a document repeats REPEATS times, digits aside, is a header or
     footer, unless it ends as a sentence does or has a modal verb. Null texts have no lines.
     """
-    raw = docs.select(id_col, F.posexplode(F.split(F.replace(F.col(text_col), F.lit("\r"), F.lit("")), "\n")).alias("at", "raw"))
-    own = raw.select(id_col, (F.col("at") + 1).alias("number"), collapse(F.col("raw")).alias("line")).withColumn("shape", F.regexp_replace(F.lower("line"), "[0-9]+", "#"))
-    short = own.where((F.length("line") > 0) & (F.length("line") <= FURNITURE_LENGTH))
-    often = short.groupBy(id_col, "shape").agg(F.count("*").alias("times")).where((F.col("times") >= REPEATS) & ~F.col("shape").rlike(r"[.;:]$") & ~F.col("shape").rlike(MODAL))
+    own, often = shaped(docs, id_col, text_col), furniture(docs, id_col, text_col)
     line = F.col("line")
     kind = F.when(line == "", "blank").when(line.rlike(PAGE_NUMBER), "page_number").when(line.rlike(LEADER), "toc_line").when(F.col("times").isNotNull(), "header_footer").otherwise("text")
     return own.join(often, [id_col, "shape"], "left").select(id_col, "number", "line", kind.alias("kind"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as fn
+from millrace.operators import corpus
 from millrace.operators import metrics as mx
 from millrace.plans import similarity as looked
 from millrace.plans.registry import Catalog, read
@@ -62,13 +63,10 @@ HELD = """h AS (SELECT item_id AS query, doc_id AS target FROM benchmark b JOIN
 
 
 def held(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(query, target): documents that hold an item word for word. They meet over the item's first three words."""
-    words = lambda c: F.split(c, r"\s+")
-    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("passage"), F.array_join(F.slice(words(F.col("text")), 2, 3), " ").alias("start"))
-    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("target"), "text").withColumn("_w", words(F.col("text")))
-    spread = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, 3), " "))
-    met = docs.select("target", F.explode(F.array_distinct(spread)).alias("start")).join(items, "start").select("target", "query", "passage")
-    return met.join(docs.select("target", "text"), "target").where(F.contains("text", F.col("passage"))).select("query", "target").distinct()
+    """(query, target): documents that hold an item letter for letter."""
+    items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("part_id"), F.col("text").alias("part"))
+    docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
+    return corpus.contained(items, docs).select(F.col("part_id").alias("query"), F.col("text_id").alias("target"))
 
 
 LOOKED = f"WITH {looked.KEYWORD_SQL}, t AS ({looked._top('ks', 5)}), {HELD}"

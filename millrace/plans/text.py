@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as fn
+from millrace.operators import corpus, requirements
 from millrace.plans.registry import Catalog, read
 
 catalog = Catalog()
@@ -113,13 +114,12 @@ def line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @catalog.add(
-    f"""WITH {_LINES}, k AS (SELECT doc_id, lower(trim(line)) AS line FROM x WHERE trim(line) <> '' AND length(trim(line)) <= 80),
-c AS (SELECT doc_id, line, count(*) AS n FROM k GROUP BY 1, 2) SELECT doc_id, line, n FROM c WHERE n >= 3"""
+    f"""WITH {_LINES}, k AS (SELECT doc_id, trim(regexp_replace(line, {WS}, ' ', 'g')) AS line FROM x), s AS (SELECT doc_id, line, regexp_replace(lower(line), '[0-9]+', '#', 'g') AS shape FROM k WHERE length(line) BETWEEN 1 AND {requirements.FURNITURE_LENGTH}),
+c AS (SELECT doc_id, shape, count(*) AS n FROM s GROUP BY 1, 2) SELECT doc_id, shape, n FROM c WHERE n >= {requirements.REPEATS} AND NOT regexp_matches(shape, '[.;:]$') AND NOT regexp_matches(shape, '\\b(shall|must|should|will|(is|are) required to)\\b')"""
 )
 def header_footer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.lower(F.trim("line"))
-    short = _lines(spark, sf_dir).select("doc_id", line.alias("line")).where((F.col("line") != "") & (F.length("line") <= 80))
-    return short.groupBy("doc_id", "line").agg(F.count("*").alias("n")).where("n >= 3")
+    """Shapes of the lines that a document repeats as headers and footers do."""
+    return requirements.furniture(_docs(spark, sf_dir), "doc_id", "text").select("doc_id", "shape", F.col("times").alias("n"))
 
 
 MODALS, VERBS = ("the", "la", "der"), ("[a-z]+",)
@@ -168,14 +168,14 @@ d AS (SELECT doc_id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS k FROM
 SELECT item_id, doc_id FROM q JOIN d ON contains(k, pieces[1]) WHERE len(pieces) > 0 AND len(list_filter(pieces, lambda p: NOT contains(k, p))) = 0"""
 )
 def quote_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items all of whose lines are in a document: pairs meet over three words, never all with all."""
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), 0)
-    items = _items(spark, sf_dir).withColumn("quote", F.regexp_replace("text", "\n", "...")).withColumn("_w", words(F.col("text"))).where(F.size("_w") >= 4)
-    items = items.select("item_id", "quote", F.array_join(F.slice("_w", 2, 3), " ").alias("start"))
-    spread = F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - 2, F.lit(1))), lambda i: F.array_join(F.slice("_w", i, 3), " "))
-    keyed = _docs(spark, sf_dir).select("doc_id", words(F.col("text")).alias("_w")).select("doc_id", F.explode(F.array_distinct(spread)).alias("start")).join(items, "start")
-    pairs = keyed.select("doc_id", "item_id", "quote").join(_docs(spark, sf_dir).select("doc_id", "text"), "doc_id")
-    return pairs.where(fn.grounded(F.col("quote"), F.col("text"))).select("item_id", "doc_id")
+    """Items all of whose lines are in a document: pairs meet over an item's longest line, then all lines are looked for."""
+    items = _items(spark, sf_dir).withColumn("quote", F.regexp_replace("text", "\n", "..."))
+    pieces = F.filter(F.transform(F.split("text", "\n"), fn.text_key), lambda p: F.length(p) >= 8)
+    longest = F.array_max(F.transform(pieces, lambda p: F.struct(F.length(p).alias("n"), p.alias("part"))))["part"]
+    docs = _docs(spark, sf_dir)
+    met = corpus.contained(items.select(F.col("item_id").alias("part_id"), longest.alias("part")), docs.select(F.col("doc_id").alias("text_id"), fn.text_key(F.col("text")).alias("text")))
+    pairs = met.join(items.select(F.col("item_id").alias("part_id"), "quote"), "part_id").join(docs.select(F.col("doc_id").alias("text_id"), "text"), "text_id")
+    return pairs.where(fn.grounded(F.col("quote"), F.col("text"))).select(F.col("part_id").alias("item_id"), F.col("text_id").alias("doc_id"))
 
 
 @catalog.add(
