@@ -30,7 +30,7 @@ LEAST_LENGTH = 7
 LEAST_COUNT = 2
 TIMES = 10
 NOISE = 31
-NODE = 30_000
+NODE = 12_000
 PAIRS = 400_000
 FLUSH = 300_000
 # Letters of one group stand together; all other characters are dealt over two more groups. The most frequent letters of
@@ -93,25 +93,30 @@ def path_of(word: str) -> list[int]:
     return counts
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
+@F.pandas_udf(T.BinaryType())
 def _paths(words: pd.Series) -> pd.Series:
-    return pd.Series([path_of(w) for w in words], dtype=object)
+    """Paths as GROUPS whole numbers of four bytes each."""
+    return pd.Series([np.array(path_of(w), dtype="<u4").tobytes() for w in words], dtype=object)
 
 
-def reached(path: list[int]) -> Iterator[tuple[list[int], int, int]]:
-    """The nodes before ``path`` that the budget reaches, and the surplus and deficit of ``path`` over them."""
-    for up in range(-1, len(path)):
-        for down in range(-1, len(path)):
-            if up == down:
-                continue
-            # the first count that differs is smaller, else the other word asks
-            if down < 0 or (0 <= up < down) or path[down] == 0:
-                continue
-            other = list(path)
-            other[down] -= 1
-            if up >= 0:
-                other[up] += 1
-            yield other, 1, int(up >= 0)
+def _matrix(paths: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(paths), dtype="<u4").astype(np.int64).reshape(len(paths), GROUPS)
+
+
+# A node's number is the sum of its counts times these, so that a step away it differs by their difference.
+_WEIGHTS = np.random.default_rng(911).integers(1, 1 << 63, size=GROUPS, dtype=np.uint64)
+
+
+def reached(paths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, int]]:
+    """For each way to spend the budget by which a node can come before a path, its surplus and deficit: the rows of ``paths``
+    (n, levels) that can go this way, the numbers of the nodes they reach, and what they have spent."""
+    numbers = paths.astype(np.uint64) @ _WEIGHTS[: paths.shape[1]]
+    for down in range(paths.shape[1]):
+        rows = np.flatnonzero(paths[:, down] > 0)
+        # the first count that differs is the smaller one: what is added comes after what is taken away
+        for up in (None, *range(down + 1, paths.shape[1])):
+            more = np.uint64(0) if up is None else _WEIGHTS[up]
+            yield rows, numbers[rows] + more - _WEIGHTS[down], 1, int(up is not None)
 
 
 def _dealt(levels: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -120,12 +125,14 @@ def _dealt(levels: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFram
     ``spent`` is -1 for a stored word, else the surplus that is spent, and twice the deficit.
     """
     for batch in batches:
-        rows: list[tuple[str, str, int, list[int], int]] = []
-        for word, n, path in zip(batch["word"], batch["n"], batch["path"]):
-            upper, rest = [int(x) for x in path[:levels]], path[levels:]
-            rows.append((" ".join(map(str, upper)), word, n, rest, -1))
-            rows += [(" ".join(map(str, node)), word, n, rest, surplus + 2 * deficit) for node, surplus, deficit in reached(upper)]
-        yield pd.DataFrame(rows, columns=["node", "word", "n", "rest", "spent"]).astype({"node": object, "word": object})
+        upper = _matrix(batch["path"])[:, :levels]
+        yield batch.assign(node=(upper.astype(np.uint64) @ _WEIGHTS[:levels]).view(np.int64), spent=-1)[DEALT]
+        for rows, nodes, surplus, deficit in reached(upper):
+            if len(rows):
+                yield batch.iloc[rows].assign(node=nodes.view(np.int64), spent=surplus + 2 * deficit)[DEALT]
+
+
+DEALT = ["node", "word", "n", "path", "spent"]
 
 
 class _Trie:
@@ -224,12 +231,12 @@ class Letters:
         return shared
 
 
-def _near(node: pd.DataFrame) -> pd.DataFrame:
+def _near(levels: int, node: pd.DataFrame) -> pd.DataFrame:
     """(word, k, n, form): of each word that the node found near ones for, how many, and the most frequent of them."""
     node = node.sort_values("spent", kind="stable")
     spent = node["spent"].to_numpy()
     words, counts = node["word"].tolist(), node["n"].to_numpy(np.int64)
-    paths = np.array(node["rest"].tolist(), dtype=np.int64).reshape(len(node), -1)
+    paths = _matrix(node["path"])[:, levels:]
     letters, stored = Letters(words), int((spent < 0).sum())
     trie, left, right = _Trie(paths[:stored]), [], []
     for of in np.unique(spent) if stored else ():
@@ -255,7 +262,7 @@ def upper_levels(paths: DataFrame) -> int:
     low, high = 1, GROUPS
     while low < high:
         middle = (low + high) // 2
-        most = paths.groupBy(F.slice("path", 1, middle)).count().agg(F.max("count")).first()[0] or 0
+        most = paths.groupBy(F.substring("path", 1, 4 * middle)).count().agg(F.max("count")).first()[0] or 0
         low, high = (low, middle) if most <= NODE else (middle + 1, high)
     return low
 
@@ -273,8 +280,9 @@ def variants(words: DataFrame) -> DataFrame:
     with arrow_batches(spark, 10_000):
         known = settle(words.select("word", "n", _paths("word").alias("path")).where("word is not null"))
         levels = upper_levels(known)
-        dealt = known.mapInPandas(partial(_dealt, levels), "node string, word string, n long, rest array<int>, spent int")
-        found = settle(dealt.repartition(parts, "node").groupBy("node").applyInPandas(_near, "word string, k long, n long, form string"))
+        dealt = known.mapInPandas(partial(_dealt, levels), "node long, word string, n long, path binary, spent int")
+        near = dealt.repartition(parts, "node").groupBy("node").applyInPandas(lambda node: _near(levels, node), "word string, k long, n long, form string")
+        found = settle(near)
     best = found.groupBy("word").agg(F.sum("k").alias("n_near"), F.min(F.struct((-F.col("n")).alias("less"), "form")).alias("best"))
     named = words.select("word", "n").join(best, "word", "left").withColumn("form_n", -F.col("best.less"))
     enough = F.col("form_n") >= TIMES * F.col("n")

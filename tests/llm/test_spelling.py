@@ -92,13 +92,14 @@ def test_dense_words_in_nodes_of_any_size(spark, monkeypatch, node, pairs):
 
 def test_each_pair_of_upper_nodes_is_asked_once():
     rng = np.random.default_rng(1)
-    paths = {tuple(p) for p in rng.integers(0, 3, size=(60, 4)).tolist()}
-    asked = Counter((p, tuple(o)) for p in paths for o, _, _ in spelling.reached(list(p)) if tuple(o) in paths)
-    for p in paths:
-        for q in paths:
-            more = sum(max(a - b, 0) for a, b in zip(p, q)), sum(max(b - a, 0) for a, b in zip(p, q))
+    paths = np.unique(rng.integers(0, 3, size=(60, 4)), axis=0)
+    numbers = (paths.astype(np.uint64) @ spelling._WEIGHTS[:4]).tolist()
+    asked = Counter((numbers[i], int(node)) for rows, nodes, _, _ in spelling.reached(paths) for i, node in zip(rows, nodes))
+    for p, a in zip(paths.tolist(), numbers):
+        for q, b in zip(paths.tolist(), numbers):
+            more = sum(max(x - y, 0) for x, y in zip(p, q)), sum(max(y - x, 0) for x, y in zip(p, q))
             if p < q:
-                assert asked[p, q] + asked[q, p] == (max(more) <= 1)
+                assert asked[a, b] + asked[b, a] == (max(more) <= 1)
 
 
 def test_words_of_texts(spark):
