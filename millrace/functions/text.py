@@ -212,11 +212,16 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
 
     A match begins where the parts before it, split at the pattern, and the matches before it end.
     """
-    between = F.split(text, pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(pattern), 0)
     length = lambda parts: F.aggregate(parts, F.lit(0), lambda n, p: n + F.length(p))
-    at = lambda i: length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(whole, F.lit(1), i))
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), group), lambda m, i: F.struct(at(i).alias("at"), F.get(whole, i).alias("whole"), m.alias("text")))
+
+    def placed(parts: Column) -> Column:
+        at = lambda i: length(F.slice(parts["between"], F.lit(1), i + 1)) + length(F.slice(parts["whole"], F.lit(1), i))
+        return F.transform(parts["group"], lambda m, i: F.struct(at(i).alias("at"), F.get(parts["whole"], i).alias("whole"), m.alias("text")))
+
+    # the parts are bound once: written out in the inner function they would be cut again for every match
+    found = (F.regexp_extract_all(text, F.lit(pattern), g) for g in (0, group))
+    parts = F.struct(F.split(text, pattern, -1).alias("between"), *(f.alias(n) for f, n in zip(found, ("whole", "group"))))
+    return F.when(text.isNotNull(), F.element_at(F.transform(F.array(parts), placed), 1))
 
 
 def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import encoding
 from millrace.functions import text as fn
 from millrace.operators import corpus, requirements
 from millrace.plans.registry import Catalog, read
@@ -185,3 +186,17 @@ SELECT page_id, CASE WHEN f[1] <> 'en' THEN 'unresolved' WHEN len(f) <= 2 THEN '
 def package_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.regexp_replace(F.regexp_extract("url", "://[^/]+/([^?#]*)", 1), "^en/", "java/")
     return read(spark, sf_dir, "pages").select("page_id", fn.package_of_path(path).alias("package"))
+
+
+# Letters whose second byte stands for nothing in the code page stay wrong.
+_WRONG = "text"
+for _letter in "ÁÍÏÐÝ":
+    _WRONG = f"replace({_WRONG}, '{_letter}', 'Ã' || chr({_letter.encode()[1]}))"
+
+
+@catalog.add(f"SELECT doc_id, md5({_WRONG}) AS text, regexp_matches(text, '[^\\x00-\\x7FÁÍÏÐÝ]') AS repaired FROM documents")
+def mojibake_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, read with the wrong code page first, is itself again."""
+    shown = {chr(b): c for c, b in encoding.HIGH.items() if b < 0xA0}
+    wrong = F.translate(F.decode(F.encode("text", "UTF-8"), "ISO-8859-1"), "".join(shown), "".join(shown.values()))
+    return _docs(spark, sf_dir).select("doc_id", encoding.repair_mojibake(wrong).alias("r")).select("doc_id", F.md5(F.col("r.text").cast("binary")).alias("text"), "r.repaired")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import csv as _csv
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from millrace.functions.columns import checkpointed
+from millrace.functions.encoding import decoded
 
 # Elements whose content is no text, and elements that stand on lines of their own.
 UNREAD = "script style head title noscript".split()
@@ -49,6 +53,47 @@ def decoded_lines(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(lines, "path string, line_no long, line string, repaired boolean")
 
 
+def raw_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, block, place, line) of text files: every line in raw bytes without its line feed. ``block`` is where the part of
+    the file begins that a task reads, and lines of a part are in the order of ``place``; no task reads a whole file."""
+    return spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").cast("binary").alias("line")
+    )
+
+
+def mixed_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Records of CSV files with a header in UTF-8 with stray Windows-1252 bytes, all columns as texts, and ``encoding_repaired``.
+
+    Lines are decoded by themselves, so a stray byte spoils nothing else. A line break inside quotes belongs to its value, so a
+    record is the lines up to where the quotes are closed: quotes are counted by the part of the file that a task reads, the
+    counts of the parts before are added, and each record is parsed from its own lines. All files have the header of the
+    first one; a byte order mark is dropped. Empty records are left out; empty values and those that a record lacks are empty texts.
+    """
+    raw = raw_lines(spark, path)
+    text = decoded(F.col("line"))
+    lines = raw.select("file", "block", "place", text.alias("d")).select("file", "block", "place", "d.text", "d.repaired")
+    lines = checkpointed(lines.withColumn("quotes", F.length("text") - F.length(F.replace("text", F.lit('"'), F.lit("")))))
+    parts = lines.groupBy("file", "block").agg(F.sum("quotes").alias("own"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("file", "block", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(f"{c}_before") for c in ("own", "n")))
+    so_far = Window.partitionBy("file", "block").orderBy("place")
+    before = F.coalesce(F.sum("quotes").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("own_before")
+    placed = lines.join(parts, ["file", "block"]).withColumn("begins", (before % 2 == 0).cast("int")).withColumn("line_no", F.row_number().over(so_far) - 1 + F.col("n_before"))
+    starts = placed.groupBy("file", "block").agg(F.sum("begins").alias("starts"))
+    starts = starts.select("file", "block", F.coalesce(F.sum("starts").over(earlier), F.lit(0)).alias("starts_before"))
+    numbered = placed.join(starts, ["file", "block"]).withColumn("record", F.sum("begins").over(so_far) + F.col("starts_before"))
+    records = numbered.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("l"), F.bool_or("repaired").alias("encoding_repaired"))
+    whole = checkpointed(records.select("file", "record", F.regexp_replace(F.array_join(F.col("l.text"), "\n"), r"\r\z", "").alias("text"), "encoding_repaired"))
+    options = {"escape": '"', "multiLine": "true", "emptyValue": "", "nullValue": "\0", "maxCharsPerColumn": "-1"}
+    header = whole.where("record = 1").orderBy("file").select(F.regexp_replace("text", "^\ufeff", "").alias("text")).first()
+    names = next(_csv.reader([header["text"]])) if header and header["text"] else []
+    if not names:
+        return spark.createDataFrame([], "encoding_repaired boolean")
+    schema = StructType([StructField(f"c{k}", StringType()) for k in range(len(names))])
+    values = whole.where("record > 1 and text != ''").select("encoding_repaired", F.from_csv("text", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("v"))
+    return values.select(*(F.coalesce(F.col(f"v.c{k}"), F.lit("")).alias(name) for k, name in enumerate(names)), "encoding_repaired")
+
+
 def partition_from_name(frame: DataFrame, pattern: str, name: str) -> DataFrame:
     """``frame`` with the part of its file names that ``pattern`` captures."""
     return frame.withColumn(name, F.regexp_extract(F.col("_metadata.file_name"), pattern, 1))
