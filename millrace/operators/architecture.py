@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ranks import running_sum
+
 
 
 def scope_audit(edges: DataFrame, nodes: DataFrame, group: str | None = None) -> DataFrame:
@@ -49,8 +51,8 @@ def layer_violations(edges: DataFrame, layers: DataFrame, allowed: DataFrame) ->
 
 
 def findings(rows: DataFrame, prefix: str, order: Sequence[str]) -> DataFrame:
-    """``rows`` with sequential ids in the given order; findings are few, as each stands for a broken rule."""
-    return rows.withColumn("finding_id", F.format_string(f"{prefix}-%03d", F.row_number().over(Window.orderBy(*order))))
+    """``rows`` with sequential ids in the given order."""
+    return running_sum(rows, order, "_n").withColumn("finding_id", F.format_string(f"{prefix}-%03d", "_n")).drop("_n")
 
 
 def coupling_findings(metrics: DataFrame, threshold: int = 4) -> DataFrame:
@@ -61,12 +63,12 @@ def coupling_findings(metrics: DataFrame, threshold: int = 4) -> DataFrame:
 def percentile_rank(rows: DataFrame, column: str, out: str) -> DataFrame:
     """Average-tie rank over the number of values there; nulls stay null. Ranks span the whole table.
 
-    Values are counted first, so what is ordered in one place is one row per distinct value.
+    Values are counted first; their counts are summed up by ranges of the values.
     """
-    values = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
-    upto = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = values.select(F.col(column).alias("_v"), ((F.sum("_n").over(upto) - (F.col("_n") - 1) / 2) / F.sum("_n").over(every)).alias(out))
+    values = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
+    summed = running_sum(values, ["_v"], "_upto", "_n")
+    total = values.agg(F.sum("_n").alias("_total"))
+    ranked = summed.join(F.broadcast(total)).select("_v", ((F.col("_upto") - (F.col("_n") - 1) / 2) / F.col("_total")).alias(out))
     return rows.join(ranked, rows[column] == ranked["_v"], "left").drop("_v")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.columns import checkpointed, ratio
+from millrace.operators.ranks import running_sum
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -57,11 +58,9 @@ def _least_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root, component_id): root is the smallest member, ids count components by it from 0."""
-    from pyspark.sql import Window
-
     both = checkpointed(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = _least_reachable(nodes, both)
-    numbers = labels.select("root").distinct().withColumn("component_id", F.row_number().over(Window.orderBy("root")) - 1)
+    numbers = running_sum(labels.select("root").distinct(), ["root"], "_n").select("root", (F.col("_n") - 1).cast("int").alias("component_id"))
     return labels.join(numbers, "root").select("node", "root", "component_id")
 
 

@@ -6,11 +6,12 @@ from collections.abc import Iterator, Sequence
 from functools import partial
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import collapse, normalize, text_key, words_of
 from millrace.operators.corpus import hash_order
+from millrace.operators.ranks import running_sum
 
 # The splits in the order in which they win ties, with their shares.
 SPLITS = (("train", 0.70), ("val", 0.15), ("test", 0.15))
@@ -51,8 +52,9 @@ def deal_groups(rows: DataFrame, source: str, group: str, forced: DataFrame | No
 
 def split_projects(projects: DataFrame, name: str, test: int = 2, val: int = 1, seed: str = "dependency_project") -> DataFrame:
     """(name, split): projects in hash order, the first to the test, the next to validation, the others to training."""
-    place = F.row_number().over(Window.orderBy(hash_order(seed, F.col(name)), name))
-    return projects.select(name).distinct().select(name, F.when(place <= test, "test").when(place <= test + val, "val").otherwise("train").alias("split"))
+    placed = running_sum(projects.select(name).distinct().withColumn("_h", hash_order(seed, F.col(name))), ["_h", name], "_n")
+    place = F.col("_n")
+    return placed.select(name, F.when(place <= test, "test").when(place <= test + val, "val").otherwise("train").alias("split"))
 
 
 def related_pairs(relations: DataFrame, texts: DataFrame, master: DataFrame, splits: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
