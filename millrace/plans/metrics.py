@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as fn
-from millrace.operators import corpus
+from millrace.operators import corpus, gold
 from millrace.operators import metrics as mx
 from millrace.plans import similarity as looked
 from millrace.plans.registry import Catalog, read
@@ -175,3 +175,35 @@ def set_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.select("doc_id", F.round(mx.set_f1(F.col("head"), F.col("tail")), 6).alias("f1"))
 
 
+
+
+_GOLD = """r AS (SELECT DISTINCT 'S' || l_suppkey AS source_id, 'P' || l_partkey AS target_id FROM lineitem WHERE l_returnflag = 'R'), p AS (SELECT DISTINCT 'S' || l_suppkey AS source_id, 'P' || l_partkey AS target_id FROM lineitem WHERE l_quantity > 40),
+g AS (SELECT 'S' || s_suppkey AS source_id, 'P' || p_partkey AS target_id FROM supplier, part), j AS (SELECT g.*, r.source_id IS NOT NULL AS t, p.source_id IS NOT NULL AS s FROM g LEFT JOIN r USING (source_id, target_id) LEFT JOIN p USING (source_id, target_id))"""
+
+
+def _gold(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Suppliers are requirements, parts are code, returned line items are links and large ones predictions."""
+    of = lambda t, p, k, layer, text: read(spark, sf_dir, t).select(F.concat(F.lit(p), k).alias("id"), F.lit(layer).alias("layer"), F.col(text).alias("content"), F.col(k).alias("place"))
+    found = gold.artifacts(of("supplier", "S", "s_suppkey", "use case", "s_name").unionByName(of("part", "P", "p_partkey", "source", "p_name")), {"use case": "requirement", "source": "code"})
+    items = read(spark, sf_dir, "lineitem").withColumns({"source_id": F.concat(F.lit("S"), "l_suppkey"), "target_id": F.concat(F.lit("P"), "l_partkey")})
+    links = gold.true_links(found, items.select("source_id", "target_id", (F.col("l_returnflag") == "R").cast("int").alias("label")))
+    return found, links, items.where("l_quantity > 40").select("source_id", "target_id")
+
+
+@catalog.add(f"WITH {_GOLD} SELECT (SELECT count(*) FROM supplier) AS requirements, (SELECT count(*) FROM part) AS targets, count(*) AS pairs, count(*) FILTER (WHERE t) AS positives, count(*) FILTER (WHERE NOT t) AS negatives, count(DISTINCT CASE WHEN t THEN source_id END) AS linked_requirements FROM j")
+def gold_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, links, _ = _gold(spark, sf_dir)
+    return gold.classes(found, links)
+
+
+@catalog.add(f"""WITH {_GOLD}, c AS (SELECT count(*) FILTER (WHERE t AND s) AS tp, count(*) FILTER (WHERE NOT t AND s) AS fp, count(*) FILTER (WHERE t AND NOT s) AS fn, count(*) FILTER (WHERE NOT t AND NOT s) AS tn FROM j)
+SELECT *, round(tp / (tp + fp), 6) AS precision, round(tp / (tp + fn), 6) AS recall, round(2 * tp / (2 * tp + fp + fn), 6) AS f1 FROM c""")
+def gold_link_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, links, predicted = _gold(spark, sf_dir)
+    return rounded(gold.link_metrics(predicted, found, links), "precision", "recall", "f1")
+
+
+@catalog.add(f"WITH {_GOLD} SELECT count(*) FILTER (WHERE t) AS links, count(*) FILTER (WHERE t AND s) AS reachable, round(count(*) FILTER (WHERE t AND s) / count(*) FILTER (WHERE t), 6) AS ceiling FROM j")
+def gold_recall_ceiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, links, predicted = _gold(spark, sf_dir)
+    return rounded(gold.recall_ceiling(predicted, links), "ceiling")
