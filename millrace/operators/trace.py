@@ -12,14 +12,27 @@ from millrace.functions.columns import clamp
 KEY = ("source_id", "target_id")
 
 
+def by_ends(new: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``new`` (source_id, target_id, ...) whose ends are both in ``nodes`` (id), and the others, with ``missing``: the
+    ends that they lack. Rows with a null end lack it."""
+    ends = nodes.select("id").where("id is not null").distinct()
+    both = new.join(ends.select(F.col("id").alias("source_id"), F.lit(True).alias("_s")), "source_id", "left").join(ends.select(F.col("id").alias("target_id"), F.lit(True).alias("_t")), "target_id", "left")
+    missing = F.array_compact(F.array(F.when(F.col("_s").isNull(), "source_id"), F.when(F.col("_t").isNull(), "target_id")))
+    marked = both.withColumn("missing", F.array_join(missing, ","))
+    return marked.where("missing = ''").select(*new.columns), marked.where("missing <> ''").select(*new.columns, "missing")
+
+
 def upsert(links: DataFrame, new: DataFrame, nodes: DataFrame) -> DataFrame:
     """``links`` with ``new`` (source_id, target_id, confidence, at) merged in.
 
-    A known link keeps ``verified_at``, takes the new confidence and ``last_checked_at`` and is verified again; a
-    new one whose ends are both in ``nodes`` (id) starts now; one that lacks an end is not written.
+    A known link keeps ``verified_at``, takes the new confidence and ``last_checked_at`` and is verified again; a new
+    one starts now. A link that lacks an end in ``nodes`` (id) is refused: the whole write is an error, as ``by_ends`` tells
+    such links before.
     """
-    ends = nodes.select("id").distinct()
-    good = new.join(ends.withColumnRenamed("id", "source_id"), "source_id", "left_semi").join(ends.withColumnRenamed("id", "target_id"), "target_id", "left_semi")
+    good, refused = by_ends(new, nodes)
+    name = F.concat_ws(" -> ", F.coalesce(F.col("source_id").cast("string"), F.lit("null")), F.coalesce(F.col("target_id").cast("string"), F.lit("null")))
+    error = F.raise_error(F.concat(F.lit("link without its ends: "), name)).cast(new.schema["confidence"].dataType)
+    good = good.unionByName(refused.drop("missing").withColumn("confidence", error))
     fresh = good.select(*KEY, F.col("confidence").alias("_c"), F.col("at").alias("_at"))
     both = links.join(fresh, list(KEY), "full_outer")
     return both.select(

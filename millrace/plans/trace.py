@@ -30,12 +30,25 @@ SELECT coalesce(l.source_id, n.source_id) AS source_id, coalesce(l.target_id, n.
 FROM l FULL JOIN n ON l.source_id = n.source_id AND l.target_id = n.target_id"""
 )
 def upsert_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new, nodes = _new_links(spark, sf_dir)
+    known = links(spark, sf_dir).withColumns({"source_id": _node("c", "source_id", "source_id"), "target_id": _node("o", "target_id", "target_id")})
+    return trace.upsert(known, trace.by_ends(new, nodes)[0], nodes).withColumn("confidence", F.round("confidence", 6)).withColumns({c: F.substring(c, 2, 20).cast("long") for c in trace.KEY})
+
+
+def _new_links(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Links of the orders that are not finished, and the nodes: these orders, and the customers who owe nothing."""
     o = read(spark, sf_dir, "orders").where("o_orderstatus <> 'F'")
-    new = o.select(F.col("o_custkey").alias("source_id"), F.col("o_orderkey").alias("target_id"), (F.col("o_orderkey") % 10 / 10).alias("confidence"), F.lit(9).alias("at"))
-    sources = read(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("id"))
-    nodes = sources.unionByName(o.select(F.col("o_orderkey").alias("id")))
-    good = new.join(sources.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
-    return trace.upsert(links(spark, sf_dir), good, nodes).withColumn("confidence", F.round("confidence", 6))
+    new = o.select(_node("c", "o_custkey", "source_id"), _node("o", "o_orderkey", "target_id"), (F.col("o_orderkey") % 10 / 10).alias("confidence"), F.lit(9).alias("at"))
+    return new, read(spark, sf_dir, "customer").where("c_acctbal > 0").select(_node("c", "c_custkey", "id")).unionByName(o.select(_node("o", "o_orderkey", "id")))
+
+
+def _node(kind: str, key: str, name: str):
+    return F.concat(F.lit(kind), F.col(key).cast("string")).alias(name)
+
+
+@catalog.add("SELECT 'c' || o_custkey AS source_id, 'o' || o_orderkey AS target_id, 'source_id' AS missing FROM orders WHERE o_orderstatus <> 'F' AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def refused_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trace.by_ends(*_new_links(spark, sf_dir))[1].select("source_id", "target_id", "missing")
 
 
 DECAYED = "d AS (SELECT o_custkey AS source_id, o_orderkey AS target_id FROM orders WHERE o_totalprice < 100000)"

@@ -159,6 +159,10 @@ def test_links(spark):
     links = frame(spark, [("r1", "c1", 0.5, "decayed", 1, 1), ("r2", "c2", 0.5, "verified", 1, 1)], schema)
     new = frame(spark, [("r1", "c1", 0.9, 5), ("r3", "c3", 0.7, 5), ("r4", "gone", 0.7, 5)], "source_id string, target_id string, confidence double, at int")
     ids = frame(spark, [(i,) for i in ("r1", "r2", "r3", "r4", "c1", "c2", "c3")], "id string")
+    with pytest.raises(Exception, match="link without its ends: r4 -> gone"):
+        trace.upsert(links, new, ids).collect()
+    new, refused = trace.by_ends(new, ids)
+    assert [tuple(r) for r in refused.select("source_id", "target_id", "missing").collect()] == [("r4", "gone", "target_id")]
     once = trace.upsert(links, new, ids)
     got = {r.source_id: (r.confidence, r.status, r.verified_at, r.last_checked_at) for r in once.collect()}
     assert got == {"r1": (0.9, "verified", 1, 5), "r2": (0.5, "verified", 1, 1), "r3": (0.7, "verified", 5, 5)}
