@@ -295,7 +295,7 @@ PAIRS_A_ENTRY = 1
 CENTRES = 3
 
 
-SHORT = 14
+SHORT = 15
 
 
 def least_shared(a: int, b: int) -> int:
@@ -319,11 +319,16 @@ def differing_of(a: int, b: int, both: int) -> float:
     return out
 
 
+def arc(similarity: float) -> float:
+    """The share of bits that differ, on average, between two long sets of equal size at a Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
 @lru_cache
 def differing(similarity: float) -> float:
     """The largest share of bits that differ, on average, between two sets at a Jaccard similarity of which one is larger
-    than SHORT: for long sets the arc below, for those just above SHORT as many as counting their bits gives."""
-    out = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    than SHORT: for long sets that of ``arc``, for those just above SHORT what counting their bits gives."""
+    out = arc(similarity)
     for b in range(SHORT + 1, 6 * SHORT):
         for a in range(math.ceil(similarity * b - 1e-9), b + 1):
             both = math.ceil(similarity * (a + b) / (1 + similarity) - 1e-9)
@@ -332,9 +337,9 @@ def differing(similarity: float) -> float:
     return out
 
 
-def radius_for(similarity: float, miss: float, bits: int = 64) -> int:
-    """The fewest differing bits that all but ``miss`` of the pairs at ``similarity`` keep to."""
-    p, sure = differing(similarity), 0.0
+def radius_for(share: float, miss: float, bits: int = 64) -> int:
+    """The fewest differing bits that all but ``miss`` of the pairs keep to of which a ``share`` of the bits differ."""
+    p, sure = share, 0.0
     for r in range(bits + 1):
         sure += math.exp(math.lgamma(bits + 1) - math.lgamma(r + 1) - math.lgamma(bits - r + 1) + r * math.log(p) + (bits - r) * math.log(1 - p))
         if 1 - sure <= miss:
@@ -554,7 +559,9 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mis
     # smaller sets are similar to none but short ones
     long = entries.where(F.col("size") >= math.ceil(SIMILARITY * (SHORT + 1) - 1e-9))
     bits = families(long.count(), SIMILARITY, miss / 2)
-    radius, both, wide, finest = (radius_for(SIMILARITY, miss / 8, 64 * n) for n in (1, 2, WIDE, FINE))
+    # few bits say little anyway, so the longest sets set their bounds; where many are counted, those that scatter most do
+    radius, both = (radius_for(arc(SIMILARITY), miss / 8, 64 * n) for n in (1, 2))
+    wide, finest = (radius_for(differing(SIMILARITY), miss / 8, 64 * n) for n in (WIDE, FINE))
     nodes = long.select("entry", "code").mapInPandas(partial(_nodes, bits), "key long, entry long, code long, second long")
     order = ("key", gray_rank(F.col("code")))
     small_batches(spark, BATCH)

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -148,3 +150,56 @@ def test_edge_cases_of_similar(spark):
     assert len(got) == len(rows) and {(r.doc_id, r.component_id) for r in got} == {(None, 1), (1, 1), (2, 1), (3, 3), (4, 3), (6, 6)}
     assert sorted(r.doc_id for r in simhash.keep_one_similar(docs).collect()) == [1, 3, 6]
     assert simhash.similar(docs.limit(0)).count() == 0
+
+
+def components(docs):
+    """Smallest id reachable over pairs of five-word shingle sets at a similarity of 0.8, by comparing all."""
+    sets = {}
+    for i, text in docs:
+        words = text.split()
+        sets[i] = frozenset(" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for a, i in enumerate(ids):
+        for j in ids[a + 1 :]:
+            x, y = sets[i], sets[j]
+            if 10 * len(x & y) >= 8 * len(x | y):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    return {i: find(i) for i in ids}
+
+
+def found_components(spark, docs):
+    return {r["doc_id"]: r["component_id"] for r in simhash.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+
+
+def test_short_texts_in_dense_groups(spark):
+    """Stars whose copies are similar to their middle only, at exactly 0.8 or above, and chains of short texts."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), size=9))
+    docs = []
+    for base, more, n in ((8, 1, 60), (10, 1, 40), (12, 2, 40), (14, 3, 20), (5, 0, 3), (19, 3, 30)):
+        middle = [word() for _ in range(base)]
+        docs += [" ".join(middle)] + [" ".join(middle + [word() for _ in range(more)]) for _ in range(n)]
+    chain = [word() for _ in range(30)]
+    docs += [" ".join(chain[k : k + size]) for size in (5, 6, 9, 10, 13, 14, 18, 19) for k in range(0, 11)]
+    docs = [(int(k), t) for k, t in enumerate(rng.permutation(docs).tolist())]
+    assert found_components(spark, docs) == components(docs)
+
+
+def test_every_split_of_short_sets_is_met():
+    """Any two sets of which none is larger than SHORT and that are similar share a part that both give."""
+    for a in range(1, simhash.SHORT + 1):
+        for b in range(a, simhash.SHORT + 1):
+            both = simhash.least_shared(a, b)
+            if both <= a:
+                assert 10 * both >= 8 * (a + b - both) and 10 * (both - 1) < 8 * (a + b - both + 1)
+                assert a - both <= simhash.left_out(a) and b - both <= simhash.left_out(b)
+    # and no set that is left to this path alone is similar to one beyond it
+    longest = math.ceil(simhash.SIMILARITY * (simhash.SHORT + 1) - 1e-9) - 1
+    assert all(simhash.least_shared(a, b) > a for a in range(1, longest + 1) for b in range(simhash.SHORT + 1, 60))
