@@ -146,6 +146,16 @@ def bootstrap_mean(rows: DataFrame, id_col: str, value: str, resamples: int = 10
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"), F.count("*").alias("resamples"))
 
 
+def percentiles(rows: DataFrame, value: str, by: Sequence[str] = (), cuts: Sequence[int] = (50, 95)) -> DataFrame:
+    """``p<cut>`` of ``value``, exact and interpolated between neighbours, of all rows or of each group; latencies are such
+    values. Nulls do not count, and a group of nulls alone has null percentiles.
+
+    Equal values are counted first, so a group is held as its distinct values.
+    """
+    counted = rows.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    return counted.groupBy(*by).agg(*(F.percentile("_v", cut / 100, F.col("_n")).alias(f"p{cut}") for cut in cuts))
+
+
 def folds_by_group(rows: DataFrame, group: str) -> DataFrame:
     """Leave-one-group-out: each group's rows held out, and how many rows are left to learn from."""
     sizes = rows.groupBy(group).agg(F.count("*").alias("test_rows"))

@@ -111,7 +111,7 @@ def kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @catalog.add("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"))
+    return rounded(mx.percentiles(read(spark, sf_dir, "events"), "value", ["event_type"]), "p50", "p95")
 
 
 THRESHOLDS = [0.25 * k for k in range(1, 40)]

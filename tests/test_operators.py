@@ -174,6 +174,17 @@ def test_links(spark):
     assert score == {"r1": (90.0, False), "r2": (70.0, False), "r3": (20.0, True), "r9": (0.0, True)}
 
 
+def test_percentiles(spark):
+    import numpy as np
+
+    values = np.random.default_rng(4).integers(0, 40, size=200).tolist()
+    rows = frame(spark, [(k % 3, float(v)) for k, v in enumerate(values)] + [(1, None), (9, None)], "g int, v double")
+    got = {r.g: (r.p50, r.p95, r.p10) for r in metrics.percentiles(rows, "v", ["g"], (50, 95, 10)).collect()}
+    assert got.pop(9) == (None, None, None)
+    assert got == {g: pytest.approx(tuple(np.percentile(values[g::3], [50, 95, 10]))) for g in range(3)}
+    assert metrics.percentiles(rows.limit(0), "v").first().p50 is None
+
+
 def test_metrics(spark):
     gold = frame(spark, [("a", "x", 1), ("a", "y", 0), ("b", "x", 1)], "s string, t string, label int")
     said = frame(spark, [("a", "x"), ("a", "y"), ("q", "q")], "s string, t string")
