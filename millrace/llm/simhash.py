@@ -474,9 +474,10 @@ def _middle(words: np.ndarray) -> np.ndarray:
 def _candidates(radius: int, both: int, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs (a, b) of entries to compare, within ``radius`` bits of the first word and ``both`` of two words.
 
-    Where a group of a node has more than PAIRS_A_ENTRY close pairs for each entry, only the pairs with CENTRES of its
-    entries leave, those in the middle of the group (of many copies of a text, the text itself). Its entries leave too,
-    under a key of the group; so do all entries of a node that is cut, under the node's key.
+    Where a group of a node has more than PAIRS_A_ENTRY close pairs for each entry, its entries leave under a key of the
+    group, each in one row with its pair: with the first that is close of CENTRES entries in the middle of the group (of many
+    copies of a text, the text itself). So do all entries of a node that is cut, under the node's key. No more than
+    1 + PAIRS_A_ENTRY rows leave for each row that comes, however many entries a group has.
     """
     columns = [c.split()[0] for c in NODE_SCHEMA.split(", ")]
 
@@ -493,22 +494,23 @@ def _candidates(radius: int, both: int, batches: Iterator[pd.DataFrame]) -> Iter
         dense = np.bincount(group[i], minlength=len(keys)) > PAIRS_A_ENTRY * sizes
         few = ~dense[group[i]]
         yield paired(entries[i[few]], entries[j[few]])
-        middle = np.zeros(len(keys), dtype=bool)
+        middle, centre = np.zeros(len(keys), dtype=bool), np.full(len(keys), -1)
         order = np.argsort(group, kind="stable")
         for g in np.flatnonzero(dense):
             at = np.searchsorted(group[order], g)
             own = order[at : at + sizes[g]]
             for c in own[_middle(words[own])[:CENTRES]]:
-                near = own[np.bitwise_count(words[own] ^ words[c]).sum(axis=1) <= both]
-                near = near[near != c]
-                yield paired(entries[near], np.full(len(near), entries[c]))
+                near = own[(np.bitwise_count(words[own] ^ words[c]).sum(axis=1) <= both) & (centre[own] < 0)]
+                centre[near[near != c]] = c
         if open_:
             largest = order[np.searchsorted(group[order], sizes.argmax()) :][: sizes.max()]
             middle[largest[_middle(words[largest])[:1]]] = True
         some = np.full(len(keys), True) if open_ else dense[group]
         of = keys if open_ else (keys.view(np.uint64) * _FACTORS[0] + entries[group].view(np.uint64) * _FACTORS[1]).view(np.int64)
         if some.any():
-            yield pd.DataFrame({"key": of[some], "entry": entries[some], "middle": middle[some]}).reindex(columns=columns)
+            x, y, alone = entries[some], entries[centre[some]], centre[some] < 0
+            a, b = (pd.arrays.IntegerArray(side(x, y), alone) for side in (np.minimum, np.maximum))
+            yield pd.DataFrame({"a": a, "b": b, "key": of[some], "entry": x, "middle": middle[some]})
 
 
 def _pairs(rows: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import functions as F
 
@@ -203,3 +204,41 @@ def test_every_split_of_short_sets_is_met():
     # and no set that is left to this path alone is similar to one beyond it
     longest = math.ceil(simhash.SIMILARITY * (simhash.SHORT + 1) - 1e-9) - 1
     assert all(simhash.least_shared(a, b) > a for a in range(1, longest + 1) for b in range(simhash.SHORT + 1, 60))
+
+
+def test_rows_of_candidates_grow_with_the_entries_only():
+    """A dense group of near copies gives a row for each of its entries, and each is paired with one in the middle."""
+    rng = np.random.default_rng(3)
+    text, noise = rng.integers(0, 1 << 63, size=2, dtype=np.uint64), rng.integers(0, 1 << 63, size=(40, 2), dtype=np.uint64)
+    for m in (500, 1000, 2000, 5000):
+        flips = np.packbits(rng.random((m, 128)) < 0.04, axis=1).view(np.uint64)
+        words = np.concatenate([noise[:20], text ^ flips, noise[20:]]).view(np.int64)
+        rows = pd.DataFrame({"key": np.repeat([1, 2, 3], [20, m, 20]), "entry": (1 << 60) + np.arange(len(words)), "code": words[:, 0], "second": words[:, 1]})
+        frames = list(simhash._candidates(19, 32, iter([rows])))
+        made = pd.concat([f.astype("object") for f in frames])
+        assert len(made) <= (1 + simhash.PAIRS_A_ENTRY) * len(rows)
+        group, pairs = set(rows["entry"][20 : 20 + m]), made.dropna(subset=["a"])
+        assert set(pairs["a"]) | set(pairs["b"]) == group == set(made["entry"][made["entry"].isin(group)])
+        assert all(e in (a, b) and a < b for a, b, e in zip(pairs["a"], pairs["b"], pairs["entry"]))
+
+
+def test_large_dense_groups_equal_brute_force(spark, monkeypatch):
+    """Copies of a text that are similar to it and not to each other, copies of copies and texts that share a template, in nodes that are cut too."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choices("abcdefghij", k=8))
+    docs = []
+    for length, edits, n in ((60, 1, 120), (120, 2, 120), (150, 6, 150)):
+        base = [word() for _ in range(length)]
+        docs.append(" ".join(base))
+        for _ in range(n):
+            copy = list(base)
+            for at in rng.sample(range(length), edits):
+                copy[at] = word()
+            docs.append(" ".join(copy))
+    rng.shuffle(docs)
+    docs = list(enumerate(docs))
+    want = components(docs)
+    assert 20 < len(set(want.values())) < len(docs) - 200
+    assert found_components(spark, docs) == want
+    monkeypatch.setattr(simhash, "CHUNK", 32)
+    assert found_components(spark, docs) == want
