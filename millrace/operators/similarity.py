@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pandas as pd
@@ -11,41 +11,92 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as fn
+from millrace.functions.columns import checkpointed
 
 BLOCK = 2000
+HELD = 400_000  # rows that are sent to all tasks, at most
 
 
-def keyword_scores(queries: DataFrame, targets: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
+def _held(frame: DataFrame) -> DataFrame:
+    """``frame`` written once; sent to all tasks if it has at most HELD rows."""
+    kept = checkpointed(frame)
+    return F.broadcast(kept) if kept.limit(HELD + 1).count() <= HELD else kept
+
+
+def _parts(targets: DataFrame, chunk: int | None) -> DataFrame:
+    """(target, part, text): whole texts, or parts of ``chunk`` words, dealt by their target before anything is exploded.
+
+    All that is counted, met and summed up for a target afterwards stays in its partition.
+    """
+    dealt = targets.select(F.col("id").alias("target"), "text").repartition("target")
+    return dealt.withColumn("part", F.lit(0)) if chunk is None else dealt.select("target", F.posexplode(fn.chunks(F.col("text"), chunk)).alias("part", "text"))
+
+
+def keyword_scores(queries: DataFrame, targets: DataFrame, stop: Sequence[str] = (), chunk: int | None = None) -> DataFrame:
     """(query, target, score): Jaccard similarity of token sets, for pairs that share a token.
 
-    Both frames have ``id`` and ``text``. Pairs without a shared token score zero and have no row.
+    Both frames have ``id`` and ``text``. Pairs without a shared token score zero and have no row. With ``chunk`` a target
+    scores as its best part of so many words. Only the texts of the targets are shuffled.
     """
-    q, t = (f.select("id", fn.tokens(F.col("text"), stop).alias("w")).select("id", F.size("w").alias("n"), F.explode("w").alias("w")) for f in (queries, targets))
-    both = q.select(F.col("id").alias("query"), F.col("n").alias("qn"), "w").join(t.select(F.col("id").alias("target"), F.col("n").alias("tn"), "w"), "w")
-    shared = both.groupBy("query", "target").agg(F.count("*").alias("shared"), F.first("qn").alias("qn"), F.first("tn").alias("tn"))
-    return shared.select("query", "target", (F.col("shared") / (F.col("qn") + F.col("tn") - F.col("shared"))).alias("score"))
+
+    def words(texts: DataFrame, *keys: str) -> DataFrame:
+        return texts.select(*keys, fn.tokens(F.col("text"), stop).alias("w")).select(*keys, F.size("w").alias("n"), F.explode("w").alias("w"))
+
+    q = words(queries.select(F.col("id").alias("query"), "text"), "query").withColumnRenamed("n", "qn")
+    t = words(_parts(targets, chunk), "target", "part").withColumnRenamed("n", "tn")
+    shared = t.join(_held(q), "w").groupBy("query", "target", "part").agg(F.count("*").alias("shared"), F.first("qn").alias("qn"), F.first("tn").alias("tn"))
+    scores = shared.select("query", "target", (F.col("shared") / (F.col("qn") + F.col("tn") - F.col("shared"))).alias("score"))
+    return scores if chunk is None else scores.groupBy("query", "target").agg(F.max("score").alias("score"))
+
+
+def _term_counts(texts: DataFrame, stop: Sequence[str], *keys: str) -> DataFrame:
+    """(keys, term, tf) of the texts."""
+    terms = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), lambda w: (F.length(w) >= 2) & ~w.isin(*stop) if stop else F.length(w) >= 2)
+    return texts.select(*keys, F.explode(terms).alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+
+
+def _idf(n: Column) -> Column:
+    return F.log((1 + n) / (1 + F.col("df"))) + 1
 
 
 def term_weights(texts: DataFrame, stop: Sequence[str] = (), sublinear: bool = False, least: int = 1) -> DataFrame:
     """(side, id, term, weight): L2-normalised tf-idf, idf = ln((1 + n) / (1 + df)) + 1, over all of ``texts`` (side, id, text)."""
-    terms = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), 0), lambda w: (F.length(w) >= 2) & ~w.isin(*stop) if stop else F.length(w) >= 2)
-    counts = texts.select("side", "id", F.explode(terms).alias("term")).groupBy("side", "id", "term").agg(F.count("*").alias("tf"))
+    counts = _term_counts(texts, stop, "side", "id")
     n = texts.agg(F.count("*").alias("n"))
     df = counts.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= least).join(F.broadcast(n))
-    idf = df.select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    idf = df.select("term", _idf(F.col("n")).alias("idf"))
     tf = 1 + F.log("tf") if sublinear else F.col("tf")
     raw = counts.join(idf, "term").select("side", "id", "term", (tf * F.col("idf")).alias("w"))
     norms = raw.groupBy("side", "id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return raw.join(norms, ["side", "id"]).select("side", "id", "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def tfidf_scores(queries: DataFrame, targets: DataFrame, stop: Sequence[str] = ()) -> DataFrame:
-    """(query, target, score): tf-idf cosine, fitted on queries and targets together, for pairs that share a term."""
-    both = queries.select(F.lit("q").alias("side"), "id", "text").unionByName(targets.select(F.lit("t").alias("side"), "id", "text"))
-    weights = term_weights(both, stop)
-    q = weights.where("side = 'q'").select(F.col("id").alias("query"), "term", F.col("weight").alias("qw"))
-    t = weights.where("side = 't'").select(F.col("id").alias("target"), "term", F.col("weight").alias("tw"))
-    return q.join(t, "term").groupBy("query", "target").agg(F.sum(F.col("qw") * F.col("tw")).alias("score"))
+def tfidf_scores(queries: DataFrame, targets: DataFrame, stop: Sequence[str] = (), chunk: int | None = None) -> DataFrame:
+    """(query, target, score): tf-idf cosine, fitted on queries and targets together, for pairs that share a term.
+
+    With ``chunk`` the parts of so many words are the targets, and a target scores as its best one. The texts of the
+    targets are shuffled, and of their terms the rare ones: terms in more than one of HELD (text, term) pairs, HELD at
+    most, are sent to all tasks with their idf, and of the others only squares come back to the targets.
+    """
+    parts = _parts(targets, chunk)
+    q, t = _term_counts(queries.select(F.col("id").alias("query"), "text"), stop, "query"), _term_counts(parts, stop, "target", "part")
+    met = q.select("term").unionByName(t.select("term")).groupBy("term").agg(F.count("*").alias("df"))
+    n = queries.count() + (targets.count() if chunk is None else parts.count())
+    idf = checkpointed(met.select("term", "df", _idf(F.lit(n)).alias("idf")))
+    least = (idf.agg(F.sum("df")).first()[0] or 0) / HELD
+    often, rare = F.broadcast(idf.where(F.col("df") > least).select("term", "idf")), idf.where(F.col("df") <= least).select("term", "idf")
+    weight = F.col("tf") * F.col("idf")
+
+    def squares(counts: DataFrame, of: DataFrame) -> DataFrame:
+        return counts.join(of, "term").groupBy("target", "part").agg(F.sum(weight * weight).alias("square"))
+
+    both = squares(t, often).unionByName(squares(t.join(often, "term", "left_anti"), rare)).groupBy("target", "part").agg(F.sqrt(F.sum("square")).alias("norm"))
+    norms = both.groupBy("target").agg(F.map_from_entries(F.collect_list(F.struct("part", "norm"))).alias("norms"))
+    raw = q.join(idf, "term").select("query", "term", "idf", weight.alias("qw"))
+    own = raw.join(raw.groupBy("query").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn")), "query").select("query", "term", "idf", (F.col("qw") / F.col("qn")).alias("qw"))
+    sums = t.join(_held(own), "term").groupBy("query", "target", "part").agg(F.sum(F.col("qw") * weight).alias("dot"))
+    scores = sums.join(norms.hint("shuffle_hash"), "target").select("query", "target", (F.col("dot") / F.try_element_at("norms", F.col("part"))).alias("score"))
+    return scores if chunk is None else scores.groupBy("query", "target").agg(F.max("score").alias("score"))
 
 
 def top_k(scores: DataFrame, k: int, threshold: float | None = None, digits: int = 6) -> DataFrame:
@@ -55,24 +106,29 @@ def top_k(scores: DataFrame, k: int, threshold: float | None = None, digits: int
     return best if threshold is None else best.where(F.col("score") >= threshold)
 
 
-def zscores(scores: DataFrame, targets: int | Column) -> DataFrame:
-    """Scores as z-scores of their query over all ``targets``, of which those without a row score zero."""
+def _spreads(scores: DataFrame, targets: int | Column) -> DataFrame:
+    """(query, spread, nothing): the deviation of a query's scores over all ``targets``, and the z-score of those without a row."""
     n = F.lit(targets) if isinstance(targets, int) else targets
     sums = scores.groupBy("query").agg((F.sum("score") / n).alias("mean"), (F.sum(F.col("score") * F.col("score")) / n).alias("square"))
     spread = F.sqrt(F.greatest(F.col("square") - F.col("mean") * F.col("mean"), F.lit(0.0))) + 1e-9
-    return scores.join(sums, "query").select("query", "target", ((F.col("score") - F.col("mean")) / spread).alias("score"), (-F.col("mean") / spread).alias("nothing"))
+    return _held(sums.select("query", "mean", spread.alias("spread")).select("query", "spread", (-F.col("mean") / F.col("spread")).alias("nothing")))
+
+
+def zscores(scores: DataFrame, targets: int | Column) -> DataFrame:
+    """Scores as z-scores of their query over all ``targets``, of which those without a row score zero."""
+    return scores.join(_spreads(scores, targets), "query").select("query", "target", (F.col("score") / F.col("spread") + F.col("nothing")).alias("score"), "nothing")
 
 
 def fuse(matrices: Sequence[DataFrame], targets: int) -> DataFrame:
-    """(query, target, score): the sum of the methods' z-scores, for pairs that any method scores."""
-    fused = None
-    for m in matrices:
-        z = zscores(m, targets)
-        base = z.groupBy("query").agg(F.first("nothing").alias("nothing"))
-        part = z.select("query", "target", (F.col("score") - F.col("nothing")).alias("gain"))
-        fused = (part, base) if fused is None else (fused[0].unionByName(part), fused[1].unionByName(base))
-    floor = fused[1].groupBy("query").agg(F.sum("nothing").alias("floor"))
-    return fused[0].groupBy("query", "target").agg(F.sum("gain").alias("gain")).join(floor, "query").select("query", "target", (F.col("gain") + F.col("floor")).alias("score"))
+    """(query, target, score): the sum of the methods' z-scores, for pairs that any method scores.
+
+    Means and spreads are settled first, one row a query; pairs are not moved for them, nor to be added up where each
+    matrix has them dealt by target.
+    """
+    spreads = [_spreads(m, targets) for m in matrices]
+    gains = [m.join(s, "query").select("query", "target", (F.col("score") / F.col("spread")).alias("gain")) for m, s in zip(matrices, spreads)]
+    floor = _held(reduce(DataFrame.unionByName, [s.select("query", "nothing") for s in spreads]).groupBy("query").agg(F.sum("nothing").alias("floor")))
+    return reduce(DataFrame.unionByName, gains).groupBy("query", "target").agg(F.sum("gain").alias("gain")).join(floor, "query").select("query", "target", (F.col("gain") + F.col("floor")).alias("score"))
 
 
 def unit(vectors: pd.Series) -> np.ndarray:
@@ -144,20 +200,12 @@ def centroids(table: DataFrame, group: str) -> DataFrame:
     return means.join(norms, group).select(group, "dim", F.when(F.col("norm") == 0, 0.0).otherwise(F.col("mean") / F.col("norm")).alias("value"))
 
 
-def best_part(scores: DataFrame, parts: DataFrame) -> DataFrame:
-    """Scores of parts (``part``, ``target``) as scores of their targets: the best part counts."""
-    found = scores.select("query", F.col("target").alias("part"), "score")
-    return found.join(parts, "part").groupBy("query", "target").agg(F.max("score").alias("score"))
-
-
 def candidates(sources: DataFrame, targets: DataFrame, method: str = "tfidf", k: int = 10, threshold: float | None = None, chunk: int = 60, stop: Sequence[str] = ()) -> DataFrame:
     """(query, target, score, rank): the ``k`` likeliest targets of each source (both id, text) by ``keyword``, ``tfidf`` or ``hybrid``.
 
     A target scores as its best part of ``chunk`` words; the threshold comes after the cut. Pairs without a shared
     word have no row.
     """
-    parts = targets.select(F.col("id").alias("target"), F.posexplode(fn.chunks(F.col("text"), chunk)).alias("n", "text")).withColumn("part", F.concat_ws(":", "target", "n"))
-    texts, owners = parts.select(F.col("part").alias("id"), "text"), parts.select("part", "target")
     methods = {"keyword": (keyword_scores,), "tfidf": (tfidf_scores,), "hybrid": (keyword_scores, tfidf_scores)}[method]
-    scores = [best_part(score(sources, texts, stop), owners) for score in methods]
+    scores = [score(sources, targets, stop, chunk) for score in methods]
     return top_k(scores[0] if len(scores) == 1 else fuse(scores, targets.count()), k, threshold)
