@@ -15,6 +15,7 @@ from millrace.functions.columns import checkpointed
 
 BLOCK = 2000
 HELD = 400_000  # rows that are sent to all tasks, at most
+PARTS_FACTOR = 6  # partitions of parts for each of texts
 
 
 def _held(frame: DataFrame) -> DataFrame:
@@ -28,8 +29,12 @@ def _parts(targets: DataFrame, chunk: int | None) -> DataFrame:
 
     All that is counted, met and summed up for a target afterwards stays in its partition.
     """
-    dealt = targets.select(F.col("id").alias("target"), "text").repartition("target")
-    return dealt.withColumn("part", F.lit(0)) if chunk is None else dealt.select("target", F.posexplode(fn.chunks(F.col("text"), chunk)).alias("part", "text"))
+    texts = targets.select(F.col("id").alias("target"), "text")
+    if chunk is None:
+        return texts.repartition("target").withColumn("part", F.lit(0))
+    # the pairs of many parts: smaller partitions hold their sums in memory
+    dealt = texts.repartition(PARTS_FACTOR * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "target")
+    return dealt.select("target", F.posexplode(fn.chunks(F.col("text"), chunk)).alias("part", "text"))
 
 
 def keyword_scores(queries: DataFrame, targets: DataFrame, stop: Sequence[str] = (), chunk: int | None = None) -> DataFrame:

@@ -34,3 +34,13 @@ def test_fused_scores_add_up(spark):
     nothing = [{r.query: r.nothing for r in similarity.zscores(m, len(TEXTS)).collect()} for m in methods]
     want = {k: round(sum(z.get(k, n.get(k[0], 0)) for z, n in zip(each, nothing)), 6) for k in set(each[0]) | set(each[1])}
     assert {k: round(v, 6) for k, v in scores(similarity.fuse(methods, len(TEXTS))).items()} == want
+
+
+def test_best_parts_stay_with_their_targets(spark):
+    q, t = frames(spark)
+    long = t.unionByName(spark.createDataFrame([(7, " ".join(["shall"] * 70 + ["pump"] * 70 + ["stop"]))], "id long, text string"))
+    found = similarity.candidates(q, long, "keyword", 3)
+    assert not [x for x in dealt_by(found) if "part#" in x or "target#" in x and "query#" in x]
+    best = {(r.query, r.rank): (r.target, r.score) for r in found.collect()}
+    assert best[1, 3] == (7, 0.4) and best[2, 1] == (6, 0.5)  # parts of 7: {shall}, {shall, pump}, {pump, stop}
+    assert similarity.candidates(q, long.limit(0), "hybrid", 3).count() == 0
