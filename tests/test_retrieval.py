@@ -44,3 +44,18 @@ def test_best_parts_stay_with_their_targets(spark):
     best = {(r.query, r.rank): (r.target, r.score) for r in found.collect()}
     assert best[1, 3] == (7, 0.4) and best[2, 1] == (6, 0.5)  # parts of 7: {shall}, {shall, pump}, {pump, stop}
     assert similarity.candidates(q, long.limit(0), "hybrid", 3).count() == 0
+
+
+def test_terms_beyond_what_is_sent_to_all_tasks(spark, monkeypatch):
+    q, t = frames(spark)
+    near = scores(similarity.tfidf_scores(q, t)), scores(similarity.keyword_scores(q, t)), scores(similarity.candidates(q, t, "hybrid", 9, chunk=3))
+    monkeypatch.setattr(similarity, "HELD", 3)
+    assert near[0] and near == (scores(similarity.tfidf_scores(q, t)), scores(similarity.keyword_scores(q, t)), scores(similarity.candidates(q, t, "hybrid", 9, chunk=3)))
+    weights = similarity.term_weights(t.selectExpr("'t' AS side", "*").unionByName(q.selectExpr("'q' AS side", "*")))
+    a, b = ({(r.id, r.term): r.weight for r in weights.where(f"side = '{s}'").collect()} for s in "qt")
+    want = {}
+    for (x, term), w in a.items():
+        for (y, other), v in b.items():
+            if term == other:
+                want[x, y] = want.get((x, y), 0) + w * v
+    assert {k: round(v, 9) for k, v in want.items()} == near[0]
