@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import checkpointed
 from millrace.functions.text import tokens
 
 # Words that show a refusal or a state, and results that say nothing.
@@ -86,21 +87,28 @@ def strict_left_join(rows: DataFrame, right: DataFrame, keys: Sequence[str]) ->
 def same_sets(left: DataFrame, right: DataFrame, owner: str, member: str) -> DataFrame:
     """(owner, matched): owners of ``left`` whose set of members equals that of exactly one owner of ``right``.
 
-    Sets meet by the count, the sum and the xor of their members' hashes and are compared by an anti-join afterwards,
-    so no set is gathered in one row.
+    Sets meet by the count, the sum and the xor of their members' hashes, and no set is gathered in one row. Sets of one
+    outline are the same where they have no more members together than each; only others are compared owner by owner.
     """
+    key = ["n", "s", "x"]
 
-    def outline(rows: DataFrame, name: str) -> DataFrame:
-        own = rows.select(F.col(owner).alias(name), F.col(member).alias("member")).where("member is not null").distinct()
+    def outline(rows: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        own = rows.select(F.col(owner).alias(name), F.col(member).alias("member")).where("member is not null").repartition(name).distinct()
         h = F.xxhash64("member")
         return own, own.groupBy(name).agg(F.count("*").alias("n"), F.sum(F.shiftright(h, 8)).alias("s"), F.bit_xor(h).alias("x"))
 
     (a, a_sums), (b, b_sums) = outline(left, "owner"), outline(right, "matched")
-    met = a_sums.join(b_sums, ["n", "s", "x"]).select("owner", "matched")
+    alone = b_sums.groupBy(*key).agg(F.count("*").alias("owners"), F.min("matched").alias("matched")).where("owners = 1")
+    members = a.join(a_sums, "owner").select(*key, "member").unionByName(b.join(b_sums, "matched").select(*key, "member")).distinct()
+    mixed = checkpointed(members.groupBy(*key).agg(F.count("*").alias("held")).where("held > n").select(*key))
+    if mixed.isEmpty():
+        return a_sums.join(alone, key).select(F.col("owner").alias(owner), "matched")
+    met = a_sums.join(mixed, key, "left_semi").join(b_sums, key).select("owner", "matched")
     wrong = met.join(a, "owner").join(b, ["matched", "member"], "left_anti").select("owner", "matched").distinct()
     good = met.join(wrong, ["owner", "matched"], "left_anti")
-    one = good.groupBy("owner").agg(F.count("*").alias("n"), F.min("matched").alias("matched")).where("n = 1")
-    return one.select(F.col("owner").alias(owner), "matched")
+    one = good.groupBy("owner").agg(F.count("*").alias("n"), F.min("matched").alias("matched")).where("n = 1").select("owner", "matched")
+    plain = a_sums.join(mixed, key, "left_anti").join(alone, key).select("owner", "matched")
+    return plain.unionByName(one).select(F.col("owner").alias(owner), "matched")
 
 
 def reason_counts(rows: DataFrame, reasons: str, sep: str = ";") -> DataFrame:
