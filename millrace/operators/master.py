@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import checkpointed
 from millrace.functions.text import normalize, text_key
 from millrace.operators.similarity import vector_top_k
 from millrace.operators.splits import LEAST_WORDS
@@ -21,13 +22,17 @@ def fates(rows: DataFrame, canonical: Mapping[str, str], least: int = LEAST_WORD
     several labels, a missing one counting as one, none (``conflict_moved``). Rows of a source in ``canonical`` go where the source it names
     keeps the same text (``collapsed``); the rows there name such sources in ``also_in``. ``conflict`` tells of master
     rows whether labels of the text differ between sources (``least`` words or more) or within one.
-    Ids are unique; null sources and texts count as empty ones. Groups are settled by aggregation, never gathered.
+    Ids are unique; null sources and texts count as empty ones. Groups are settled by aggregation, never gathered; texts and
+    their keys move as digests.
     """
     text = normalize(F.coalesce("text", F.lit("")))
     named = rows.select("id", F.coalesce("source", F.lit("")).alias("source"), text.alias("norm"), "label")
-    keyed = named.select("id", "source", F.sha2("norm", 256).alias("same"), text_key(F.col("norm")).alias("key"), F.size(F.split("norm", " ")).alias("words"), "label")
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    own = text_key(F.col("norm"))
+    keyed = named.select("id", "source", digest("norm").alias("same"), F.when(own != "", digest(own)).alias("key"), F.size(F.split("norm", " ")).alias("words"), "label")
+    keyed = checkpointed(keyed)  # one pass over the texts
     labels = F.count_distinct("label") + F.max(F.col("label").isNull().cast("int"))
-    groups = keyed.where("key != ''").groupBy("source", "same").agg(
+    groups = keyed.where("key is not null").groupBy("source", "same").agg(
         F.first("key").alias("key"), F.first("words").alias("words"), F.min("id").alias("first"), F.count("*").alias("copies"), F.min("label").alias("label"), labels.alias("labels")
     )
     kept = groups.where("labels = 1")
@@ -42,9 +47,9 @@ def fates(rows: DataFrame, canonical: Mapping[str, str], least: int = LEAST_WORD
     within = groups.where("labels > 1").select("key", F.lit("within_source").alias("within")).distinct()
     settled = placed.join(copies, ["source", "key"], "left").join(across, "key", "left").join(within, "key", "left")
     settled = settled.select("source", "same", "first", "copies", "held", "also_in", F.concat_ws(";", "across", "within").alias("conflict"))
-    out = keyed.select("id", "source", "same", F.col("key").alias("own")).join(settled, ["source", "same"], "left")
+    out = keyed.select("id", "source", "same", F.col("key").isNull().alias("empty")).join(settled, ["source", "same"], "left")
     fate = (
-        F.when(F.col("own") == "", "dropped_empty").when(F.col("first").isNull(), "conflict_moved").when(F.col("id") != F.col("first"), "dup_dropped")
+        F.when(F.col("empty"), "dropped_empty").when(F.col("first").isNull(), "conflict_moved").when(F.col("id") != F.col("first"), "dup_dropped")
         .when(F.col("held"), "collapsed").otherwise("master")
     )
     told = out.withColumn("fate", fate)
