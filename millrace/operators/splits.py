@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.columns import checkpointed
 from millrace.functions.text import collapse, normalize, text_key, words_of
 from millrace.operators.corpus import hash_order
 from millrace.operators.ranks import running_sum
@@ -58,13 +59,14 @@ def split_projects(projects: DataFrame, name: str, test: int = 2, val: int = 1,
 
 
 def related_pairs(relations: DataFrame, texts: DataFrame, master: DataFrame, splits: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """``relations`` (project, left, right) with ``split``, both texts' keys and ``dropped``, which is null for pairs to keep.
+    """``relations`` (project, left, right) with ``split``, digests of both texts' keys and ``dropped``, which is null for pairs to keep.
 
     ``texts`` are (id, text), ``master`` holds the known ``text_key``, ``splits`` are (project, split). A pair goes if
     a text is missing, short or unknown, or if a text of it also occurs in training (or, from validation, in the test).
     """
-    known = texts.select("id", text_key(normalize(F.col("text"))).alias("key"), F.size(words_of(collapse(F.col("text")))).alias("words"))
-    known = known.join(master.select(F.col("text_key").alias("key"), F.lit(True).alias("listed")).distinct(), "key", "left")
+    digest = lambda key: F.unhex(F.sha2(key, 256))
+    known = texts.select("id", digest(text_key(normalize(F.col("text")))).alias("key"), F.size(words_of(collapse(F.col("text")))).alias("words"))
+    known = checkpointed(known.join(master.select(digest(F.col("text_key")).alias("key"), F.lit(True).alias("listed")).distinct(), "key", "left"))
     sides = {s: known.select(F.col("id").alias(s), F.col("key").alias(f"{s}_key"), F.col("words").alias(f"{s}_words"), F.coalesce("listed", F.lit(False)).alias(f"{s}_listed")) for s in ("left", "right")}
     rows = relations.join(splits, "project")
     for s, side in sides.items():
