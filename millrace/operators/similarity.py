@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import partial, reduce
 
 import numpy as np
@@ -14,6 +14,7 @@ from millrace.functions import text as fn
 from millrace.functions.columns import checkpointed
 
 BLOCK = 2000
+BATCH_BYTES = 32 << 20  # of blocks that a task holds at once
 HELD = 400_000  # rows that are sent to all tasks, at most
 PARTS_FACTOR = 6  # partitions of parts for each of texts
 
@@ -174,27 +175,30 @@ def vector_top_k(table: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_k(both.groupBy("q", "t").applyInPandas(partial(_best, k), "query long, target long, score double"), k)
 
 
-def _pairs(threshold: float, group: pd.DataFrame) -> pd.DataFrame:
-    a, b = (group[group["side"] == s] for s in (0, 1))
-    if not len(a) or not len(b):
-        return pd.DataFrame({"left": [], "right": [], "score": []})
-    scores = unit(a["vector"]) @ unit(b["vector"]).T
-    i, j = np.nonzero(scores >= threshold)
-    left, right = a["id"].to_numpy()[i], b["id"].to_numpy()[j]
-    keep = left < right if a["x"].iloc[0] == a["y"].iloc[0] else left != right
-    return pd.DataFrame({"left": np.minimum(left, right)[keep], "right": np.maximum(left, right)[keep], "score": scores[i, j][keep]})
+def _pairs(threshold: float, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs between two blocks a row, each block with its ids and its vectors end to end."""
+    for batch in batches:
+        for row in batch.itertuples():
+            a, b = (unit(np.reshape(v, (len(ids), -1))) for v, ids in ((row.a, row.a_ids), (row.b, row.b_ids)))
+            scores = a @ b.T
+            i, j = np.nonzero(scores >= threshold)
+            left, right = np.asarray(row.a_ids)[i], np.asarray(row.b_ids)[j]
+            keep = left < right if row.x == row.y else left != right
+            yield pd.DataFrame({"left": np.minimum(left, right)[keep], "right": np.maximum(left, right)[keep], "score": scores[i, j][keep]})
 
 
 def similarity_join(table: DataFrame, low: float, high: float | None = None) -> DataFrame:
     """(left, right, score): pairs with left < right and low <= cosine < high, compared block by block.
 
-    Rows are dealt to blocks of about BLOCK by a hash; each two blocks meet once, in a task that holds no others.
+    Rows are dealt to blocks of about BLOCK by a hash and written once, a row a block; each two blocks meet once, in a task
+    that reads them from there, so no vector is copied for the blocks it meets. The work is quadratic.
     """
-    n, b = _block(table)
-    dealt = table.select("id", "vector", b.alias("b"))
-    left = dealt.select(F.col("b").alias("x"), F.explode(F.sequence("b", F.lit(n - 1))).alias("y"), F.lit(0).alias("side"), "id", "vector")
-    right = dealt.select(F.explode(F.sequence(F.lit(0), F.col("b"))).alias("x"), F.col("b").alias("y"), F.lit(1).alias("side"), "id", "vector")
-    out = left.unionByName(right).groupBy("x", "y").applyInPandas(partial(_pairs, low - 1e-7), "left long, right long, score double")
+    spark = table.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    rows = table.select("id", "vector", _block(table)[1].alias("block")).groupBy("block").agg(F.collect_list(F.struct("id", "vector")).alias("rows"))
+    blocks = checkpointed(rows.select("block", F.col("rows.id").alias("ids"), F.flatten("rows.vector").alias("flat")))
+    left, right = (blocks.select(F.col("block").alias(k), F.col("ids").alias(f"{v}_ids"), F.col("flat").alias(v)) for k, v in (("x", "a"), ("y", "b")))
+    out = left.join(right, F.col("x") <= F.col("y")).mapInPandas(partial(_pairs, low - 1e-7), "left long, right long, score double")
     return out if high is None else out.where(F.col("score") < high)
 
 

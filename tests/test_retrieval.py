@@ -59,3 +59,15 @@ def test_terms_beyond_what_is_sent_to_all_tasks(spark, monkeypatch):
             if term == other:
                 want[x, y] = want.get((x, y), 0) + w * v
     assert {k: round(v, 9) for k, v in want.items()} == near[0]
+
+
+def test_vectors_are_not_copied_for_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", 3)
+    rows = [(i, [float(i % 7), float(i % 5) - 2, 1.0]) for i in range(40)]
+    found = similarity.similarity_join(spark.createDataFrame(rows, "id long, vector array<float>"), 0.95)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "explode" not in plan
+    unit = {i: [x / sum(y * y for y in v) ** 0.5 for x in v] for i, v in rows}
+    want = {(a, b) for a in unit for b in unit if a < b and sum(x * y for x, y in zip(unit[a], unit[b])) >= 0.95 - 1e-7}
+    got = [(r.left, r.right) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
